@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablevault.functions.fingerprint import FINGERPRINT, H1, H2, lane_sum, with_fingerprint
+from tablevault.functions.fingerprint import FINGERPRINT, H1, H2, WIDTH, lane_sum, with_fingerprint
 
 OP, COPIES = "_tv_op", "_tv_n"
 # Rows a single task emits for one repeated row before the work is spread over the cluster.
@@ -20,16 +20,10 @@ BROADCAST_BYTES = 64 << 20
 # Tasks over which the copies of one row are spread in a shuffled join.
 SALTS = 32
 
-_WIDTH = {
-    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4, T.FloatType: 4,
-    T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8,
-}
-
-
 def fits_broadcast(df: DataFrame, rows: int) -> bool:
     """True when ``rows`` times the row width provably stays under the limit. A column of variable
     width gives no bound, so the answer is no."""
-    widths = [_WIDTH.get(type(f.dataType)) for f in df.schema.fields]
+    widths = [WIDTH.get(type(f.dataType)) for f in df.schema.fields]
     return None not in widths and rows * (sum(widths) + 16) <= BROADCAST_BYTES
 
 

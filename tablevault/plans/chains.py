@@ -55,24 +55,49 @@ def restore_chain(jobs: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("pos", POS)
         .where(F.col("pos") <= F.col("t_pos"))
     )
+    heads = upto.groupBy("db_name").agg(*_heads())
+    return (
+        upto.join(heads.where(F.col("full_pos").isNotNull()), "db_name")
+        .where(_is_member(F.col("t_type"), F.col("t_pos")))
+        .select("db_name", F.col("t_pos.id").alias("target_id"), "id", "backup_type", "started_at")
+    )
+
+
+def _heads() -> list[Column]:
+    """Positions of the last full, and of the last full or differential."""
     kind = F.col("backup_type")
-    heads = upto.groupBy("db_name").agg(
+    return [
         F.max(F.when(kind == "full", F.col("pos"))).alias("full_pos"),
         F.max(F.when(kind != "incremental", F.col("pos"))).alias("head_pos"),
-    )
-    pos, full, head = F.col("pos"), F.col("full_pos"), F.col("head_pos")
-    member = (
-        (pos == full)
-        | ((F.col("t_type") == "differential") & (pos == F.col("t_pos")))
-        | ((F.col("t_type") == "incremental") & ((pos == head) | ((kind == "incremental") & (pos > head))))
-    )
+    ]
+
+
+def _is_member(t_type: Column, t_pos: Column) -> Column:
+    """Whether a backup at or before the target belongs to the target's chain."""
+    kind, pos, head = F.col("backup_type"), F.col("pos"), F.col("head_pos")
     return (
-        upto.join(heads.where(full.isNotNull()), "db_name")
-        .where(member)
-        .select("db_name", F.col("t_pos.id").alias("target_id"), "id", "backup_type", "started_at")
+        (pos == F.col("full_pos"))
+        | ((t_type == "differential") & (pos == t_pos))
+        | ((t_type == "incremental") & ((pos == head) | ((kind == "incremental") & (pos > head))))
     )
 
 
+def chain_members(jobs: DataFrame, end: Column, target_type: str) -> DataFrame:
+    """The chain of one target among the jobs of its database, ``end`` being its position.
+
+    The heads are one row; they are fetched and put into the filter, which leaves two small scans
+    instead of a join."""
+    upto = successful(jobs).withColumn("pos", POS).where(F.col("pos") <= end)
+    heads = upto.agg(*_heads()).first()
+    if heads["full_pos"] is None:
+        return upto.where(F.lit(False))
+    fixed = {
+        name: F.struct(F.lit(heads[name]["started_at"]).alias("started_at"), F.lit(heads[name]["id"]).alias("id"))
+        for name in ("full_pos", "head_pos")
+    }
+    return upto.withColumns(fixed).where(_is_member(F.lit(target_type), end))
+
+
 def _running(df: DataFrame, bucket: str, measures: dict[str, tuple[Column, str]]) -> DataFrame:
     """Running sums and maxima per database without one task per database.
 

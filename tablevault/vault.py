@@ -98,10 +98,15 @@ class Vault:
         path = f"{self.root}/catalog/{name}/month={at:%Y-%m}/entry={uuid.uuid4().hex}"
         rows.write.mode("errorifexists").parquet(path)
 
+    def _append_rows(self, name: str, at: datetime, rows: list[dict]) -> None:
+        """Append rows the driver holds: one per run, or one per table of a run."""
+        plain = lambda v: v.isoformat() if isinstance(v, datetime) else int(v)
+        text = json.dumps([{k: v for k, v in r.items() if v is not None} for r in rows], default=plain)
+        parsed = F.from_json(F.lit(text), T.ArrayType(_SCHEMAS[name]))
+        self._append(name, self.spark.range(0, 1, 1, 1).select(F.inline(parsed)), at)
+
     def _append_row(self, name: str, at: datetime, **values) -> None:
-        schema = _SCHEMAS[name]
-        row = tuple(values.get(f.name) for f in schema.fields)
-        self._append(name, self.spark.createDataFrame([row], schema).coalesce(1), at)
+        self._append_rows(name, at, [values])
 
     def _read(self, name: str, since_month: str | None = None) -> DataFrame:
         """A catalog table; ``since_month`` (``YYYY-MM``) prunes older month folders."""
@@ -223,8 +228,9 @@ class Vault:
         if request.backup_type == "full":
             return {}, None, "full"
         kind = "full" if request.backup_type == "differential" else None
-        base = chains.last_backup(self.jobs(), db, F.lit(at), kind).select("id").first()
-        members = self.chain(base["id"]) if base else []
+        base = chains.last_backup(self.jobs(), db, F.lit(at), kind)
+        base = base.select("db_name", "backup_type", "started_at", "id").first()
+        members = self._chain_of(base) if base else []
         if not members:
             return {}, None, "full"
         steps = self._steps(members)
@@ -320,17 +326,23 @@ class Vault:
         for r in rows:
             files, size = totals.get(r["table_name"], (0, 0))
             values = {**r, "backup_id": backup_id, "files": files, "bytes": size}
-            full.append(tuple(values[f] for f in MANIFEST.fieldNames()))
-        self._append("manifest", self.spark.createDataFrame(full, MANIFEST).coalesce(1), at)
+            full.append({f: values[f] for f in MANIFEST.fieldNames()})
+        self._append_rows("manifest", at, full)
 
     # --- restore --------------------------------------------------------------------------
 
     def chain(self, backup_id: str) -> list[Row]:
-        """``id, file_path`` of the members of a restore chain, oldest first."""
-        jobs = self.jobs()
-        members = chains.restore_chain(jobs, chains.target_of(jobs, backup_id))
-        found = members.select("id").join(jobs, "id").select("id", "file_path", "started_at").collect()
-        return sorted(found, key=lambda r: (r["started_at"], r["id"]))
+        """``id, file_path, started_at`` of the members of a restore chain, oldest first; empty
+        when the backup is unknown or has no full before it."""
+        jobs = chains.successful(self.jobs())
+        target = jobs.where(F.col("id") == backup_id).select("db_name", "backup_type", "started_at", "id").first()
+        return self._chain_of(target) if target else []
+
+    def _chain_of(self, target: Row) -> list[Row]:
+        jobs = chains.successful(self.jobs()).where(F.col("db_name") == target["db_name"])
+        end = F.struct(F.lit(target["started_at"]).alias("started_at"), F.lit(target["id"]).alias("id"))
+        members = chains.chain_members(jobs, end, target["backup_type"]).select("id", "file_path", "started_at")
+        return sorted(members.collect(), key=lambda r: (r["started_at"], r["id"]))
 
     def _steps(self, members: list[Row]) -> dict[str, list[tuple[Row, str]]]:
         """Per table the manifest rows to apply, starting at its last full copy in the chain."""
@@ -439,7 +451,7 @@ class Vault:
         for row in manifest.collect():
             df = self._payload(row, f"{folder}/{row['table_name']}", tolerant=True)
             columns = T.StructType.fromJson(json.loads(row["schema_json"])).fieldNames()
-            found = with_fingerprint(df, columns, length=True).agg(*payload_digest(row["op_mode"]))
+            found = with_fingerprint(df, columns).agg(*payload_digest(row["op_mode"])[:3])
             parts.append(found.withColumn("table_name", F.lit(row["table_name"])))
         return integrity.compare_digests(manifest, reduce(DataFrame.unionByName, parts))
 
