@@ -135,7 +135,7 @@ def prefix(c: str | Column, n: int) -> Column:
 
 def split_names(c: str | Column) -> Column:
     """Comma list to names: trimmed, empty pieces dropped; null stays null."""
-    return F.filter(F.transform(F.split(_c(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_c(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_part(c: str | Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from tablevault.functions.fingerprint import DIGEST, lane, lane_sum
 
@@ -52,7 +54,7 @@ def hash_parts(spark: SparkSession, folder: str, tolerant: bool = False) -> Data
 
 
 def file_totals(files: DataFrame) -> DataFrame:
-    """Files, bytes and an order-free checksum over the file hashes, per table and (table null) overall.
+    """Files, bytes and an order-free checksum (``sum1``, ``sum2``) over the file hashes per table.
 
     Each file contributes the hash of ``table/file:hash``; contributions are summed, so nothing
     has to be collected and sorted in one place however many files there are.
@@ -62,14 +64,18 @@ def file_totals(files: DataFrame) -> DataFrame:
         F.coalesce("sha256", F.col("length").cast("string")),
     )
     marked = files.withColumn("_hex", F.sha2(label, 256))
-    totals = marked.rollup("table_name").agg(
+    return marked.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("files"),
         F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("bytes"),
-        lane_sum(lane(F.col("_hex"), 1)).alias("_c1"),
-        lane_sum(lane(F.col("_hex"), 2)).alias("_c2"),
+        lane_sum(lane(F.col("_hex"), 1)).alias("sum1"),
+        lane_sum(lane(F.col("_hex"), 2)).alias("sum2"),
     )
-    checksum = F.sha2(F.concat_ws(":", F.col("files"), F.col("_c1"), F.col("_c2")), 256)
-    return totals.withColumn("checksum", checksum).drop("_c1", "_c2")
+
+
+def overall_checksum(totals: list[Row]) -> str:
+    """SHA-256 over the added-up totals of all tables of a backup (one row per table)."""
+    parts = [str(sum(int(r[c]) for r in totals)) for c in ("files", "sum1", "sum2")]
+    return hashlib.sha256(":".join(parts).encode()).hexdigest()
 
 
 def compare_files(recorded: DataFrame, listed: DataFrame, hashed: DataFrame) -> DataFrame:

@@ -94,9 +94,10 @@ class Vault:
 
     # --- catalog storage ------------------------------------------------------------------
 
-    def _append(self, name: str, rows: DataFrame, at: datetime) -> None:
+    def _append(self, name: str, rows: DataFrame, at: datetime) -> str:
         path = f"{self.root}/catalog/{name}/month={at:%Y-%m}/entry={uuid.uuid4().hex}"
         rows.write.mode("errorifexists").parquet(path)
+        return path
 
     def _append_rows(self, name: str, at: datetime, rows: list[dict]) -> None:
         """Append rows the driver holds: one per run, or one per table of a run."""
@@ -313,12 +314,10 @@ class Vault:
 
     def _measure(self, backup_id: str, folder: str, at: datetime) -> tuple[dict[str, tuple[int, int]], str]:
         """Hash the part files where they lie, record them, and total them per table and overall."""
-        schema = FILES.fieldNames()
-        hashed = integrity.hash_parts(self.spark, folder).withColumn("backup_id", F.lit(backup_id)).select(*schema)
-        self._append("files", hashed, at)
-        found = {r["table_name"]: r for r in integrity.file_totals(self.files(backup_id)).collect()}
-        overall = found.pop(None)
-        return {t: (r["files"], r["bytes"]) for t, r in found.items()}, overall["checksum"]
+        hashed = integrity.hash_parts(self.spark, folder).withColumn("backup_id", F.lit(backup_id))
+        entry = self._append("files", hashed.select(*FILES.fieldNames()), at)
+        rows = integrity.file_totals(self.spark.read.schema(FILES).parquet(entry)).collect()
+        return {r["table_name"]: (r["files"], r["bytes"]) for r in rows}, integrity.overall_checksum(rows)
 
     def _write_manifest(self, backup_id: str, rows: list[dict], totals: dict, at: datetime) -> None:
         """One row per table; the number of tables bounds what the driver holds."""
