@@ -10,7 +10,7 @@ Two row hashes are offered.
 * :func:`with_fingerprint` chains ``xxhash64`` over the column values, twice with different
   starts, for 128 bits in two BIGINT columns. It works on the values as they are held in memory,
   so it costs nanoseconds per column, stays in generated code, and shuffles in 16 bytes. A plain
-  ``xxhash64`` skips nulls, so ``(null, 1)`` and ``(1, null)`` would agree; here every nullable
+  ``xxhash64`` skips nulls, so ``(null, 1)`` and ``(1, null)`` would agree; here every
   value is preceded by its null flag and every array by its size. Zero and minus zero, and all
   NaNs, count as the same value, as they do in Spark's joins and groupings. This hash detects
   change and damage; tampering is what the SHA-256 of the part files is for.
@@ -41,13 +41,15 @@ _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 # --- in-memory fingerprint ----------------------------------------------------------------
 
 
-def _flagged(value: Column, dtype: T.DataType, nullable: bool) -> list[Column]:
-    return ([value.isNull()] if nullable else []) + _hash_args(value, dtype)
+def _flagged(value: Column, dtype: T.DataType) -> list[Column]:
+    """The flag is there for columns that cannot be null too: a source may declare a column not
+    null that its stored copy cannot."""
+    return [value.isNull(), *_hash_args(value, dtype)]
 
 
 def _pair(value: Column, dtype: T.DataType) -> Column:
     """A nested value as a struct of hashes that is hashable and can be ordered."""
-    args = _flagged(value, dtype, True)
+    args = _flagged(value, dtype)
     return F.struct(F.xxhash64(*args).alias("a"), F.xxhash64(F.lit(SECOND_START), *args).alias("b"))
 
 
@@ -60,8 +62,7 @@ def _hash_args(value: Column, dtype: T.DataType) -> list[Column]:
     if isinstance(dtype, T.ArrayType):
         if isinstance(dtype.elementType, _NESTED):
             return [F.size(value), F.transform(value, lambda x: _pair(x, dtype.elementType))]
-        flags = [F.transform(value, lambda x: x.isNull())] if dtype.containsNull else []
-        return [F.size(value), value, *flags]
+        return [F.size(value), value, F.transform(value, lambda x: x.isNull())]
     if isinstance(dtype, T.MapType):
         entry = lambda e: F.struct(
             _pair(e["key"], dtype.keyType).alias("k"), _pair(e["value"], dtype.valueType).alias("v")
@@ -69,7 +70,7 @@ def _hash_args(value: Column, dtype: T.DataType) -> list[Column]:
         # entry order is not part of a map's value
         return [F.size(value), F.array_sort(F.transform(F.map_entries(value), entry))]
     if isinstance(dtype, T.StructType):
-        return [arg for f in dtype.fields for arg in _flagged(value[f.name], f.dataType, True)]
+        return [arg for f in dtype.fields for arg in _flagged(value[f.name], f.dataType)]
     return [value]
 
 
@@ -93,7 +94,7 @@ def with_fingerprint(df: DataFrame, columns: list[str] | None = None, length: bo
     the row. Narrow: nothing is shuffled."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     named = [(F.col(f"`{f.name}`"), f) for f in fields]
-    args = [arg for c, f in named for arg in _flagged(c, f.dataType, f.nullable)]
+    args = [arg for c, f in named for arg in _flagged(c, f.dataType)]
     added = {H1: F.xxhash64(F.lit(len(fields)), *args), H2: F.xxhash64(F.lit(SECOND_START), *args)}
     if length:
         sizes = [_raw_bytes(c, f.dataType) for c, f in named]

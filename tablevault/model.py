@@ -17,25 +17,24 @@ DEFAULT_RECENT_LIMIT = 50
 DEFAULT_RETENTION_DAYS = 30
 DEFAULT_SIZE_CAP = "50GB"
 
-JOB_EVENTS = T.StructType.fromDDL(
-    "id string, seq int, db_type string, db_name string, backup_type string, status string, "
-    "file_path string, file_name string, file_size bigint, compressed_size bigint, raw_size bigint, "
-    "compression_type string, backup_version string, retry_count int, checksum string, "
-    "started_at timestamp, completed_at timestamp, duration double, error string, metadata string, "
-    "parent_id string"
-)
-BACKUP_LOGS = T.StructType.fromDDL(
-    "id bigint, backup_job_id string, timestamp timestamp, level string, message string, details string"
-)
-MANIFEST = T.StructType.fromDDL(
-    "backup_id string, table_name string, op_mode string, key_columns array<string>, schema_json string, "
-    "row_count bigint, digest1 decimal(38,0), digest2 decimal(38,0), files bigint, bytes bigint, "
-    "raw_size bigint, high_water_column string, high_water string, upserts bigint, deletes bigint, "
-    "state_rows bigint, state_digest1 decimal(38,0), state_digest2 decimal(38,0)"
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, dtype) for name, dtype in columns.items()])
+
+
+_TEXT, _INT, _LONG, _TIME, _SUM = T.StringType(), T.IntegerType(), T.LongType(), T.TimestampType(), T.DecimalType(38, 0)
+
+JOB_EVENTS = _schema(
+    id=_TEXT, seq=_INT, db_type=_TEXT, db_name=_TEXT, backup_type=_TEXT, status=_TEXT, file_path=_TEXT, file_name=_TEXT,
+    file_size=_LONG, compressed_size=_LONG, raw_size=_LONG, compression_type=_TEXT, backup_version=_TEXT, retry_count=_INT,
+    checksum=_TEXT, started_at=_TIME, completed_at=_TIME, duration=T.DoubleType(), error=_TEXT, metadata=_TEXT, parent_id=_TEXT,
 )
-FILES = T.StructType.fromDDL(
-    "backup_id string, table_name string, path string, length bigint, sha256 string"
+BACKUP_LOGS = _schema(id=_LONG, backup_job_id=_TEXT, timestamp=_TIME, level=_TEXT, message=_TEXT, details=_TEXT)
+MANIFEST = _schema(
+    backup_id=_TEXT, table_name=_TEXT, op_mode=_TEXT, key_columns=T.ArrayType(_TEXT), schema_json=_TEXT,
+    row_count=_LONG, digest1=_SUM, digest2=_SUM, files=_LONG, bytes=_LONG, raw_size=_LONG, high_water_column=_TEXT,
+    high_water=_TEXT, upserts=_LONG, deletes=_LONG, state_rows=_LONG, state_digest1=_SUM, state_digest2=_SUM,
 )
+FILES = _schema(backup_id=_TEXT, table_name=_TEXT, path=_TEXT, length=_LONG, sha256=_TEXT)
 
 _SAFE_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 

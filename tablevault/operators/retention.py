@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablevault.functions import scalars as X
 from tablevault.model import DEFAULT_RETENTION_DAYS, DEFAULT_SIZE_CAP
-from tablevault.plans.chains import POS, successful
+from tablevault.plans.chains import position, successful
 
 
 def expired_backups(jobs: DataFrame, as_of: Column, days: int = DEFAULT_RETENTION_DAYS) -> DataFrame:
@@ -20,7 +20,7 @@ def expired_backups(jobs: DataFrame, as_of: Column, days: int = DEFAULT_RETENTIO
     """
     cutoff = as_of - F.make_interval(days=F.lit(days))
     kind = F.col("backup_type")
-    rows = successful(jobs).withColumn("pos", POS).withColumn("kept", F.col("started_at") >= cutoff)
+    rows = successful(jobs).withColumn("pos", position()).withColumn("kept", F.col("started_at") >= cutoff)
     narrow = rows.select("db_name", "backup_type", "pos", "kept")
     first = narrow.where("kept").groupBy("db_name").agg(
         F.min("pos").alias("first_kept"),

@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-POS = F.struct("started_at", "id")
+
+def position() -> Column:
+    """Place of a backup in the order of its database."""
+    return F.struct("started_at", "id")
 
 
 def successful(jobs: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def latest_targets(jobs: DataFrame) -> DataFrame:
 
 def target_of(jobs: DataFrame, backup_id: str) -> DataFrame:
     return successful(jobs).where(F.col("id") == backup_id).select(
-        "db_name", POS.alias("t_pos"), F.col("backup_type").alias("t_type")
+        "db_name", position().alias("t_pos"), F.col("backup_type").alias("t_type")
     )
 
 
@@ -52,7 +55,7 @@ def restore_chain(jobs: DataFrame, targets: DataFrame) -> DataFrame:
         successful(jobs)
         .select("id", "db_name", "backup_type", "started_at")
         .join(targets, "db_name")
-        .withColumn("pos", POS)
+        .withColumn("pos", position())
         .where(F.col("pos") <= F.col("t_pos"))
     )
     heads = upto.groupBy("db_name").agg(*_heads())
@@ -87,7 +90,7 @@ def chain_members(jobs: DataFrame, end: Column, target_type: str) -> DataFrame:
 
     The heads are one row; they are fetched and put into the filter, which leaves two small scans
     instead of a join."""
-    upto = successful(jobs).withColumn("pos", POS).where(F.col("pos") <= end)
+    upto = successful(jobs).withColumn("pos", position()).where(F.col("pos") <= end)
     heads = upto.agg(*_heads()).first()
     if heads["full_pos"] is None:
         return upto.where(F.lit(False))

@@ -323,22 +323,25 @@ def _ingested(spark: SparkSession, folder: str) -> str:
     return f"{root}/logs"
 
 
-_EVENT = F.get_json_object("details", "$.event_id").cast("bigint").alias("event_id")
+def _extra(name: str):
+    return F.get_json_object("details", f"$.{name}")
 
 
 @_register
 def log_stream_ingest(spark, folder):
     logs = intake.stored_logs(spark, _ingested(spark, folder))
     return logs.select(
-        _EVENT, "level", "message", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "module",
-        F.get_json_object("details", "$.props").alias("props"),
+        _extra("event_id").cast("bigint").alias("event_id"), "level", "message", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "module",
+        _extra("props").alias("props"),
     )
 
 
 @_register
 def log_stream_errors(spark, folder):
     logs = intake.errors_of(spark, _ingested(spark, folder))
-    return logs.select(_EVENT, "level", "message", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+    return logs.select(
+        _extra("event_id").cast("bigint").alias("event_id"), "level", "message", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+    )
 
 
 # --- deltas, chains, retention ------------------------------------------------------------
