@@ -106,7 +106,7 @@ def with_fingerprint(df: DataFrame, columns: list[str] | None = None, length: bo
 
 
 def lane_sum(column: str | Column, weight: str | Column | None = None) -> Column:
-    """Sum of one hash column, 0 for no rows; ``weight`` multiplies each row (signed copies)."""
+    """Sum of one hash column, 0 for no rows; ``weight`` multiplies each row."""
     value = (F.col(column) if isinstance(column, str) else column).cast(_LANE)
     if weight is not None:
         w = F.col(weight) if isinstance(weight, str) else weight

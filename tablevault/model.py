@@ -32,7 +32,7 @@ BACKUP_LOGS = _schema(id=_LONG, backup_job_id=_TEXT, timestamp=_TIME, level=_TEX
 MANIFEST = _schema(
     backup_id=_TEXT, table_name=_TEXT, op_mode=_TEXT, key_columns=T.ArrayType(_TEXT), schema_json=_TEXT,
     row_count=_LONG, digest1=_SUM, digest2=_SUM, files=_LONG, bytes=_LONG, raw_size=_LONG, high_water_column=_TEXT,
-    high_water=_TEXT, upserts=_LONG, deletes=_LONG, state_rows=_LONG, state_digest1=_SUM, state_digest2=_SUM,
+    high_water=_TEXT, upserts=_LONG, deletes=_LONG, touched=_LONG, state_rows=_LONG, state_digest1=_SUM, state_digest2=_SUM,
 )
 FILES = _schema(backup_id=_TEXT, table_name=_TEXT, path=_TEXT, length=_LONG, sha256=_TEXT)
 

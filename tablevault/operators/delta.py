@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablevault.functions.fingerprint import FINGERPRINT, H1, H2, WIDTH, lane_sum, with_fingerprint
 
-OP, COPIES = "_tv_op", "_tv_n"
+OP, COPIES, BEFORE = "_tv_op", "_tv_n", "_tv_before"
 # Rows a single task emits for one repeated row before the work is spread over the cluster.
 COPY_CHUNK = 100_000
 # A broadcast side is at most this many bytes, from an exact row count and fixed-width columns.
@@ -87,6 +87,7 @@ def keyed_change_totals(changes: DataFrame) -> DataFrame:
         n(op == "X").alias("faults"),
         n(op == "U").alias("upserts"),
         n(deleted).alias("deletes"),
+        n(F.col("prev_h1").isNotNull()).alias("touched"),
         (n(inserted) - n(deleted)).alias("rows"),
         lane_sum(only(op == "U", "cur_h1")).alias("up1"),
         lane_sum(only(op == "U", "cur_h2")).alias("up2"),
@@ -107,30 +108,45 @@ def keyed_payload(cur: DataFrame, changes: DataFrame, keys: list[str], upserts:
 
 
 def multiset_changes(cur: DataFrame, prev: DataFrame) -> DataFrame:
-    """``h1, h2, n`` of every distinct row whose number of copies differs; n is signed.
+    """Fingerprint, copies now and copies before, of every distinct row whose number of copies
+    differs.
 
-    One grouped sum over +1 and -1: 24 bytes per row are shuffled, equal rows are combined
+    One grouped sum over both sides: 32 bytes per row are shuffled, equal rows are combined
     before the shuffle, and both directions come out of the same pass."""
-    plus = with_fingerprint(cur).select(*FINGERPRINT, F.lit(1).cast("bigint").alias(COPIES))
-    minus = with_fingerprint(prev).select(*FINGERPRINT, F.lit(-1).cast("bigint").alias(COPIES))
-    total = plus.unionByName(minus).groupBy(*FINGERPRINT).agg(F.sum(COPIES).alias(COPIES))
-    return total.where(F.col(COPIES) != 0)
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    sides = [
+        with_fingerprint(df).select(*FINGERPRINT, now.alias(COPIES), before.alias(BEFORE))
+        for df, now, before in ((cur, one, none), (prev, none, one))
+    ]
+    total = sides[0].unionByName(sides[1]).groupBy(*FINGERPRINT).agg(
+        F.sum(COPIES).alias(COPIES), F.sum(BEFORE).alias(BEFORE)
+    )
+    return total.where(F.col(COPIES) != F.col(BEFORE))
+
+
+def multiset_weight() -> Column:
+    """How often a payload row counts in its digest; a row that is gone counts once."""
+    return F.col(COPIES) + 1
 
 
 def multiset_change_totals(changes: DataFrame) -> DataFrame:
-    n = F.col(COPIES)
+    n, gain = F.col(COPIES), F.col(COPIES) - F.col(BEFORE)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     return changes.agg(
-        F.count(F.when(n > 0, 1)).alias("up_keys"),
-        F.count(F.when(n < 0, 1)).alias("out_keys"),
-        F.coalesce(F.sum(F.when(n > 0, n)), F.lit(0)).cast("bigint").alias("upserts"),
-        F.coalesce(F.sum(F.when(n < 0, -n)), F.lit(0)).cast("bigint").alias("deletes"),
-        lane_sum(H1, n).alias("net1"),
-        lane_sum(H2, n).alias("net2"),
+        F.count(F.when(n > 0, 1)).alias("present"),
+        F.count(F.when(n == 0, 1)).alias("gone"),
+        F.count(F.when(F.col(BEFORE) > 0, 1)).alias("touched"),
+        total(F.when(gain > 0, gain)).alias("upserts"),
+        total(F.when(gain < 0, -gain)).alias("deletes"),
+        lane_sum(H1, gain).alias("net1"),
+        lane_sum(H2, gain).alias("net2"),
+        lane_sum(H1, multiset_weight()).alias("digest1"),
+        lane_sum(H2, multiset_weight()).alias("digest2"),
     )
 
 
 def _one_of_each(side: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-    """One row of ``side`` for every wanted fingerprint, with its signed number of copies.
+    """One row of ``side`` for every wanted fingerprint, with its numbers of copies.
 
     Copies of a row are combined before they meet: behind a broadcast join by the partial step
     of the deduplication; in a shuffled join by a salt taken from the input partition, so that
@@ -146,10 +162,10 @@ def _one_of_each(side: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
     return found.dropDuplicates(FINGERPRINT).drop(*FINGERPRINT)
 
 
-def multiset_payload(cur: DataFrame, prev: DataFrame, changes: DataFrame, up_keys: int, out_keys: int) -> DataFrame:
-    """Each changed row once, with its signed number of copies."""
-    added = _one_of_each(cur, changes.where(F.col(COPIES) > 0), up_keys)
-    return added.unionByName(_one_of_each(prev, changes.where(F.col(COPIES) < 0), out_keys))
+def multiset_payload(cur: DataFrame, prev: DataFrame, changes: DataFrame, present: int, gone: int) -> DataFrame:
+    """Each changed row once, with its copies now (0 when it is gone) and before."""
+    now = _one_of_each(cur, changes.where(F.col(COPIES) > 0), present)
+    return now.unionByName(_one_of_each(prev, changes.where(F.col(COPIES) == 0), gone))
 
 
 def _holds_map(dtype: T.DataType) -> bool:

@@ -1,4 +1,10 @@
-"""Rebuild the rows of a table from a full backup and the deltas after it."""
+"""Rebuild the rows of a table from a full backup and the deltas after it.
+
+Both kinds of delta say what is true afterwards: the row now held by a key, or the number of
+copies a row now has. So a chain of any length is the base without everything a delta touched,
+plus the last word on each touched key or row. The base is read once and only filtered by an
+anti join (a broadcast when the number of touched rows is small), never sorted or regrouped.
+"""
 
 from __future__ import annotations
 
@@ -7,66 +13,42 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablevault.functions.fingerprint import FINGERPRINT, with_fingerprint
-from tablevault.operators.delta import COPIES, OP, bounded_broadcast, fits_broadcast, repeat_rows
-
-_SEQ = "_tv_seq"
+from tablevault.operators.delta import BEFORE, COPIES, OP, bounded_broadcast, repeat_rows
 
+_SEQ, _RANK = "_tv_seq", "_tv_rank"
 
-def apply_keyed(base: DataFrame, deltas: list[DataFrame], keys: list[str], delta_rows: int) -> DataFrame:
-    """Base rows whose key no delta touches, plus the last version of every touched key.
 
-    The base is only filtered by an anti join on the touched keys (a broadcast when their number
-    is small), never sorted or shuffled for a window. The window below runs over delta rows and
-    its groups hold one row per delta at most.
-    """
-    columns = base.columns
-    if not deltas:
-        return base
+def _last_word(deltas: list[DataFrame], by: list[str]) -> DataFrame:
+    """The newest delta row of each key. The window sees delta rows only, and at most one per
+    delta in a group."""
     if len(deltas) == 1:
-        last = deltas[0]
-    else:
-        stacked = reduce(
-            DataFrame.unionByName, [d.withColumn(_SEQ, F.lit(i)) for i, d in enumerate(deltas)]
-        )
-        newest = Window.partitionBy(*keys).orderBy(F.col(_SEQ).desc())
-        last = stacked.withColumn("_tv_rn", F.row_number().over(newest)).where(F.col("_tv_rn") == 1)
-    touched = bounded_broadcast(last.select(*keys), delta_rows)
-    upserts = last.where(F.col(OP) == "U").select(*[f"`{c}`" for c in columns])
-    return base.join(touched, keys, "left_anti").select(*[f"`{c}`" for c in columns]).unionByName(upserts)
+        return deltas[0]
+    stacked = reduce(DataFrame.unionByName, [d.withColumn(_SEQ, F.lit(i)) for i, d in enumerate(deltas)])
+    newest = Window.partitionBy(*by).orderBy(F.col(_SEQ).desc())
+    return stacked.withColumn(_RANK, F.row_number().over(newest)).where(F.col(_RANK) == 1).drop(_SEQ, _RANK)
 
 
-def apply_multiset(base: DataFrame, deltas: list[DataFrame], delta_rows: int, removed_rows: int) -> DataFrame:
-    """Base plus the signed copies of all deltas together.
+def apply_keyed(base: DataFrame, deltas: list[DataFrame], keys: list[str], stored: int, touched: int) -> DataFrame:
+    """``stored`` is the number of delta rows, ``touched`` how many keys existed before; when
+    there are none the base needs no filter."""
+    columns = [f"`{c}`" for c in base.columns]
+    last = _last_word(deltas, keys)
+    upserts = last.where(F.col(OP) == "U").select(*columns)
+    if touched:
+        names = bounded_broadcast(last.select(*keys), stored)
+        base = base.join(names, keys, "left_anti").select(*columns)
+    return base.unionByName(upserts)
+
 
-    Signed counts add up in any order, so a chain of any length is one grouped sum over the
-    delta rows. Added copies are appended without looking at the base. Only when rows were
-    removed is the base fingerprinted: rows not concerned pass an anti join, rows concerned
-    are counted per fingerprint and written again as often as remains.
-    """
-    if not deltas:
-        return base
+def apply_multiset(base: DataFrame, deltas: list[DataFrame], touched: int) -> DataFrame:
+    """``touched`` is the number of delta rows that had copies before; when there are none the
+    base needs no filter."""
     columns = [f"`{c}`" for c in base.columns]
-    stacked = with_fingerprint(reduce(DataFrame.unionByName, deltas), base.columns)
-    if len(deltas) > 1:
-        content = F.first(F.struct(*columns)).alias("_tv_row")
-        net = stacked.groupBy(*FINGERPRINT).agg(F.sum(COPIES).alias(COPIES), content)
-        net = net.select(*FINGERPRINT, COPIES, "_tv_row.*")
-    else:
-        net = stacked
-    added = repeat_rows(net.where(F.col(COPIES) > 0).select(*columns, COPIES))
-    if removed_rows == 0:
-        return base.unionByName(added)
-    less = net.where(F.col(COPIES) < 0)
-    names = less.select(*FINGERPRINT)
-    small = fits_broadcast(names, delta_rows)
-    marked = with_fingerprint(base)
-    tally = F.count(F.lit(1)).alias("_tv_base")
-    if small:
-        names = F.broadcast(names)
-        counts = marked.join(names, FINGERPRINT, "left_semi").groupBy(*FINGERPRINT).agg(tally)
-    else:
-        # count first: copies are combined before the shuffle, whose partitioning the join reuses
-        counts = marked.groupBy(*FINGERPRINT).agg(tally)
-    untouched = marked.join(names, FINGERPRINT, "left_anti").select(*columns)
-    rest = less.join(counts, FINGERPRINT).withColumn(COPIES, F.col(COPIES) + F.col("_tv_base"))
-    return untouched.unionByName(repeat_rows(rest.select(*columns, COPIES))).unionByName(added)
+    marked = [with_fingerprint(d, base.columns) for d in deltas]
+    last = _last_word(marked, FINGERPRINT)
+    present = repeat_rows(last.where(F.col(COPIES) > 0).select(*columns, COPIES))
+    if touched:
+        earlier = reduce(DataFrame.unionByName, [d.where(F.col(BEFORE) > 0).select(*FINGERPRINT) for d in marked])
+        names = bounded_broadcast(earlier, touched)
+        base = with_fingerprint(base).join(names, FINGERPRINT, "left_anti").select(*columns)
+    return base.unionByName(present)

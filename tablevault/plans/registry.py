@@ -11,7 +11,7 @@ from tablevault.functions import scalars as X
 from tablevault.functions.fingerprint import portable_digest
 from tablevault.model import BackupRequest, BackupResult
 from tablevault.operators import catalog, loglines, retention
-from tablevault.operators.delta import COPIES, OP
+from tablevault.operators.delta import BEFORE, COPIES, OP
 from tablevault.operators.integrity import file_totals
 from tablevault.plans import chains, fixtures as fx
 from tablevault.sources.tables import data_size, parquet_tables
@@ -395,7 +395,8 @@ def chain_restore_earlier_state(spark, folder):
 @_register
 def keyless_delta_lineitem(spark, folder):
     _, before, now = fx.lineitem_states(spark, folder)
-    return _delta_of(spark, "lineitem", [before, now], ["full", "incremental"]).withColumnRenamed(COPIES, "copies")
+    found = _delta_of(spark, "lineitem", [before, now], ["full", "incremental"])
+    return found.withColumn("copies", F.col(COPIES) - F.col(BEFORE)).drop(COPIES, BEFORE)
 
 
 @_register

@@ -61,13 +61,13 @@ def _same_columns(a: T.StructType, b: T.StructType) -> bool:
 
 
 def payload_digest(mode: str) -> list[Column]:
-    """Aggregates over a fingerprinted payload. A deleted key counts -1 and a multiset row its
-    signed copies, so the digest of a delta is what it adds to the digest of a state."""
+    """Aggregates over a fingerprinted payload. Weights make the digest depend on what a delta
+    row says, not only on its columns: a deleted key counts -1, a multiset row by its copies."""
     weight = None
     if mode == KEYED:
         weight = F.when(F.col(delta.OP) == "U", 1).otherwise(-1)
     elif mode == MULTISET:
-        weight = F.col(delta.COPIES)
+        weight = delta.multiset_weight()
     metrics = [
         F.count(F.lit(1)).alias("row_count"),
         *[lane_sum(h, weight).alias(n) for h, n in zip(FINGERPRINT, ("digest1", "digest2"))],
@@ -245,18 +245,18 @@ class Vault:
         same = parent is not None and _same_columns(parent.state.schema, df.schema)
         info = dict(
             table_name=table, schema_json=df.schema.json(), key_columns=keys, high_water_column=grows,
-            high_water=None, upserts=None, deletes=None,
+            high_water=None, upserts=None, deletes=0, touched=0,
         )
         if not same or (grows and parent.manifest["high_water_column"] != grows):
             if keys and not delta.key_faults(df, keys).isEmpty():
                 raise ValueError(f"{table}: {keys} is repeated or null, not a key")
             seen = self._write(df, df.columns, FULL, path, request, grows)
-            info.update(op_mode=FULL, upserts=seen["row_count"], deletes=0, high_water=seen.pop("high_water", None))
+            info.update(op_mode=FULL, upserts=seen["row_count"], high_water=seen.pop("high_water", None))
             state = (seen["row_count"], seen["digest1"], seen["digest2"])
         elif grows:
             mark = parent.manifest["high_water"]
             seen = self._write(delta.after_high_water(df, grows, mark), df.columns, APPEND, path, request, grows)
-            info.update(op_mode=APPEND, upserts=seen["row_count"], deletes=0, high_water=seen.pop("high_water", None) or mark)
+            info.update(op_mode=APPEND, upserts=seen["row_count"], high_water=seen.pop("high_water", None) or mark)
             state = self._moved(parent, seen["row_count"], seen["digest1"], seen["digest2"])
         elif keys:
             changes = self._materialize(delta.keyed_changes(df, parent.state, keys), backup_id, table)
@@ -267,16 +267,16 @@ class Vault:
             seen = self._write(payload, df.columns, KEYED, path, request)
             if (seen["up_rows"], seen["up1"], seen["up2"]) != (found["upserts"], found["up1"], found["up2"]):
                 raise SourceChanged(f"{table} changed while it was read")
-            info.update(op_mode=KEYED, upserts=found["upserts"], deletes=found["deletes"])
+            info.update(op_mode=KEYED, upserts=found["upserts"], deletes=found["deletes"], touched=found["touched"])
             state = self._moved(parent, found["rows"], found["up1"] - found["out1"], found["up2"] - found["out2"])
         else:
             changes = self._materialize(delta.multiset_changes(df, parent.state), backup_id, table)
             found = delta.multiset_change_totals(changes).first()
-            payload = delta.multiset_payload(df, parent.state, changes, found["up_keys"], found["out_keys"])
+            payload = delta.multiset_payload(df, parent.state, changes, found["present"], found["gone"])
             seen = self._write(payload, df.columns, MULTISET, path, request)
-            if (seen["digest1"], seen["digest2"]) != (found["net1"], found["net2"]):
+            if (seen["digest1"], seen["digest2"]) != (found["digest1"], found["digest2"]):
                 raise SourceChanged(f"{table} changed while it was read")
-            info.update(op_mode=MULTISET, upserts=found["upserts"], deletes=found["deletes"])
+            info.update(op_mode=MULTISET, upserts=found["upserts"], deletes=found["deletes"], touched=found["touched"])
             state = self._moved(parent, found["upserts"] - found["deletes"], found["net1"], found["net2"])
         info.update({k: seen[k] for k in ("row_count", "digest1", "digest2", "raw_size")})
         info.update(zip(("state_rows", "state_digest1", "state_digest2"), state))
@@ -361,7 +361,7 @@ class Vault:
         schema = T.StructType.fromJson(json.loads(row["schema_json"]))
         void = _void_columns(schema)
         stored = [f for f in schema.fields if f.name not in void]
-        extra = {KEYED: [T.StructField(delta.OP, T.StringType())], MULTISET: [T.StructField(delta.COPIES, T.LongType())]}
+        extra = {KEYED: [T.StructField(delta.OP, T.StringType())], MULTISET: [T.StructField(c, T.LongType()) for c in (delta.COPIES, delta.BEFORE)]}
         reader = self.spark.read.schema(T.StructType(stored + extra.get(row["op_mode"], [])))
         if tolerant:
             reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
@@ -376,11 +376,12 @@ class Vault:
             run = list(run)
             rows = [r for r, _ in run]
             payloads = [self._payload(r, p) for r, p in run]
-            stored = sum(r["row_count"] for r in rows)
+            touched = sum(r["touched"] for r in rows)
             if mode == KEYED:
-                state = apply_keyed(state, payloads, rows[-1]["key_columns"], stored)
+                stored = sum(r["row_count"] for r in rows)
+                state = apply_keyed(state, payloads, rows[-1]["key_columns"], stored, touched)
             elif mode == MULTISET:
-                state = apply_multiset(state, payloads, stored, sum(r["deletes"] for r in rows))
+                state = apply_multiset(state, payloads, touched)
             else:
                 state = reduce(DataFrame.unionByName, payloads, state)
         return state
