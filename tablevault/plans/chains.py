@@ -85,19 +85,24 @@ def _is_member(t_type: Column, t_pos: Column) -> Column:
     )
 
 
+def literal_position(micros: int, backup_id: str) -> Column:
+    """A position as a constant. Times travel as microseconds, which no time zone can bend."""
+    return F.struct(F.timestamp_micros(F.lit(micros)).alias("started_at"), F.lit(backup_id).alias("id"))
+
+
 def chain_members(jobs: DataFrame, end: Column, target_type: str) -> DataFrame:
     """The chain of one target among the jobs of its database, ``end`` being its position.
 
     The heads are one row; they are fetched and put into the filter, which leaves two small scans
     instead of a join."""
     upto = successful(jobs).withColumn("pos", position()).where(F.col("pos") <= end)
-    heads = upto.agg(*_heads()).first()
-    if heads["full_pos"] is None:
+    found = upto.agg(*_heads())
+    heads = found.select(
+        *[c for n in ("full_pos", "head_pos") for c in (F.unix_micros(f"{n}.started_at").alias(f"{n}_us"), F.col(f"{n}.id").alias(f"{n}_id"))]
+    ).first()
+    if heads["full_pos_us"] is None:
         return upto.where(F.lit(False))
-    fixed = {
-        name: F.struct(F.lit(heads[name]["started_at"]).alias("started_at"), F.lit(heads[name]["id"]).alias("id"))
-        for name in ("full_pos", "head_pos")
-    }
+    fixed = {n: literal_position(heads[f"{n}_us"], heads[f"{n}_id"]) for n in ("full_pos", "head_pos")}
     return upto.withColumns(fixed).where(_is_member(F.lit(target_type), end))
 
 

@@ -95,7 +95,6 @@ def _delta(state: str) -> str:
     WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)"""
 
 
-_PICK = "'customer', 'documents', 'events', 'lineitem', 'orders'"
 _COUNTED = ["customer", "events", "lineitem", "orders"]
 
 
@@ -128,6 +127,9 @@ def oracle_sql() -> dict[str, str]:
         "manifest_row_counts": " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _COUNTED
         ),
+        "manifest_selection": " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("labels", "nation", "part", "supplier")
+        ),
         "table_digest_orders": f"""
             WITH h AS (SELECT sha256({digest_text}) AS x FROM orders)
             SELECT count(*) AS row_count,

@@ -13,8 +13,9 @@ from tablevault.model import BackupRequest, BackupResult
 from tablevault.operators import catalog, loglines, retention
 from tablevault.operators.delta import BEFORE, COPIES, OP
 from tablevault.operators.integrity import file_totals
+from tablevault.operators.selection import select_tables
 from tablevault.plans import chains, fixtures as fx
-from tablevault.sources.tables import data_size, parquet_tables
+from tablevault.sources.tables import data_size, parquet_tables, stored_files
 from tablevault.streaming import intake
 from tablevault.vault import Vault
 from tablevault.workspace import fresh_root
@@ -105,6 +106,24 @@ def manifest_row_counts(spark, folder):
     return vault.manifest(done.backup_id).select("table_name", "row_count")
 
 
+@_register
+def manifest_selection(spark, folder):
+    """The include and exclude rule on a listing held as a frame."""
+    vault = _vault(spark)
+    done = _run(vault, parquet_tables(spark, folder, fx.ALL_TABLES))
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "table_name string")
+    include = names("part", "supplier", "pages").union(names("labels", "part", "nation"))
+    return select_tables(vault.manifest(done.backup_id), include, names("pages", "region")).select("table_name", "row_count")
+
+
+@_register
+def stored_artifacts(spark, folder):
+    """Files of one table of a backup, found by the start of their path."""
+    vault = _vault(spark)
+    done = _run(vault, parquet_tables(spark, folder, ["orders", "customer"]))
+    return stored_files(spark, done.file_path, prefix="orders/").select("name", "length")
+
+
 @_register
 def artifact_files(spark, folder):
     vault = _vault(spark)
@@ -114,7 +133,7 @@ def artifact_files(spark, folder):
 
 @_register
 def database_size(spark, folder):
-    return data_size(spark, folder)
+    return data_size(spark, folder.rstrip("/"))
 
 
 @_register

@@ -102,20 +102,19 @@ def jdbc_database_size(spark: SparkSession, options: dict[str, str]) -> DataFram
     return spark.read.format("jdbc").options(**options).option("query", query).load()
 
 
-def stored_files(spark: SparkSession, *roots: str, prefix: str = "") -> DataFrame:
-    """``path, length, modificationTime`` of the files under the roots, filtered by the start of
-    the path. The content column is not selected, so no file is opened."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(list(roots))
-        .select("path", "length", "modificationTime")
-    )
-    return found.where(F.col("path").startswith(prefix)) if prefix else found
-
-
-def data_size(spark: SparkSession, *roots: str) -> DataFrame:
-    """Number of files and bytes under the roots."""
-    return stored_files(spark, *roots).agg(
+def stored_files(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """``name, path, length, modificationTime`` of the files under a root; ``name`` is relative to
+    the root and may be filtered by its start. The content column is not selected, so no file is
+    opened."""
+    base = root.rstrip("/") + "/"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    name = F.substring(F.col("path"), F.instr("path", base) + len(base), F.length("path"))
+    listed = found.select(name.alias("name"), "path", "length", "modificationTime")
+    return listed.where(F.col("name").startswith(prefix)) if prefix else listed
+
+
+def data_size(spark: SparkSession, root: str) -> DataFrame:
+    """Number of files and bytes under a root."""
+    return stored_files(spark, root).agg(
         F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("bytes")
     )

@@ -229,13 +229,11 @@ class Vault:
         if request.backup_type == "full":
             return {}, None, "full"
         kind = "full" if request.backup_type == "differential" else None
-        base = chains.last_backup(self.jobs(), db, F.lit(at), kind)
-        base = base.select("db_name", "backup_type", "started_at", "id").first()
-        members = self._chain_of(base) if base else []
+        members = self._chain_of(chains.last_backup(self.jobs(), db, F.lit(at), kind))
         if not members:
             return {}, None, "full"
         steps = self._steps(members)
-        return {t: _Parent(s[-1][0], self._rebuild(s)) for t, s in steps.items()}, base["id"], request.backup_type
+        return {t: _Parent(s[-1][0], self._rebuild(s)) for t, s in steps.items()}, members[-1]["id"], request.backup_type
 
     def _store(self, table: str, df: DataFrame, request: BackupRequest, backup_id: str, folder: str, parent: _Parent | None) -> dict:
         """Write one table, full or as a delta, and return what the manifest says about it."""
@@ -331,22 +329,25 @@ class Vault:
     # --- restore --------------------------------------------------------------------------
 
     def chain(self, backup_id: str) -> list[Row]:
-        """``id, file_path, started_at`` of the members of a restore chain, oldest first; empty
-        when the backup is unknown or has no full before it."""
-        jobs = chains.successful(self.jobs())
-        target = jobs.where(F.col("id") == backup_id).select("db_name", "backup_type", "started_at", "id").first()
-        return self._chain_of(target) if target else []
-
-    def _chain_of(self, target: Row) -> list[Row]:
-        jobs = chains.successful(self.jobs()).where(F.col("db_name") == target["db_name"])
-        end = F.struct(F.lit(target["started_at"]).alias("started_at"), F.lit(target["id"]).alias("id"))
-        members = chains.chain_members(jobs, end, target["backup_type"]).select("id", "file_path", "started_at")
-        return sorted(members.collect(), key=lambda r: (r["started_at"], r["id"]))
+        """``id, file_path, started_us, month`` of the members of a restore chain, oldest first;
+        empty when the backup is unknown or has no full before it."""
+        return self._chain_of(chains.successful(self.jobs()).where(F.col("id") == backup_id))
+
+    def _chain_of(self, target: DataFrame) -> list[Row]:
+        """The chain of the only job in ``target``."""
+        t = target.select("db_name", "backup_type", F.unix_micros("started_at").alias("us"), "id").first()
+        if t is None:
+            return []
+        jobs = chains.successful(self.jobs()).where(F.col("db_name") == t["db_name"])
+        members = chains.chain_members(jobs, chains.literal_position(t["us"], t["id"]), t["backup_type"])
+        month = F.date_format(F.col("started_at") - F.make_interval(days=F.lit(1)), "yyyy-MM").alias("month")
+        found = members.select("id", "file_path", F.unix_micros("started_at").alias("started_us"), month).collect()
+        return sorted(found, key=lambda r: (r["started_us"], r["id"]))
 
     def _steps(self, members: list[Row]) -> dict[str, list[tuple[Row, str]]]:
         """Per table the manifest rows to apply, starting at its last full copy in the chain."""
         order = {m["id"]: i for i, m in enumerate(members)}
-        rows = self._read("manifest").where(F.col("backup_id").isin(list(order))).collect()
+        rows = self._read("manifest", members[0]["month"]).where(F.col("backup_id").isin(list(order))).collect()
         steps: dict[str, list[tuple[Row, str]]] = {}
         for r in sorted(rows, key=lambda r: order[r["backup_id"]]):
             step = (r, f"{members[order[r['backup_id']]]['file_path']}/{r['table_name']}")

@@ -160,6 +160,43 @@ def test_corruption_is_found(spark, vault, tmp_path):
         vault.restore_to(done.backup_id, str(tmp_path / "out"), tables=["extra"])
 
 
+def test_large_files_are_checked_by_content(spark, vault, monkeypatch):
+    """A part too large to be hashed as one value keeps its length; rows cover its content."""
+    from tablevault.operators import integrity
+
+    monkeypatch.setattr(integrity, "HASH_LIMIT", 10)
+    done = vault.backup({"t": spark.range(0, 100, 1, 2)}, BackupRequest(db_name="s"))
+    assert [r["sha256"] for r in vault.files(done.backup_id).collect()] == [None, None] and done.checksum
+    assert {r["status"] for r in vault.verify_files(done.backup_id).collect()} == {"ok"}
+    spark.range(0, 100, 1, 2).selectExpr("id + 1 as id").write.mode("overwrite").parquet(f"{done.file_path}/t")
+    assert not vault.verify_content(done.backup_id).first()["content_ok"]
+
+
+def test_session_tables(spark, vault):
+    from tablevault.sources.tables import session_tables
+
+    spark.range(4).createOrReplaceTempView("shop_t")
+    done = vault.backup(session_tables(spark, ["shop_t"]), BackupRequest(db_name="s"))
+    assert vault.restore(done.backup_id)["shop_t"].count() == 4
+
+
+def test_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tablevault.workspace import shared_folder
+
+    def session(master, conf=None, context=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda _k, _d: conf),
+            sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: context),
+        )
+
+    with pytest.raises(ValueError):
+        shared_folder(session("yarn"))
+    assert shared_folder(session("yarn", conf="hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(session("yarn", context="hdfs:///c")) == "hdfs:///c"
+
+
 def test_expire_marks_then_deletes(spark, vault):
     import os
     from datetime import timedelta, timezone

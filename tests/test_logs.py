@@ -63,7 +63,10 @@ def test_stored_files(spark, tmp_path):
     (tmp_path / "a" / "x.bin").write_bytes(b"123")
     (tmp_path / "y.bin").write_bytes(b"12345")
     assert tuple(data_size(spark, str(tmp_path)).first()) == (2, 8)
-    assert [r["length"] for r in stored_files(spark, str(tmp_path), prefix=f"file:{tmp_path}/a/").collect()] == [3]
+    assert [(r["name"], r["length"]) for r in stored_files(spark, str(tmp_path), "a/").collect()] == [("a/x.bin", 3)]
+    assert sorted(r["name"] for r in stored_files(spark, f"file:{tmp_path}/").collect()) == ["a/x.bin", "y.bin"]
+    plan = stored_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
 
 
 def test_jdbc_options():
