@@ -44,28 +44,24 @@ def key_faults(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | has_null)
 
 
-def _key_index(df: DataFrame, keys: list[str], names: tuple[str, str, str]) -> DataFrame:
-    """One row per key with its fingerprint and how often the key occurs. Hash aggregation over
-    fixed-width values; its partitioning by key is reused by the join that follows."""
-    h1, h2, n = names
-    return with_fingerprint(df).groupBy(*keys).agg(
-        F.max(H1).alias(h1), F.max(H2).alias(h2), F.count(F.lit(1)).alias(n)
-    )
-
-
 def keyed_changes(cur: DataFrame, prev: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, op, cur_h1, cur_h2, prev_h1, prev_h2`` of every key that differs.
 
-    ``U`` inserted or changed, ``D`` deleted, ``X`` not usable as a key (repeated or null)."""
-    c = _key_index(cur, keys, ("cur_h1", "cur_h2", "cur_n"))
-    p = _key_index(prev, keys, ("prev_h1", "prev_h2", "prev_n"))
+    ``U`` inserted or changed, ``D`` deleted, ``X`` not usable as a key (repeated or null). The
+    current rows are grouped by key, which finds repeated keys and combines them before the
+    shuffle; the join reuses that partitioning. Keys of the previous state were checked when it
+    was stored."""
+    c = with_fingerprint(cur).groupBy(*keys).agg(
+        F.max(H1).alias("cur_h1"), F.max(H2).alias("cur_h2"), F.count(F.lit(1)).alias("cur_n")
+    )
+    p = with_fingerprint(prev).select(*keys, F.col(H1).alias("prev_h1"), F.col(H2).alias("prev_h2"))
     bad = F.col("cur_n") > 1
     for k in keys:
         bad = bad | F.col(f"`{k}`").isNull()
     differs = (F.col("cur_h1") != F.col("prev_h1")) | (F.col("cur_h2") != F.col("prev_h2"))
     op = (
         F.when(bad, "X")
-        .when(F.col("prev_n").isNull(), "U")
+        .when(F.col("prev_h1").isNull(), "U")
         .when(F.col("cur_n").isNull(), "D")
         .when(differs, "U")
     )

@@ -245,7 +245,12 @@ class Vault:
             table_name=table, schema_json=df.schema.json(), key_columns=keys, high_water_column=grows,
             high_water=None, upserts=None, deletes=0, touched=0,
         )
-        if not same or (grows and parent.manifest["high_water_column"] != grows):
+        # a delta needs the parent to have been stored under the same key or the same mark
+        if same and grows:
+            same = parent.manifest["high_water_column"] == grows
+        elif same and keys:
+            same = parent.manifest["key_columns"] == keys
+        if not same:
             if keys and not delta.key_faults(df, keys).isEmpty():
                 raise ValueError(f"{table}: {keys} is repeated or null, not a key")
             seen = self._write(df, df.columns, FULL, path, request, grows)

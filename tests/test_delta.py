@@ -88,6 +88,16 @@ def test_schema_change_and_new_table_are_stored_full(spark, vault, same_rows):
     assert same_rows(vault.restore(second.backup_id)["t"], wider)
 
 
+def test_change_of_key_is_stored_full(spark, vault):
+    """A state stored without a key may hold repeated keys, so a keyed delta cannot build on it."""
+    rows = spark.createDataFrame([(1, "a"), (1, "a")], "id int, v string")
+    keyless, keyed = BackupRequest(db_name="d"), BackupRequest(db_name="d", backup_type="incremental", keys={"t": ["id"]})
+    assert vault.backup({"t": rows}, keyless).success
+    done = vault.backup({"t": rows.limit(1)}, keyed)
+    assert vault.manifest(done.backup_id).first()["op_mode"] == "full"
+    assert vault.restore(done.backup_id)["t"].count() == 1
+
+
 def test_partial_backups_share_a_chain(spark, vault, same_rows):
     request = lambda kind, *t: BackupRequest(db_name="d", backup_type=kind, tables=list(t), keys={"a": ["id"], "b": ["id"]})
     make = lambda n: {"a": spark.range(n), "b": spark.range(n * 10)}
