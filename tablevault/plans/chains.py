@@ -106,42 +106,56 @@ def chain_members(jobs: DataFrame, end: Column, target_type: str) -> DataFrame:
     return upto.withColumns(fixed).where(_is_member(F.lit(target_type), end))
 
 
-def _running(df: DataFrame, bucket: str, measures: dict[str, tuple[Column, str]]) -> DataFrame:
+_FOLD = {"sum": F.sum, "max": F.max}
+
+
+def _fold_two(how: str, a: Column, b: Column) -> Column:
+    if how == "sum":
+        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    return F.greatest(a, b)
+
+
+def _carried(totals: DataFrame, hows: dict[str, str], unit: str, within: str | None = None) -> DataFrame:
+    """What all earlier ``unit`` totals of a database (of the same ``within``) add up to."""
+    by = ["db_name"] + ([within] if within else [])
+    earlier = Window.partitionBy(*by).orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [_FOLD[how](n).over(earlier).alias(n) for n, how in hows.items()]
+    return totals.select("db_name", *([within] if within else []), unit, *carried)
+
+
+def _running(df: DataFrame, measures: dict[str, tuple[Column, str]]) -> DataFrame:
     """Running sums and maxima per database without one task per database.
 
-    Totals per (database, time bucket) are combined map-side; only those totals are scanned in
-    order per database; rows are ordered only inside their bucket and add what came before.
+    Rows are ordered only inside one second of their database, the totals of seconds only inside
+    one day, and the totals of days per database: the calendar bounds what any task orders,
+    however many jobs a database has. Totals are combined before each shuffle.
     """
-    fold = {"sum": F.sum, "max": F.max}
-    local = Window.partitionBy("db_name", bucket).orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("db_name").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("db_name", bucket).agg(*[fold[how](v).alias(f"_t_{n}") for n, (v, how) in measures.items()])
-    carried = totals.select(
-        "db_name", bucket, *[fold[how](f"_t_{n}").over(earlier).alias(f"_c_{n}") for n, (_, how) in measures.items()]
+    hows = {n: how for n, (_, how) in measures.items()}
+    timed = df.withColumn("_second", F.date_trunc("second", F.col("started_at").cast("timestamp")))
+    seconds = timed.groupBy("db_name", "_second").agg(*[_FOLD[how](v).alias(n) for n, (v, how) in measures.items()])
+    seconds = seconds.withColumn("_day", F.date_trunc("day", "_second"))
+    days = seconds.groupBy("db_name", "_day").agg(*[_FOLD[how](n).alias(n) for n, how in hows.items()])
+    before_day = _carried(days, hows, "_day").withColumnsRenamed({n: f"_d_{n}" for n in hows})
+    before_second = _carried(seconds, hows, "_second", "_day").join(before_day, ["db_name", "_day"])
+    carry = before_second.select(
+        "db_name", "_second", *[_fold_two(how, F.col(n), F.col(f"_d_{n}")).alias(f"_c_{n}") for n, how in hows.items()]
     )
-    out = df.join(carried, ["db_name", bucket])
-    zero = F.lit(0).cast("bigint")
+    here = Window.partitionBy("db_name", "_second").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    out = timed.join(carry, ["db_name", "_second"])
     for name, (value, how) in measures.items():
-        here, before = fold[how](value).over(local), F.col(f"_c_{name}")
-        both = F.coalesce(here, zero) + F.coalesce(before, zero) if how == "sum" else F.greatest(here, before)
-        out = out.withColumn(name, both.cast("bigint"))
-    return out.drop(*[f"_c_{n}" for n in measures])
+        out = out.withColumn(name, _fold_two(how, _FOLD[how](value).over(here), F.col(f"_c_{name}")).cast("bigint"))
+    return out.drop("_second", *[f"_c_{n}" for n in hows])
 
 
-def backup_chains(jobs: DataFrame, bucket: str = "minute") -> DataFrame:
+def backup_chains(jobs: DataFrame) -> DataFrame:
     """Every successful backup with its group (running count of fulls), its segment (running
-    count of fulls and differentials) and the number of members of its restore chain.
-
-    ``bucket`` is the time unit inside which rows are ordered by one task; between buckets only
-    totals are ordered. Backups without an earlier full have chain length null.
-    """
+    count of fulls and differentials) and the number of members of its restore chain. Backups
+    without an earlier full have chain length null."""
     kind = F.col("backup_type")
     one = lambda condition: F.when(condition, 1).otherwise(0)
     rows = successful(jobs).select("id", "db_name", "backup_type", "started_at")
-    rows = rows.withColumn("_bucket", F.date_trunc(bucket, F.col("started_at").cast("timestamp")))
     counted = _running(
         rows,
-        "_bucket",
         {
             "grp": (one(kind == "full"), "sum"),
             "seg": (one(kind != "incremental"), "sum"),
@@ -151,7 +165,6 @@ def backup_chains(jobs: DataFrame, bucket: str = "minute") -> DataFrame:
     # both counters only grow, so their value at the last head is the largest seen at any head
     marked = _running(
         counted,
-        "_bucket",
         {
             "_inc_at_head": (F.when(kind != "incremental", F.col("_inc")), "max"),
             "_seg_at_full": (F.when(kind == "full", F.col("seg")), "max"),

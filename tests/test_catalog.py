@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +35,30 @@ def test_chain_members(spark):
     assert chains.restore_chain(jobs, chains.target_of(jobs, "x")).isEmpty()
     lengths = {r["id"]: r["chain_length"] for r in chains.backup_chains(jobs).collect()}
     assert lengths == {**{k: len(v) for k, v in MEMBERS.items()}, "other": 1}
-    assert {r["id"]: r["chain_length"] for r in chains.backup_chains(jobs, "year").collect()} == lengths
+
+
+def test_chains_of_jobs_close_together(spark):
+    """Several jobs within a second, within a day, and across days, against a plain loop."""
+    start, rows = datetime(2024, 1, 1, 23, 59, 58), []
+    for i in range(120):
+        kind = ("full", "incremental", "incremental", "differential", "incremental")[(i * i) % 5]
+        rows.append((f"b{i:03d}", f"db{i % 2}", kind, "success", start + timedelta(milliseconds=250 * i, days=i // 50)))
+    want = {}
+    for db in ("db0", "db1"):
+        full = head = inc = None
+        for id_, name, kind, _, _ in rows:
+            if name != db:
+                continue
+            if kind == "full":
+                full, head, inc = id_, "full", 0
+            elif kind == "differential":
+                head, inc = "differential", 0
+            else:
+                inc = (inc or 0) + 1
+            by_kind = {"full": 1, "differential": 2, "incremental": 1 + (head == "differential") + (inc or 0)}
+            want[id_] = by_kind[kind] if full else None
+    got = {r["id"]: r["chain_length"] for r in chains.backup_chains(frame(spark, *rows)).collect()}
+    assert got == want
 
 
 def test_chain_without_full(spark):
