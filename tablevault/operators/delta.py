@@ -187,12 +187,20 @@ def repeat_rows(df: DataFrame) -> DataFrame:
 # --- append-only tables with a growing column ---------------------------------------------
 
 
-def after_high_water(cur: DataFrame, column: str, high_water: str | None) -> DataFrame:
+def high_water(column: str, dtype: T.DataType) -> Column:
+    """The mark of a column as text. An instant is kept in microseconds, because its rendering
+    depends on the time zone of the session."""
+    mark = F.max(column)
+    return (F.unix_micros(mark) if isinstance(dtype, T.TimestampType) else mark).cast("string")
+
+
+def after_high_water(cur: DataFrame, column: str, mark: str | None) -> DataFrame:
     """Rows past the recorded mark; a plain comparison that the scan can use.
 
     Exact only for tables that grow at the end of ``column``: late rows, changes and deletes
     leave no trace here and need a keyed or key-less delta."""
-    if high_water is None:
+    if mark is None:
         return cur
-    mark: Column = F.lit(high_water).cast(cur.schema[column].dataType)
-    return cur.where(F.col(column) > mark)
+    dtype = cur.schema[column].dataType
+    limit = F.timestamp_micros(F.lit(int(mark))) if isinstance(dtype, T.TimestampType) else F.lit(mark).cast(dtype)
+    return cur.where(F.col(column) > limit)

@@ -163,7 +163,7 @@ class Vault:
         result says so.
         """
         request = request or BackupRequest()
-        at = at or datetime.now(timezone.utc)
+        at = (at or datetime.now(timezone.utc)).astimezone(timezone.utc)
         clock = time.monotonic()
         db = request.db_name or "unknown"
         stamp = at.strftime("%Y-%m-%dT%H-%M-%S-") + f"{at.microsecond // 1000:03d}Z"
@@ -305,7 +305,7 @@ class Vault:
         """
         metrics = payload_digest(mode)
         if grows:
-            metrics.append(F.max(grows).cast("string").alias("high_water"))
+            metrics.append(delta.high_water(grows, df.schema[grows].dataType).alias("high_water"))
         seen = Observation()
         kept = [f"`{c}`" for c in df.columns if c not in _void_columns(df.schema)]
         out = with_fingerprint(df, columns, length=True).observe(seen, *metrics).select(*kept)

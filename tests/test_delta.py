@@ -168,6 +168,23 @@ def test_high_water_filter_reaches_the_scan(spark):
     assert "GreaterThan(ts" in plan
 
 
+def test_high_water_survives_another_time_zone(spark, vault):
+    e = fx.table(spark, SMALL, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    request = lambda kind: BackupRequest(db_name="d", backup_type=kind, high_water={"events": "ts"})
+    middle = F.timestamp_micros(F.lit(1705276800000000))
+    assert vault.backup({"events": e.where(F.col("ts") < middle)}, request("full")).success
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        e = e.withColumn("ts", F.timestamp_micros(F.unix_micros("ts")))
+        done = vault.backup({"events": e}, request("incremental"))
+        assert done.success, done.error
+        assert vault.restore(done.backup_id)["events"].count() == vault.manifest(done.backup_id).first()["state_rows"]
+        late = e.where(F.col("ts") > e.where(F.col("ts") < middle).agg(F.max("ts")).first()[0]).count()
+        assert vault.manifest(done.backup_id).first()["row_count"] == late > 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_high_water_of_empty_base(spark, vault):
     e = fx.table(spark, SMALL, "events")
     request = lambda kind: BackupRequest(db_name="d", backup_type=kind, high_water={"events": "ts"})
