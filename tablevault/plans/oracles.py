@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tablevault.plans.fixtures import ALL_TABLES
+
 _JOBS = """
 base AS (
   SELECT *, CAST(round(value * 100) AS BIGINT) AS n,
@@ -124,6 +126,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS pos,
               CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings""",
         "selected_tables_restore_customer": "SELECT * FROM customer",
+        "chunked_backup_elsewhere_events": "SELECT * FROM events",
+        "backup_job_and_log": """
+            SELECT 'postgresql' AS db_type, 'shop' AS db_name, 'full' AS backup_type, 'success' AS status,
+              'gzip' AS compression_type, '1.0' AS backup_version, 0 AS retry_count, 'info' AS log_level,
+              'Backup completed successfully' AS log_message, count(*) AS tables, CAST(sum(n) AS BIGINT) AS total_rows
+            FROM (""" + " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in ALL_TABLES) + ")",
+        "delta_totals_orders": f"""WITH {_ORDER_STATES},
+            up1 AS (SELECT * FROM s1 EXCEPT SELECT * FROM s0), up2 AS (SELECT * FROM orders EXCEPT SELECT * FROM s0)
+            SELECT 'full' AS backup_type, count(*) AS upserts, CAST(0 AS BIGINT) AS deletes, count(*) AS state_rows FROM s0
+            UNION ALL SELECT 'incremental', (SELECT count(*) FROM up1),
+              (SELECT count(*) FROM s0 WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s1)), (SELECT count(*) FROM s1)
+            UNION ALL SELECT 'differential', (SELECT count(*) FROM up2),
+              (SELECT count(*) FROM s0 WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)), (SELECT count(*) FROM orders)""",
         "manifest_row_counts": " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _COUNTED
         ),

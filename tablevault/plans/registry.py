@@ -96,6 +96,27 @@ def selected_tables_restore_customer(spark, folder):
     return spark.read.parquet(f"{vault.root}/restored/customer")
 
 
+@_register
+def chunked_backup_elsewhere_events(spark, folder):
+    """Parts of bounded length in a folder other than the vault's."""
+    return _round_trip(spark, folder, "events", chunk_rows=1000, output=fresh_root(spark))
+
+
+@_register
+def backup_job_and_log(spark, folder):
+    """What one run leaves in the catalog: the job with its log, and the rows it covers."""
+    vault = _vault(spark)
+    done = _run(vault, parquet_tables(spark, folder, fx.ALL_TABLES))
+    job = catalog.jobs_with_log_rows(vault.jobs(), vault.logs())
+    rows = vault.manifest(done.backup_id).groupBy(F.col("backup_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("tables"), F.sum("row_count").alias("total_rows")
+    )
+    return job.join(rows, "id").select(
+        "db_type", "db_name", "backup_type", "status", "compression_type", "backup_version", "retry_count",
+        "log_level", "log_message", "tables", "total_rows",
+    )
+
+
 @_register
 def manifest_row_counts(spark, folder):
     vault = _vault(spark)
@@ -434,6 +455,15 @@ def highwater_chain_restore_events(spark, folder):
     return _restored(spark, "events", fx.event_states(spark, folder), ["full", "incremental", "incremental"], **_EVENT_MARK)
 
 
+@_register
+def delta_totals_orders(spark, folder):
+    """Counts the manifest carries along a chain: changes of each backup, rows of each state."""
+    vault = _vault(spark)
+    _history(vault, "orders", fx.order_states(spark, folder), ["full", "incremental", "differential"], **_ORDER_KEY)
+    jobs = vault.jobs().select(F.col("id").alias("backup_id"), "backup_type")
+    return vault.manifest().join(jobs, "backup_id").select("backup_type", "upserts", "deletes", "state_rows")
+
+
 @_register
 def base_selection(spark, folder):
     base = chains.last_backup(_jobs(spark, folder), "db2", fx.stamp("2024-01-20"), "full")
