@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablevault.llm import packing, quality_hosts, token_files
+from tablevault.llm import chat, mixing, packing, quality_hosts, secret_ledger, token_files, topk
 from tablevault.workspace import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select(*columns)
 
 
+@_register
+def op1_mix_sources(spark, folder):
+    planned = mixing.mix(documents(spark, folder, "doc_id", "text", "source"), carry=["doc_id"])
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
+
+
 @_register
 def op3_best_fit_packing(spark, folder):
     docs = documents(spark, folder, "doc_id", "text")
@@ -56,4 +62,42 @@ def op6_host_rules(spark, folder):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_SQL: dict[str, str] = {}
+@_register
+def op7_perspective_rotation(spark, folder):
+    return chat.rotate(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@_register
+def op9_secret_ledger(spark, folder):
+    ledger = f"{shared_folder(spark)}/llm-ledger-{uuid.uuid4().hex}"
+    docs = documents(spark, folder, "doc_id", "text")
+    return secret_ledger.digests(secret_ledger.scan_secrets(docs, ledger, drop_text=True))
+
+
+@_register
+def op10_exact_top_k(spark, folder):
+    vectors = topk.to_integers(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return topk.top_k(vectors, vectors.where("id % 50 = 0"), 5)
+
+
+_SQL: dict[str, str] = {
+    "op7_perspective_rotation": """
+with said as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
+people as (select distinct conv_id, role as perspective from said where role <> 'system'),
+each as (select s.*, p.perspective, '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system'
+    else 'user name=' || role end || chr(10) as head from said s join people p on s.conv_id is not distinct from p.conv_id),
+pieces as (select *, head || text || '<|im_end|>' || chr(10) as piece from each),
+placed as (select *, length(piece) as length, cast(coalesce(sum(length(piece)) over (partition by conv_id, perspective
+    order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as bigint) as start from pieces)
+select conv_id, perspective, turn, role, piece, start, length, case when role = perspective then start + length(head) end as mask_start,
+    case when role = perspective then start + length end as mask_end from placed
+""",
+    "op10_exact_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+""",
+}
