@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablevault.llm import chat, mixing, packing, quality_hosts, secret_ledger, token_files, topk
+from tablevault.llm import chat, language, mixing, packing, quality_hosts, scoring, secret_ledger, token_files, topk
+from tablevault.llm.common import crc_of_id
 from tablevault.workspace import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,13 @@ def op1_mix_sources(spark, folder):
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
 
 
+@_register
+def op2_language_id(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text", "lang").withColumn("held_out", F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2)
+    model = language.fit(docs.where("not held_out"))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
 @_register
 def op3_best_fit_packing(spark, folder):
     docs = documents(spark, folder, "doc_id", "text")
@@ -56,6 +64,12 @@ def op4_token_files(spark, folder):
     return token_files.decode_documents(spark, path)
 
 
+@_register
+def op5_bloom_scores(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text")
+    return scoring.score(docs.withColumn("held_out", F.pmod(crc_of_id(F.col("doc_id")), F.lit(7)) == 2))
+
+
 @_register
 def op6_host_rules(spark, folder):
     judged = quality_hosts.quality_rules(documents(spark, folder, "doc_id", "text", "source"), carry=["doc_id"])
