@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablevault.llm import chat, language, mixing, packing, quality_hosts, scoring, secret_ledger, token_files, topk
+from tablevault.llm import chat, jaccard, language, mixing, packing, quality_hosts, scoring, secret_ledger, token_files, topk
 from tablevault.llm.common import crc_of_id
 from tablevault.workspace import shared_folder
 
@@ -81,6 +81,11 @@ def op7_perspective_rotation(spark, folder):
     return chat.rotate(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+@_register
+def op8_jaccard_join(spark, folder):
+    return jaccard.jaccard_components(documents(spark, folder, "doc_id", "text"), 4, 85)
+
+
 @_register
 def op9_secret_ledger(spark, folder):
     ledger = f"{shared_folder(spark)}/llm-ledger-{uuid.uuid4().hex}"
