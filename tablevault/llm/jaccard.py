@@ -28,13 +28,14 @@ from tablevault.llm.common import WordHash, settle, small_batches, words_of
 from tablevault.llm.scoring import mixed
 
 #: A shingle is frequent above so many unlike classes, if these are more than half of all that have it.
-FREQUENT = 16
+FREQUENT = 6
 #: Shingles of a bucket, about.
 BUCKET_SHINGLES = 1_000_000
 #: Rounds before the last one, and signatures of a class in each.
-ROUNDS, TRIED = 2, 6
+ROUNDS, TRIED = 2, 4
 #: Classes that meet around one centre, and members that one task verifies against it.
 AROUND = 64
+QUARTERS = np.arange(4, dtype=np.uint64) << np.uint64(62)
 #: Rows of a table that is sent to every task at most.
 SENT_ROWS = 1_000_000
 
@@ -68,64 +69,77 @@ def _class_of(shingles: np.ndarray) -> int | None:
 
 
 def _marks(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, h (hash of the text), c (class), n, look (smallest hash), head (the smallest hashes, some more than a prefix), whole."""
+    """doc_id, h (hash of the text), c (class), n, look (smallest hash of each quarter of the range), head (the smallest hashes, some more than a prefix), whole."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in small_batches(batches, "text"):
             rows = []
             for s in _sets(batch.column("text").to_pylist(), width, hashes):
-                need = 3 * (spare(len(s), percent) + 1) // 2 + 32
-                rows.append((_class_of(s), len(s), int(s[0]) - (1 << 63) if len(s) else None, s[:need].tobytes(), need >= len(s)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+                need = 5 * (spare(len(s), percent) + 1) // 4 + 16
+                look = [int(x) for x in np.append(s, 0)[np.searchsorted(s, QUARTERS)].view(np.int64)]
+                rows.append((_class_of(s), len(s), look, s[:need].tobytes(), need >= len(s)))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.bool_()]
             columns = [batch.column("doc_id"), batch.column("h"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "c", "n", "look", "head", "whole"])
 
-    return docs.mapInArrow(read, "doc_id long, h long, c long, n long, look long, head binary, whole boolean")
+    return docs.mapInArrow(read, "doc_id long, h long, c long, n long, look array<bigint>, head binary, whole boolean")
 
 
-def _postings(classes: DataFrame, bits: int) -> DataFrame:
-    """(sig, c, n, frequent) for every listed shingle that two classes or more have."""
+def _shared(lists: DataFrame, bits: int) -> DataFrame:
+    """(sig, c, pos) for every listed shingle (c, head) that two classes or more have; pos is its place in the list."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                lists = [np.frombuffer(x.as_py(), "<u8") for x in part.column("head")]
-                sizes = [len(x) for x in lists]
-                flat = np.concatenate(lists)
+            classes, first = np.unique(batch.column("c").to_numpy(), return_index=True)  # copies send one list
+            parts = [np.frombuffer(batch.column("head")[int(i)].as_py(), "<u8") for i in first]
+            if parts:
+                sizes = np.array([len(x) for x in parts])
+                flat = np.concatenate(parts)
                 bucket = (flat & np.uint64((1 << bits) - 1)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                flat, bucket = flat[order], bucket[order]
-                owner = np.repeat(np.arange(len(lists)), sizes)[order]
-                used, first = np.unique(bucket, return_index=True)
-                bounds = np.append(first, len(flat))
-                names = ["c", "n", "look"]
-                side = [part.column(k).to_numpy()[owner] for k in names]
-                columns = [pa.array(used)] + [pa.array([v[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for v in (flat, *side)]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", *names])
-
-    def count(table: pa.Table) -> pa.Table:
-        token, c, n, look = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table.column(name)]) for name, k in (("tokens", "<u8"), ("c", "<i8"), ("n", "<i8"), ("look", "<i8")))
+                place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype("<u4")
+                used, at = np.unique(bucket[order], return_index=True)
+                bounds = list(zip(at, np.append(at[1:], len(flat)), strict=True))
+                cells = [flat[order], np.repeat(classes, sizes)[order], place[order]]
+                columns = [pa.array(used)] + [pa.array([v[x:y].tobytes() for x, y in bounds], pa.binary()) for v in cells]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "c", "pos"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        token, c, pos = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table.column(name)]) for name, k in (("tokens", "<u8"), ("c", "<i8"), ("pos", "<u4")))
         order = np.argsort(token, kind="stable")
         token = token[order]
         again = np.zeros(len(token), bool)
-        same = token[1:] == token[:-1]
-        again[1:] |= same
-        again[:-1] |= same
+        again[1:] = token[1:] == token[:-1]
+        again[:-1] |= again[1:]
         token, order = token[again], order[again]
-        c, n, look = c[order], n[order], look[order]
-        unlike = np.lexsort((look, token))
-        group = np.concatenate(([0], np.cumsum(token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+        c, pos = c[order], pos[order]
+        both = np.lexsort((c, token))
+        token, c, pos = token[both], c[both], pos[both]
         new = np.ones(len(token), bool)
-        t, k = token[unlike], look[unlike]
-        new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-        kinds, members = np.bincount(group, weights=new), np.bincount(group)
-        frequent = ((kinds > FREQUENT) & (2 * kinds > members))[group] if len(token) else np.zeros(0, bool)
-        return pa.table([pa.array(token.view("<i8")), pa.array(c), pa.array(n), pa.array(frequent)], ["sig", "c", "n", "frequent"])
-
-    dealt = classes.select("c", "n", "look", "head").mapInArrow(deal, "bucket long, tokens binary, c binary, n binary, look binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "sig long, c long, n long, frequent boolean")
+        new[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
+        token, c, pos = token[new], c[new], pos[new]
+        edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+        keep = np.repeat(np.diff(edge) > 1, np.diff(edge)) if len(token) else np.zeros(0, bool)
+        return pa.table([pa.array(token[keep].view("<i8")), pa.array(c[keep]), pa.array(pos[keep].astype(np.int32))], ["sig", "c", "pos"])
+
+    dealt = lists.mapInArrow(deal, "bucket long, tokens binary, c binary, pos binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "sig long, c long, pos int")
+
+
+def _postings(lists: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
+    """(sig, c, n, frequent, rank): shared shingles of each class; rank counts the rare ones, shared or not, before it."""
+    shared = settle(_shared(lists, bits), "shared").join(classes.select("c", "n", "look"), "c")
+    shared = settle(shared, "shared")
+    many = shared.groupBy("sig").agg(F.count("*").alias("members")).where(F.col("members") > FREQUENT)
+    looks = shared.join(many, "sig").select("sig", "members", F.posexplode("look").alias("quarter", "look")).distinct()
+    unlike = looks.groupBy("sig", "members", "quarter").agg(F.count("*").alias("kinds"))
+    unlike = unlike.where((F.col("kinds") > FREQUENT) & (2 * F.col("kinds") > F.col("members")))
+    often = unlike.select(F.col("sig").alias("_sig")).distinct()
+    told = shared.join(often, F.col("sig") == F.col("_sig"), "left").withColumn("frequent", F.col("_sig").isNotNull())
+    before = Window.partitionBy("c").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    skipped = F.coalesce(F.sum(F.col("frequent").cast("int")).over(before), F.lit(0))
+    return told.select("sig", "c", "n", "frequent", (F.col("pos") - skipped).alias("rank"))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -137,15 +151,15 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(c, all): every shingle of the wanted classes."""
+    """(c, head): every shingle of the wanted classes."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in small_batches(batches, "text"):
             sets = [s.tobytes() for s in _sets(batch.column("text").to_pylist(), width, hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(sets, pa.binary())], ["c", "all"])
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(sets, pa.binary())], ["c", "head"])
 
-    return _fetch(docs, wanted).select("c", "text").dropDuplicates(["c"]).mapInArrow(whole, "c long, all binary")
+    return _fetch(docs, wanted).select("c", "text").dropDuplicates(["c"]).mapInArrow(whole, "c long, head binary")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -244,38 +258,37 @@ def _combinations(short: DataFrame, posts: DataFrame, percent: int) -> DataFrame
     return lists.mapInPandas(combine, "sig long, c long, n long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id of (doc_id, text).
-
-    A document's set holds the distinct runs of ``width`` words (A-Z lower-cased; fewer words are one run); it is empty
-    without words, and then linked with nothing. Documents link when 100 * common >= percent * all of both. component_id is the
-    smallest doc_id reached by links, its own included; null ids take part but name a component only if it has no other.
-    Repeated rows stay and share a class; other columns are dropped; an empty table gives an empty one.
-    """
+def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Marks of all documents, and (c, comp, component): each class with its component and the least id in that."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     marks = settle(_marks(docs, width, percent), "marks")
     # One document stands for each class; copies meet within their partition before they move.
     chosen = F.min(F.struct("h", F.col("doc_id").alias("id"))).alias("chosen")
-    rest = [F.first(k).alias(k) for k in ("n", "look", "head", "whole")]
-    linked = spare_from(percent)
-    classes = marks.where(F.col("n") >= linked).groupBy("c").agg(chosen, *rest).select("c", "chosen.h", "chosen.id", "n", "look", "head", "whole")
+    rest = [F.first(k).alias(k) for k in ("n", "look", "held", "whole")]
+    able = marks.where(F.col("n") >= spare_from(percent)).withColumn("held", (F.length("head") / 8).cast("long"))
+    classes = able.groupBy("c").agg(chosen, *rest).select("c", "chosen.h", "chosen.id", "n", "look", "held", "whole")
     classes = settle(classes, "classes")
-    listed = classes.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8
+    listed = classes.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     bits = max(4, int(listed // BUCKET_SHINGLES).bit_length())
     need = F.expr(f"n - ceil({percent} * n / 100) + 1")
+    lists, full = able.select("c", "head"), None
     while True:  # until every class either has enough rare shingles in its list or lists them all
-        posts = settle(_postings(classes, bits), "postings")
+        posts = settle(_postings(lists, classes, bits), "postings")
         often = posts.where("frequent").groupBy("c").agg(F.count("*").alias("often"))
-        lacking = classes.join(often, "c").where(F.length("head") / 8 - F.col("often") < need)
-        short = settle(lacking.select("c", "h", "id", "n", "whole"), "short")
+        short = settle(classes.join(often, "c").where(F.col("held") - F.col("often") < need), "short")
         part = short.where("not whole")
         if part.isEmpty():
             break
-        full = _whole_sets(docs, part.select("c", "h", "id"), width)
-        joined = classes.join(full, "c", "left")
-        joined = joined.withColumn("head", F.coalesce("all", "head")).withColumn("whole", F.col("whole") | F.col("all").isNotNull())
+        added = settle(_whole_sets(docs, part.select("c", "h", "id"), width), "whole")
+        full = added if full is None else full.unionByName(added)
+        done = full.select("c", F.lit(True).alias("all"))
+        few = done.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+        sent = F.broadcast(done) if few else done
+        lists = able.select("c", "head").join(sent, "c", "left_anti").unionByName(full)
+        joined = classes.join(sent, "c", "left")
+        joined = joined.withColumn("held", F.when(F.col("all"), F.col("n").cast("long")).otherwise(F.col("held"))).withColumn("whole", F.col("whole") | F.col("all").isNotNull())
         classes = settle(joined.drop("all"), "classes")
-    posts = posts.where("not frequent").select("sig", "c", "n").unionByName(_combinations(short, posts, percent))
+    posts = posts.where(~F.col("frequent") & (F.col("rank") < need)).select("sig", "c", "n").unionByName(_combinations(short, posts, percent))
     sizes = posts.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig")
     posts = settle(posts.join(sizes, "sig"), "signatures")
 
@@ -292,11 +305,46 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     labels = (labels.withColumn("comp", F.col("c")) if comps is None else labels.join(comps, "c", "left")).withColumn("comp", F.coalesce("comp", "c"))
     labels = settle(labels, "labels")
     names = labels.groupBy("comp").agg(F.min("least").alias("component"))
-    labels = settle(labels.join(names, "comp").select(F.col("c").alias("_c"), "component"), "names")
+    return marks, settle(labels.join(names, "comp").select(F.col("c").alias("_c"), "comp", "component"), "names")
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles and component_id of (doc_id, text).
+
+    A document's set holds the distinct runs of ``width`` words (A-Z lower-cased; fewer words are one run); it is empty
+    without words, and then linked with nothing. Documents link when 100 * common >= percent * all of both. component_id is the
+    smallest doc_id reached by links, its own included; null ids take part but name a component only if it has no other.
+    Repeated rows stay and share a class; other columns are dropped; an empty table gives an empty one.
+    """
+    marks, labels = _linked(docs, width, percent)
     out = marks.select("doc_id", "n", "c").join(labels, F.col("c") == F.col("_c"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def drop_linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without all but one of each component: that with the least doc_id (null last), then hash of the text.
+
+    Columns stay as they are; of repeated rows one stays, rows without words all stay.
+    """
+    marks, labels = _linked(docs, width, percent)
+    rows = marks.where("c is not null").select("doc_id", "h", "c").join(labels, F.col("c") == F.col("_c"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    kept = rows.groupBy("comp").agg(first.alias("k")).select("comp", F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_kept"))
+    judged = rows.join(kept, "comp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_kept")))
+    judged = settle(judged.select("doc_id", "h", "stays"), "judged")
+    gone = judged.where("not stays").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    few = gone.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    left = keyed.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    twice = judged.where("stays").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    twice = settle(twice, "twice")
+    if not twice.isEmpty():
+        once = left.join(twice, same, "left_semi").dropDuplicates(["_doc", "_text"])
+        left = left.join(twice, same, "left_anti").unionByName(once)
+    return left.select("_row.*")
+
+
 def spare_from(percent: int) -> int:
     """The least size of a set that can be similar to another one: a set of one more shingle, at best."""
     return next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1)) if percent < 100 else math.inf
