@@ -17,15 +17,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Lower-cases A-Z and nothing else, on UTF-8 bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Spark's setting for removing the shuffle files of a finished execution.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to a new table in the shared folder and read it back.
 
-    Cuts the lineage with files that outlive an executor, and fixes the rows and their partitions.
+    Cuts the lineage with files that outlive an executor, and fixes the rows and their partitions. Shuffle files of the
+    write are of no use to anyone after it, so Spark is told to remove them then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -62,7 +62,7 @@ def split_quotas(counts: np.ndarray, shards: int, wanted: range, seed: int) -> I
 
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block_rows: int = 64,
-    shard_words: int = 1 << 24, seed: int = 17, carry: list[str] | None = None,
+    shard_words: int = 1 << 20, seed: int = 17, carry: list[str] | None = None,
 ) -> DataFrame:
     """Add to each row its size, source_size, target (its source's) and ``copies``: array of (shard, epoch, position).
 
@@ -103,7 +103,8 @@ def mix(
     shards = max(1, round(wanted.sum() / shard_words))
     owners = _owners(docs, blocks, plan["_bits"].tolist(), shards, seed)
 
-    out = _slots(rows, _frame(docs, plan)).join(owners, ["_rank", "_slot"], "left")
+    few = owners.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    out = _slots(rows, _frame(docs, plan)).join(F.broadcast(owners) if few else owners, ["_rank", "_slot"], "left")
     inside = lambda c: (c["epoch"] < F.col("_passes")) | (F.col("_slot") < F.col("_cut")) | (F.col("_u") <= F.col("_cut_u"))
     place = lambda c: F.struct(c["shard"].alias("shard"), c["epoch"].alias("epoch"), F.xxhash64(F.lit(seed), F.col("_u"), c["epoch"]).alias("position"))
     copies = F.transform(F.filter(F.coalesce("_owned", F.expr("cast(array() as array<struct<epoch:int,shard:long>>)")), inside), place)
@@ -118,10 +119,9 @@ def mixed_rows(planned: DataFrame) -> DataFrame:
     return rows.withColumn("_copy", F.explode("copies")).select(*[c for c in rows.columns if c not in ADDED], "_copy.*")
 
 
-def write_shards(planned: DataFrame, path: str) -> None:
-    """One folder for each shard, its rows in their shuffled order."""
-    rows = mixed_rows(planned)
-    rows.repartition("shard").sortWithinPartitions("shard", "position").write.partitionBy("shard").parquet(path)
+def shuffled(planned: DataFrame) -> DataFrame:
+    """The mix with the rows of a shard together and in their shuffled order."""
+    return mixed_rows(planned).repartition("shard").sortWithinPartitions("shard", "position")
 
 
 def _frame(docs: DataFrame, plan: pd.DataFrame) -> DataFrame:
