@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Accepted spellings of database types and their canonical names.
@@ -29,6 +31,13 @@ def _div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
 
 
+def redact_secrets(text: str) -> str:
+    """Driver-side text without passwords: JSON members, ``key=value`` forms and URLs with credentials."""
+    text = re.sub(r'("(?:password|passwd|pwd)"\s*:\s*)"(?:\\.|[^"\\])*"', r'\1"***"', text, flags=re.I)
+    text = re.sub(r"\b((?:password|passwd|pwd)\s*=\s*)(?:'[^']*'|\"[^\"]*\"|[^\s&;,'\"]+)", r"\1***", text, flags=re.I)
+    return re.sub(r"(\w[\w+.:-]*://[^\s/:@]*):[^\s/@]+@", r"\1:***@", text)
+
+
 def iso_stamp(ts: str | Column) -> Column:
     """ISO-8601 UTC time with ``:`` and ``.`` replaced, fit for a file name."""
     return F.translate(F.date_format(_c(ts).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), ":.", "--")

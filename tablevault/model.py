@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 # The words the catalog stores.
 BACKUP_TYPES = ("full", "incremental", "differential")
-STATUSES = ("pending", "running", "success", "failed")
+STATUSES = ("pending", "running", "success", "failed", "expired")
 CODECS = ("gzip", "zstd", "none")
 BACKUP_VERSION = "1.0"
 DEFAULT_LIST_LIMIT = 20
@@ -26,15 +26,15 @@ _TEXT, _INT, _LONG, _TIME, _SUM = T.StringType(), T.IntegerType(), T.LongType(),
 JOB_EVENTS = _schema(
     id=_TEXT, seq=_INT, db_type=_TEXT, db_name=_TEXT, backup_type=_TEXT, status=_TEXT, file_path=_TEXT, file_name=_TEXT,
     file_size=_LONG, compressed_size=_LONG, raw_size=_LONG, compression_type=_TEXT, backup_version=_TEXT, retry_count=_INT,
-    checksum=_TEXT, started_at=_TIME, completed_at=_TIME, duration=T.DoubleType(), error=_TEXT, metadata=_TEXT, parent_id=_TEXT,
+    checksum=_TEXT, started_at=_TIME, completed_at=_TIME, duration=T.DoubleType(), error=_TEXT, metadata=_TEXT, parent_id=_TEXT, full_id=_TEXT, head_id=_TEXT,
 )
 BACKUP_LOGS = _schema(id=_LONG, backup_job_id=_TEXT, timestamp=_TIME, level=_TEXT, message=_TEXT, details=_TEXT)
 MANIFEST = _schema(
     backup_id=_TEXT, table_name=_TEXT, op_mode=_TEXT, key_columns=T.ArrayType(_TEXT), schema_json=_TEXT,
     row_count=_LONG, digest1=_SUM, digest2=_SUM, files=_LONG, bytes=_LONG, raw_size=_LONG, high_water_column=_TEXT,
-    high_water=_TEXT, upserts=_LONG, deletes=_LONG, touched=_LONG, state_rows=_LONG, state_digest1=_SUM, state_digest2=_SUM,
+    high_water=_TEXT, null_marks=_LONG, upserts=_LONG, deletes=_LONG, touched=_LONG, state_rows=_LONG, state_digest1=_SUM, state_digest2=_SUM,
 )
-FILES = _schema(backup_id=_TEXT, table_name=_TEXT, path=_TEXT, length=_LONG, sha256=_TEXT)
+FILES = _schema(backup_id=_TEXT, table_name=_TEXT, path=_TEXT, length=_LONG, row_count=_LONG, digest1=_SUM, digest2=_SUM)
 
 _SAFE_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from tablevault.functions.fingerprint import DIGEST, lane, lane_sum
+from tablevault.workspace import path_exists
 
-# A row of the binary source holds one whole file. Larger files keep a null hash; their content
-# is then covered by length and by the table digest, which reads rows instead of bytes.
-HASH_LIMIT = 1 << 30
+FILE = "_tv_file"
 
 
 def _table_of(path_column: str, folder: str):
@@ -28,40 +27,46 @@ def _binary(spark: SparkSession, folder: str):
 
 
 def list_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """``table_name, path, length`` of the part files of a backup; contents are not read."""
+    """``table_name, path, length`` of the part files of a backup; contents are not read. A folder
+    that is gone holds no files."""
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([], "table_name string, path string, length bigint")
     return _binary(spark, folder).load(folder).select(
         _table_of("path", folder).alias("table_name"), "path", "length"
     )
 
 
-def hash_parts(spark: SparkSession, folder: str, tolerant: bool = False) -> DataFrame:
-    """``table_name, path, length, sha256`` of the part files, hashed where they are read.
+def file_name(path: str) -> Column:
+    """Name of a part file, which is unique within its table."""
+    return F.substring_index(F.col(path), "/", -1)
 
-    Part files stay near the size of an input split, so a task holds a bounded amount. With
-    ``tolerant`` a file that cannot be read is left out instead of failing the job.
-    """
-    reader = _binary(spark, folder)
-    if tolerant:
-        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    small = reader.load(folder).where(F.col("length") <= HASH_LIMIT)
-    hashed = small.select(
-        _table_of("path", folder).alias("table_name"), "path", "length", F.sha2("content", 256).alias("sha256")
+
+def with_digests(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """Listed files with the digest of their rows; a file without rows has none in ``found``.
+
+    The digest is taken row by row where the file is scanned, so a file of any length is covered
+    in constant memory and may be split over tasks."""
+    f = found.select(
+        F.col("table_name").alias("f_table"), file_name(FILE).alias("f_name"), F.col("row_count").alias("f_rows"),
+        F.col("digest1").alias("f_1"), F.col("digest2").alias("f_2"),
+    )
+    joined = listed.join(f, (F.col("table_name") == F.col("f_table")) & (file_name("path") == F.col("f_name")), "left")
+    zero = lambda c, t: F.coalesce(c, F.lit(0)).cast(t)
+    return joined.select(
+        "table_name", "path", "length", zero("f_rows", "bigint").alias("row_count"), zero("f_1", DIGEST).alias("digest1"),
+        zero("f_2", DIGEST).alias("digest2"),
     )
-    if tolerant:
-        return hashed
-    large = list_parts(spark, folder).where(F.col("length") > HASH_LIMIT)
-    return hashed.unionByName(large.withColumn("sha256", F.lit(None).cast("string")))
 
 
 def file_totals(files: DataFrame) -> DataFrame:
-    """Files, bytes and an order-free checksum (``sum1``, ``sum2``) over the file hashes per table.
+    """Files, bytes and an order-free checksum (``sum1``, ``sum2``) over the files per table.
 
-    Each file contributes the hash of ``table/file:hash``; contributions are summed, so nothing
+    Each file contributes the hash of ``table/file:rows:digests``; contributions are summed, so nothing
     has to be collected and sorted in one place however many files there are.
     """
     label = F.concat(
-        F.col("table_name"), F.lit("/"), F.substring_index("path", "/", -1), F.lit(":"),
-        F.coalesce("sha256", F.col("length").cast("string")),
+        F.col("table_name"), F.lit("/"), file_name("path"),
+        *[x for c in ("row_count", "digest1", "digest2") for x in (F.lit(":"), F.col(c).cast("string"))],
     )
     marked = files.withColumn("_hex", F.sha2(label, 256))
     return marked.groupBy("table_name").agg(
@@ -78,28 +83,25 @@ def overall_checksum(totals: list[Row]) -> str:
     return hashlib.sha256(":".join(parts).encode()).hexdigest()
 
 
-def compare_files(recorded: DataFrame, listed: DataFrame, hashed: DataFrame) -> DataFrame:
+def compare_files(recorded: DataFrame, stored: DataFrame) -> DataFrame:
     """Status per file: ``ok``, ``missing``, ``extra``, ``changed`` or ``corrupt``.
 
-    ``recorded`` comes from the catalog, ``listed`` from the storage, ``hashed`` from reading the
-    contents; a file that is listed but could not be read is corrupt. One row per file on every
-    side, so the joins carry names and hashes only.
-    """
-    r = recorded.select("table_name", F.col("path").alias("p"), F.col("length").alias("r_length"), F.col("sha256").alias("r_sha"))
-    s = listed.select(F.col("table_name").alias("s_table"), F.col("path").alias("p"), F.col("length").alias("s_length"))
-    h = hashed.select(F.col("path").alias("p"), F.col("sha256").alias("h_sha"))
-    both = r.join(s, "p", "full_outer").join(h, "p", "left")
+    ``recorded`` comes from the catalog, ``stored`` from listing the storage and reading the rows again;
+    a file that gives fewer rows than recorded could not be read to its end and is corrupt."""
+    r = recorded.select("table_name", *[F.col(c).alias(f"r_{c}") for c in ("path", "length", "row_count", "digest1", "digest2")])
+    s = stored.select(F.col("table_name").alias("s_table"), *[F.col(c).alias(f"s_{c}") for c in ("path", "length", "row_count", "digest1", "digest2")])
+    both = r.join(s, (F.col("table_name") == F.col("s_table")) & (file_name("r_path") == file_name("s_path")), "full_outer")
+    differs = (F.col("r_digest1") != F.col("s_digest1")) | (F.col("r_digest2") != F.col("s_digest2"))
     status = (
         F.when(F.col("s_table").isNull(), "missing")
         .when(F.col("table_name").isNull(), "extra")
         .when(F.col("r_length") != F.col("s_length"), "changed")
-        .when(F.col("r_sha").isNull(), "ok")
-        .when(F.col("h_sha").isNull(), "corrupt")
-        .when(F.col("r_sha") != F.col("h_sha"), "changed")
+        .when(F.col("s_row_count") < F.col("r_row_count"), "corrupt")
+        .when((F.col("s_row_count") != F.col("r_row_count")) | differs, "changed")
         .otherwise("ok")
     )
     return both.select(
-        F.coalesce("table_name", "s_table").alias("table_name"), F.col("p").alias("path"), status.alias("status")
+        F.coalesce("table_name", "s_table").alias("table_name"), F.coalesce("s_path", "r_path").alias("path"), status.alias("status")
     )
 
 

@@ -8,10 +8,10 @@ from tablevault.functions import scalars as X
 
 
 def at_least(logs: DataFrame, threshold: str = "info") -> DataFrame:
-    """Entries at or above a severity; entries of an unknown level are dropped."""
+    """Entries at or above a severity; entries of an unknown level, or of none, count as ``info``."""
     if threshold not in X.LEVELS:
         raise ValueError(f"level must be one of {list(X.LEVELS)}")
-    return logs.where(X.level_rank("level") <= X.LEVELS[threshold])
+    return logs.where(F.coalesce(X.level_rank("level"), F.lit(X.LEVELS["info"])) <= X.LEVELS[threshold])
 
 
 def errors_only(logs: DataFrame) -> DataFrame:

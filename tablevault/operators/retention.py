@@ -17,7 +17,14 @@ def expired_backups(jobs: DataFrame, as_of: Column, days: int = DEFAULT_RETENTIO
     the last full up to the first kept backup, and the last full or differential up to the first
     kept incremental. No ordering of a database's jobs in one task is needed. A job still
     ``running`` or ``failed`` is not a backup and is left to :func:`unreferenced`.
+
+    Jobs that recorded the full and the head of their chain are kept by those names instead: a kept
+    backup needs its full, and a kept incremental its head and what follows that head.
     """
+    if "head_id" in jobs.columns:
+        named = jobs.where(F.col("head_id").isNotNull())
+        by_order = expired_backups(jobs.where(F.col("head_id").isNull()).drop("full_id", "head_id"), as_of, days)
+        return _expired_by_name(named, as_of, days).unionByName(by_order, allowMissingColumns=True)
     cutoff = as_of - F.make_interval(days=F.lit(days))
     kind = F.col("backup_type")
     rows = successful(jobs).withColumn("pos", position()).withColumn("kept", F.col("started_at") >= cutoff)
@@ -41,6 +48,16 @@ def expired_backups(jobs: DataFrame, as_of: Column, days: int = DEFAULT_RETENTIO
     )
 
 
+def _expired_by_name(jobs: DataFrame, as_of: Column, days: int) -> DataFrame:
+    rows = successful(jobs)
+    old = F.col("started_at") < as_of - F.make_interval(days=F.lit(days))
+    kept = rows.where(~old)
+    fulls = kept.select(F.col("full_id").alias("needed")).distinct()
+    heads = kept.where(F.col("backup_type") == "incremental").select(F.col("head_id").alias("needed")).distinct()
+    left = rows.where(old).join(fulls, F.col("id") == F.col("needed"), "left_anti")
+    return left.join(heads, F.col("head_id") == F.col("needed"), "left_anti")
+
+
 def size_violations(jobs: DataFrame, cap: str | Column = DEFAULT_SIZE_CAP) -> DataFrame:
     """Backups larger than the cap; a cap that cannot be read selects nothing."""
     limit = X.parse_size(F.lit(cap) if isinstance(cap, str) else cap)

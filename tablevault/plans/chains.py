@@ -106,6 +106,18 @@ def chain_members(jobs: DataFrame, end: Column, target_type: str) -> DataFrame:
     return upto.withColumns(fixed).where(_is_member(F.lit(target_type), end))
 
 
+def ancestry(jobs: dict, target: str) -> list:
+    """From the full to the target along ``parent_id``; empty if a parent is not there."""
+    found = []
+    at = target
+    while at is not None:
+        if at not in jobs:
+            return []
+        found.append(jobs[at])
+        at = jobs[at]["parent_id"]
+    return found[::-1]
+
+
 _FOLD = {"sum": F.sum, "max": F.max}
 
 

@@ -154,7 +154,24 @@ def oracle_sql() -> dict[str, str]:
         "verify_after_changes": """
             SELECT 'orders' AS table_name, count(*) AS recorded_rows, count(*) AS found_rows, true AS content_ok, 'ok' AS file_states FROM orders
             UNION ALL SELECT 'supplier', count(*), 2 * count(*), false, 'extra,ok' FROM supplier
-            UNION ALL SELECT 'customer', count(*), count(*), false, 'extra,missing' FROM customer""",
+            UNION ALL SELECT 'customer', count(*), count(*), false, 'extra,missing' FROM customer
+            UNION ALL SELECT 'region', count(*), count(*), false, 'changed' FROM region
+            UNION ALL SELECT 'nation', count(*), 0, false, 'missing' FROM nation""",
+        "stored_artifacts": "SELECT 'orders' AS table_name, count(*) AS row_total, true AS lengths_ok FROM orders",
+        "artifact_files": " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, count(*) AS row_total, true AS all_ok, true AS bytes_ok FROM {t}" for t in ALL_TABLES
+        ),
+        "database_size": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_total, true AS bytes_ok FROM {t}" for t in ALL_TABLES),
+        "failed_job_and_log": """
+            SELECT 'shop' AS db_name, 'failed' AS status, 'error' AS log_level, 'Backup failed' AS log_message,
+              CAST(NULL AS BIGINT) AS total_rows, true AS secret_hidden
+            UNION ALL SELECT 'shop', 'success', 'info', 'Backup completed successfully',
+              (SELECT count(*) FROM region) + (SELECT count(*) FROM nation), NULL""",
+        "status_with_logs": f"""WITH {_ORDER_STATES}
+            SELECT 'success' AS status, 'incremental' AS backup_type, 0 AS pos, 'info' AS level,
+              'Backup completed successfully' AS message, count(*) AS state_rows FROM s1""",
+        "highwater_null_marks": "SELECT * REPLACE (CASE WHEN event_id % 10 <> 0 THEN ts END AS ts) FROM events",
+        "chain_restore_overlapping_runs": "SELECT * FROM orders",
         "list_backups": f"""WITH {_JOBS},
             page AS (SELECT *, row_number() OVER (ORDER BY started_at DESC, id DESC) AS position FROM jobs WHERE status = 'success')
             SELECT CAST(position AS BIGINT) AS position, substr(id, 1, 16) AS short_id,

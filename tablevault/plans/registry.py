@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,13 +13,13 @@ from tablevault.functions.fingerprint import portable_digest
 from tablevault.model import BackupRequest, BackupResult
 from tablevault.operators import catalog, loglines, retention
 from tablevault.operators.delta import BEFORE, COPIES, OP
-from tablevault.operators.integrity import file_totals
+from tablevault.operators.integrity import file_name, file_totals
 from tablevault.operators.selection import select_tables
 from tablevault.plans import chains, fixtures as fx
 from tablevault.sources.tables import data_size, parquet_tables, stored_files
 from tablevault.streaming import intake
 from tablevault.vault import Vault
-from tablevault.workspace import fresh_root
+from tablevault.workspace import delete_path, fresh_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -139,22 +140,64 @@ def manifest_selection(spark, folder):
 
 @_register
 def stored_artifacts(spark, folder):
-    """Files of one table of a backup, found by the start of their path."""
+    """Files of one table of a backup, found by the start of their path, against what is recorded of them."""
     vault = _vault(spark)
-    done = _run(vault, parquet_tables(spark, folder, ["orders", "customer"]))
-    return stored_files(spark, done.file_path, prefix="orders/").select("name", "length")
+    done = _run(vault, parquet_tables(spark, folder, fx.ALL_TABLES))
+    listed = stored_files(spark, done.file_path, prefix="orders/").select("name", "length")
+    known = vault.files(done.backup_id).select(
+        F.concat_ws("/", "table_name", file_name("path")).alias("name"), "table_name", "row_count", F.col("length").alias("recorded")
+    )
+    found = listed.where(F.col("name").endswith(".parquet")).join(known, "name", "left")
+    return found.groupBy("table_name").agg(F.sum("row_count").alias("row_total"), F.bool_and(F.col("length") == F.col("recorded")).alias("lengths_ok"))
 
 
 @_register
 def artifact_files(spark, folder):
+    """Recorded part files of every table against the rows read back from each."""
     vault = _vault(spark)
     done = _run(vault, parquet_tables(spark, folder, fx.ALL_TABLES))
-    return file_totals(vault.files(done.backup_id))
+    checked = vault.verify_files(done.backup_id).groupBy("table_name").agg(F.bool_and(F.col("status") == "ok").alias("all_ok"))
+    totals = vault.files(done.backup_id).groupBy("table_name").agg(F.sum("row_count").alias("row_total"))
+    sizes = file_totals(vault.files(done.backup_id)).join(vault.manifest(done.backup_id).select("table_name", F.col("bytes").alias("recorded")), "table_name")
+    same = sizes.select("table_name", (F.col("bytes") == F.col("recorded")).alias("bytes_ok"))
+    return totals.join(checked, "table_name").join(same, "table_name")
 
 
 @_register
 def database_size(spark, folder):
-    return data_size(spark, folder.rstrip("/"))
+    """Size of each table's files as listed, against the size of the files its rows come from."""
+    parts = []
+    for name in fx.ALL_TABLES:
+        path = f"{folder.rstrip('/')}/{name}.parquet"
+        files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+        read = files.groupBy("path", "size").agg(F.count(F.lit(1)).alias("rows")).agg(F.sum("size").alias("read_bytes"), F.sum("rows").alias("row_total"))
+        listed = data_size(spark, path).crossJoin(read)  # one row by one row
+        parts.append(listed.select(F.lit(name).alias("table_name"), "row_total", (F.col("bytes") == F.col("read_bytes")).alias("bytes_ok")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_register
+def failed_job_and_log(spark, folder):
+    """A run that fails with a secret in its message, beside one that succeeds."""
+    vault = _vault(spark)
+    tables = parquet_tables(spark, folder, ["region", "nation"])
+    said = F.raise_error(F.lit("cannot read jdbc:postgresql://shop:s3cret@db/shop?password=s3cret"))
+    vault.backup({"region": tables["region"].withColumn("r_name", said.cast("string"))}, BackupRequest(db_name="shop"))
+    _run(vault, tables)
+    rows = vault.manifest().groupBy(F.col("backup_id").alias("id")).agg(F.sum("row_count").alias("total_rows"))
+    found = catalog.jobs_with_log_rows(vault.jobs(), vault.logs()).join(rows, "id", "left")
+    hidden = ~F.col("error").contains("s3cret") & ~F.col("log_details").contains("s3cret") & F.col("error").contains("password=***")
+    return found.select("db_name", "status", "log_level", "log_message", "total_rows", hidden.alias("secret_hidden"))
+
+
+@_register
+def status_with_logs(spark, folder):
+    """Point lookup of one of several runs, its logs from the array to rows."""
+    vault = _vault(spark)
+    done = _history(vault, "orders", fx.order_states(spark, folder), ["full", "incremental", "differential"], **_ORDER_KEY)
+    job = vault.status(done[1].backup_id).select("id", "status", "backup_type", F.posexplode("logs").alias("pos", "log"))
+    state = vault.manifest(done[1].backup_id).select(F.col("backup_id").alias("id"), "state_rows")
+    return job.join(state, "id").select("status", "backup_type", "pos", F.col("log.level").alias("level"), F.col("log.message").alias("message"), "state_rows")
 
 
 @_register
@@ -165,15 +208,28 @@ def table_digest_orders(spark, folder):
     return found.select("row_count", F.col("digest1").cast("string").alias("digest1"), F.col("digest2").cast("string").alias("digest2"))
 
 
+def _replace_part(spark: SparkSession, altered: DataFrame, folder: str, aside: str) -> None:
+    """Put the rows of a frame into the only part file of a folder, under the name it had."""
+    altered.coalesce(1).write.parquet(aside)
+    names = [stored_files(spark, f).where(F.col("name").endswith(".parquet")).first()["name"] for f in (folder, aside)]
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(f"{f}/{n}") for f, n in zip((folder, aside), names))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, False)
+    fs.rename(new, old)
+
+
 @_register
 def verify_after_changes(spark, folder):
-    """A part added to one stored table and another table rewritten behind the vault's back."""
+    """A part added to one stored table, another table rewritten, one part replaced under its name and one folder
+    removed behind the vault's back."""
     vault = _vault(spark)
-    tables = parquet_tables(spark, folder, ["orders", "supplier", "customer"])
+    tables = parquet_tables(spark, folder, ["orders", "supplier", "customer", "region", "nation"])
     done = _run(vault, tables)
     tables["supplier"].write.mode("append").parquet(f"{done.file_path}/supplier")
     altered = tables["customer"].withColumn("c_acctbal", F.col("c_acctbal") + 1)
     altered.write.mode("overwrite").parquet(f"{done.file_path}/customer")
+    _replace_part(spark, tables["region"].withColumn("r_name", F.reverse("r_name")), f"{done.file_path}/region", f"{vault.root}/aside")
+    delete_path(spark, f"{done.file_path}/nation")
     # five possible states bound the set
     states = vault.verify_files(done.backup_id).groupBy("table_name").agg(
         F.array_join(F.array_sort(F.collect_set("status")), ",").alias("file_states")
@@ -455,6 +511,24 @@ def highwater_chain_restore_events(spark, folder):
     return _restored(spark, "events", fx.event_states(spark, folder), ["full", "incremental", "incremental"], **_EVENT_MARK)
 
 
+@_register
+def highwater_null_marks(spark, folder):
+    """Rows without a mark, before and after: a comparison with the mark finds none of them."""
+    marked = [df.withColumn("ts", F.when(F.col("event_id") % 10 != 0, F.col("ts"))) for df in fx.event_states(spark, folder)]
+    return _restored(spark, "events", marked, ["full", "incremental", "incremental"], **_EVENT_MARK)
+
+
+@_register
+def chain_restore_overlapping_runs(spark, folder):
+    """Two incrementals on one full; the one that started later ended first and knows nothing of the other."""
+    vault, start = _vault(spark), datetime.now(timezone.utc) - timedelta(hours=1)
+    first, before, now = fx.order_states(spark, folder)
+    _run(vault, {"orders": first}, start, **_ORDER_KEY)
+    later = _run(vault, {"orders": now}, start + timedelta(minutes=2), backup_type="incremental", **_ORDER_KEY)
+    _run(vault, {"orders": before}, start + timedelta(minutes=1), backup_type="incremental", **_ORDER_KEY)
+    return vault.restore(later.backup_id)["orders"]
+
+
 @_register
 def delta_totals_orders(spark, folder):
     """Counts the manifest carries along a chain: changes of each backup, rows of each state."""

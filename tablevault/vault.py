@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
 from tablevault.functions.fingerprint import FINGERPRINT, LEN, digest_columns, lane_sum, with_fingerprint
-from tablevault.functions.scalars import SIZE_UNITS
+from tablevault.functions.scalars import DB_TYPES, SIZE_UNITS, redact_secrets
 from tablevault.model import (
     BACKUP_LOGS, BACKUP_VERSION, DEFAULT_RETENTION_DAYS, FILES, JOB_EVENTS, MANIFEST, BackupRequest, BackupResult, safe_name,
 )
@@ -29,7 +29,7 @@ from tablevault.operators import catalog, delta, integrity, retention
 from tablevault.operators.restore import apply_keyed, apply_multiset
 from tablevault.operators.selection import select_names
 from tablevault.plans import chains
-from tablevault.workspace import delete_path
+from tablevault.workspace import delete_path, path_exists
 
 # Ways a table is stored in one backup.
 FULL, KEYED, MULTISET, APPEND = "full", "keyed", "multiset", "append"
@@ -170,16 +170,16 @@ class Vault:
         backup_id = safe_name(f"{db}_{int(at.timestamp() * 1000)}_{uuid.uuid4().hex[:8]}")
         name = request.name or safe_name(f"{db}_{stamp}")
         seconds = lambda: round(time.monotonic() - clock, 3)
+        folder = self.data_path(backup_id, request.output)
         try:
             metadata = {"tables": request.tables, "excludeTables": request.exclude_tables, "host": request.host}
             self._append_row(
-                "job_events", at, id=backup_id, seq=0, db_type=request.db_type, db_name=db, status="running",
+                "job_events", at, id=backup_id, seq=0, db_type=DB_TYPES.get(request.db_type.lower(), request.db_type), db_name=db, status="running",
                 backup_type=request.backup_type, retry_count=0, started_at=at,
                 metadata=json.dumps({k: v for k, v in metadata.items() if v is not None}),
             )
             chosen = select_names(list(tables), request.tables, request.exclude_tables)
-            parents, parent_id, backup_type = self._parents(db, request, at)
-            folder = self.data_path(backup_id, request.output)
+            parents, chain, backup_type = self._parents(db, request, at)
             with ThreadPoolExecutor(min(request.parallel, max(len(chosen), 1))) as pool:
                 rows = list(
                     pool.map(
@@ -187,29 +187,33 @@ class Vault:
                         chosen,
                     )
                 )
-            totals, checksum = self._measure(backup_id, folder, at) if chosen else ({}, None)
+            totals, checksum = self._measure(backup_id, folder, rows, at) if chosen else ({}, None)
             self._write_manifest(backup_id, rows, totals, at)
             size = sum(b for _, b in totals.values())
             raw = sum(r["raw_size"] for r in rows)
             if request.max_size and size > _size_limit(request.max_size):
+                delete_path(self.spark, folder)
                 raise ValueError(f"backup holds {size} bytes, more than {request.max_size}")
             done = dict(
                 file_path=folder, file_name=name, file_size=size, raw_size=raw, checksum=checksum,
                 compressed_size=size if request.effective_codec != "none" else None,
             )
+            self._log(backup_id, at, "info", "Backup completed successfully", {"duration": seconds(), "fileSize": size})
+            full_id = chain[0]["id"] if chain else backup_id
+            head_id = (chain[-1]["head_id"] or full_id) if backup_type == "incremental" else backup_id
+            # The last step: nothing that can fail follows the event that makes the backup count.
             self._append_row(
-                "job_events", at, id=backup_id, seq=1, status="success", backup_type=backup_type, parent_id=parent_id,
-                compression_type=request.effective_codec, backup_version=BACKUP_VERSION, duration=seconds(),
+                "job_events", at, id=backup_id, seq=1, status="success", backup_type=backup_type,
+                parent_id=chain[-1]["id"] if chain else None, full_id=full_id, head_id=head_id, compression_type=request.effective_codec, backup_version=BACKUP_VERSION, duration=seconds(),
                 completed_at=datetime.now(timezone.utc), **done,
             )
-            self._log(backup_id, at, "info", "Backup completed successfully", {"duration": seconds(), "fileSize": size})
             return BackupResult(
                 True, backup_id, seconds(), folder, size, done["compressed_size"], raw, checksum,
             )
         except Exception as error:  # noqa: BLE001 - every failure of a run is recorded
-            message = str(error)
+            message = redact_secrets(str(error))
             self._append_row(
-                "job_events", at, id=backup_id, seq=1, status="failed", error=message, duration=seconds(),
+                "job_events", at, id=backup_id, seq=1, status="failed", error=message, duration=seconds(), file_path=folder,
                 completed_at=datetime.now(timezone.utc),
             )
             self._log(backup_id, at, "error", "Backup failed", {"error": message})
@@ -224,16 +228,16 @@ class Vault:
             level=level, message=message, details=json.dumps(details),
         )
 
-    def _parents(self, db: str, request: BackupRequest, at: datetime) -> tuple[dict[str, _Parent], str | None, str]:
-        """Per table, the state a delta starts from. Without an earlier full the run is a full."""
+    def _parents(self, db: str, request: BackupRequest, at: datetime) -> tuple[dict[str, _Parent], list[Row], str]:
+        """Per table, the state a delta starts from, and the members of its chain. Without an earlier full the run is a full."""
         if request.backup_type == "full":
-            return {}, None, "full"
+            return {}, [], "full"
         kind = "full" if request.backup_type == "differential" else None
         members = self._chain_of(chains.last_backup(self.jobs(), db, F.lit(at), kind))
         if not members:
-            return {}, None, "full"
+            return {}, [], "full"
         steps = self._steps(members)
-        return {t: _Parent(s[-1][0], self._rebuild(s)) for t, s in steps.items()}, members[-1]["id"], request.backup_type
+        return {t: _Parent(s[-1][0], self._rebuild(s)) for t, s in steps.items()}, members, request.backup_type
 
     def _store(self, table: str, df: DataFrame, request: BackupRequest, backup_id: str, folder: str, parent: _Parent | None) -> dict:
         """Write one table, full or as a delta, and return what the manifest says about it."""
@@ -243,23 +247,23 @@ class Vault:
         same = parent is not None and _same_columns(parent.state.schema, df.schema)
         info = dict(
             table_name=table, schema_json=df.schema.json(), key_columns=keys, high_water_column=grows,
-            high_water=None, upserts=None, deletes=0, touched=0,
+            high_water=None, null_marks=None, upserts=None, deletes=0, touched=0,
         )
         # a delta needs the parent to have been stored under the same key or the same mark
         if same and grows:
-            same = parent.manifest["high_water_column"] == grows
+            same = parent.manifest["high_water_column"] == grows and self._mark_tells(df, grows, parent.manifest)
         elif same and keys:
             same = parent.manifest["key_columns"] == keys
         if not same:
             if keys and not delta.key_faults(df, keys).isEmpty():
                 raise ValueError(f"{table}: {keys} is repeated or null, not a key")
             seen = self._write(df, df.columns, FULL, path, request, grows)
-            info.update(op_mode=FULL, upserts=seen["row_count"], high_water=seen.pop("high_water", None))
+            info.update(op_mode=FULL, upserts=seen["row_count"], high_water=seen.pop("high_water", None), null_marks=seen.pop("null_marks", None))
             state = (seen["row_count"], seen["digest1"], seen["digest2"])
         elif grows:
             mark = parent.manifest["high_water"]
             seen = self._write(delta.after_high_water(df, grows, mark), df.columns, APPEND, path, request, grows)
-            info.update(op_mode=APPEND, upserts=seen["row_count"], high_water=seen.pop("high_water", None) or mark)
+            info.update(op_mode=APPEND, upserts=seen["row_count"], high_water=seen.pop("high_water", None) or mark, null_marks=parent.manifest["null_marks"])
             state = self._moved(parent, seen["row_count"], seen["digest1"], seen["digest2"])
         elif keys:
             changes = self._materialize(delta.keyed_changes(df, parent.state, keys), backup_id, table)
@@ -271,7 +275,7 @@ class Vault:
             if (seen["up_rows"], seen["up1"], seen["up2"]) != (found["upserts"], found["up1"], found["up2"]):
                 raise SourceChanged(f"{table} changed while it was read")
             info.update(op_mode=KEYED, upserts=found["upserts"], deletes=found["deletes"], touched=found["touched"])
-            state = self._moved(parent, found["rows"], found["up1"] - found["out1"], found["up2"] - found["out2"])
+            state = self._moved(parent, found["rows"], int(found["up1"]) - int(found["out1"]), int(found["up2"]) - int(found["out2"]))
         else:
             changes = self._materialize(delta.multiset_changes(df, parent.state), backup_id, table)
             found = delta.multiset_change_totals(changes).first()
@@ -285,10 +289,20 @@ class Vault:
         info.update(zip(("state_rows", "state_digest1", "state_digest2"), state))
         return info
 
+    @staticmethod
+    def _mark_tells(df: DataFrame, grows: str, parent: Row) -> bool:
+        """Whether the rows past the parent's mark are all that came since: a parent with rows needs
+        a mark, and rows without a mark, which no comparison finds, must be as many as before. If
+        not, the table is stored full."""
+        if parent["high_water"] is None:
+            return parent["state_rows"] == 0
+        return df.where(F.col(grows).isNull()).count() == (parent["null_marks"] or 0)
+
     @staticmethod
     def _moved(parent: _Parent, rows: int, d1: int, d2: int) -> tuple:
         m = parent.manifest
-        return m["state_rows"] + rows, m["state_digest1"] + d1, m["state_digest2"] + d2
+        # plain integers: decimal arithmetic would round digests of more than 28 digits
+        return m["state_rows"] + rows, int(m["state_digest1"]) + int(d1), int(m["state_digest2"]) + int(d2)
 
     def _materialize(self, changes: DataFrame, backup_id: str, table: str) -> DataFrame:
         """Write the change list: lineage is cut, its size becomes known, a lost executor costs
@@ -306,6 +320,7 @@ class Vault:
         metrics = payload_digest(mode)
         if grows:
             metrics.append(delta.high_water(grows, df.schema[grows].dataType).alias("high_water"))
+            metrics.append(F.count(F.when(F.col(grows).isNull(), 1)).alias("null_marks"))
         seen = Observation()
         kept = [f"`{c}`" for c in df.columns if c not in _void_columns(df.schema)]
         out = with_fingerprint(df, columns, length=True).observe(seen, *metrics).select(*kept)
@@ -315,10 +330,21 @@ class Vault:
         writer.parquet(path)
         return dict(seen.get)
 
-    def _measure(self, backup_id: str, folder: str, at: datetime) -> tuple[dict[str, tuple[int, int]], str]:
-        """Hash the part files where they lie, record them, and total them per table and overall."""
-        hashed = integrity.hash_parts(self.spark, folder).withColumn("backup_id", F.lit(backup_id))
-        entry = self._append("files", hashed.select(*FILES.fieldNames()), at)
+    def _stored(self, rows: list, folder: str, tolerant: bool = False) -> DataFrame:
+        """The part files of a backup as they lie, each with count and digest of its rows."""
+        parts = []
+        for row in rows:
+            df = self._payload(row, f"{folder}/{row['table_name']}", tolerant, with_file=True)
+            columns = T.StructType.fromJson(json.loads(row["schema_json"])).fieldNames()
+            found = with_fingerprint(df, columns).groupBy(integrity.FILE).agg(*payload_digest(row["op_mode"])[:3])
+            parts.append(found.withColumn("table_name", F.lit(row["table_name"])))
+        listed = integrity.list_parts(self.spark, folder)
+        return integrity.with_digests(listed, reduce(DataFrame.unionByName, parts))
+
+    def _measure(self, backup_id: str, folder: str, written: list[dict], at: datetime) -> tuple[dict[str, tuple[int, int]], str]:
+        """Read back the part files, record them, and total them per table and overall."""
+        stored = self._stored(written, folder).withColumn("backup_id", F.lit(backup_id))
+        entry = self._append("files", stored.select(*FILES.fieldNames()), at)
         rows = integrity.file_totals(self.spark.read.schema(FILES).parquet(entry)).collect()
         return {r["table_name"]: (r["files"], r["bytes"]) for r in rows}, integrity.overall_checksum(rows)
 
@@ -339,20 +365,27 @@ class Vault:
         return self._chain_of(chains.successful(self.jobs()).where(F.col("id") == backup_id))
 
     def _chain_of(self, target: DataFrame) -> list[Row]:
-        """The chain of the only job in ``target``."""
-        t = target.select("db_name", "backup_type", F.unix_micros("started_at").alias("us"), "id").first()
+        """The chain of the only job in ``target``: from it along the recorded parents to its full.
+
+        A run that overlapped another one is no parent of it, whichever started or ended first. Only
+        jobs that share the target's full are fetched. Jobs that recorded no parent are chained by
+        their order."""
+        t = target.select("id", "db_name", "backup_type", F.unix_micros("started_at").alias("us"), "full_id").first()
         if t is None:
             return []
         jobs = chains.successful(self.jobs()).where(F.col("db_name") == t["db_name"])
-        members = chains.chain_members(jobs, chains.literal_position(t["us"], t["id"]), t["backup_type"])
         month = F.date_format(F.col("started_at") - F.make_interval(days=F.lit(1)), "yyyy-MM").alias("month")
-        found = members.select("id", "file_path", F.unix_micros("started_at").alias("started_us"), month).collect()
-        return sorted(found, key=lambda r: (r["started_us"], r["id"]))
+        wanted = ["id", "file_path", F.unix_micros("started_at").alias("started_us"), month, "parent_id", "head_id"]
+        if t["full_id"] is None:
+            members = chains.chain_members(jobs, chains.literal_position(t["us"], t["id"]), t["backup_type"])
+            return sorted(members.select(*wanted).collect(), key=lambda r: (r["started_us"], r["id"]))
+        near = jobs.where((F.col("full_id") == t["full_id"]) | (F.col("id") == t["full_id"]))
+        return chains.ancestry({r["id"]: r for r in near.select(*wanted).collect()}, t["id"])
 
     def _steps(self, members: list[Row]) -> dict[str, list[tuple[Row, str]]]:
         """Per table the manifest rows to apply, starting at its last full copy in the chain."""
         order = {m["id"]: i for i, m in enumerate(members)}
-        rows = self._read("manifest", members[0]["month"]).where(F.col("backup_id").isin(list(order))).collect()
+        rows = self._read("manifest", min(m["month"] for m in members)).where(F.col("backup_id").isin(list(order))).collect()
         steps: dict[str, list[tuple[Row, str]]] = {}
         for r in sorted(rows, key=lambda r: order[r["backup_id"]]):
             step = (r, f"{members[order[r['backup_id']]]['file_path']}/{r['table_name']}")
@@ -362,8 +395,9 @@ class Vault:
                 steps[r["table_name"]].append(step)
         return steps
 
-    def _payload(self, row: Row, path: str, tolerant: bool = False) -> DataFrame:
-        """Rows of one table of one backup, read with the recorded schema."""
+    def _payload(self, row: Row, path: str, tolerant: bool = False, with_file: bool = False) -> DataFrame:
+        """Rows of one table of one backup, read with the recorded schema, and their file if asked for.
+        A tolerant reader finds no rows where files or the folder are gone."""
         schema = T.StructType.fromJson(json.loads(row["schema_json"]))
         void = _void_columns(schema)
         stored = [f for f in schema.fields if f.name not in void]
@@ -371,9 +405,14 @@ class Vault:
         reader = self.spark.read.schema(T.StructType(stored + extra.get(row["op_mode"], [])))
         if tolerant:
             reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        df = reader.parquet(path)
+        if tolerant and not path_exists(self.spark, path):
+            kinds = T.StructType(stored + extra.get(row["op_mode"], []) + [T.StructField(integrity.FILE, T.StringType())])
+            df = self.spark.createDataFrame([], kinds)
+        else:
+            df = reader.parquet(path)
+            df = df.select("*", F.col("_metadata.file_path").alias(integrity.FILE)) if with_file else df
         names = [f"`{f.name}`" if f.name not in void else F.lit(None).alias(f.name) for f in schema.fields]
-        return df.select(*names, *[f.name for f in extra.get(row["op_mode"], [])])
+        return df.select(*names, *[f.name for f in extra.get(row["op_mode"], [])], *([integrity.FILE] if with_file else []))
 
     def _rebuild(self, steps: list[tuple[Row, str]]) -> DataFrame:
         """State after the steps: a full copy, then runs of deltas of the same kind."""
@@ -442,10 +481,7 @@ class Vault:
     def verify_files(self, backup_id: str) -> DataFrame:
         """Status of every recorded or stored part file."""
         folder = self._folder(backup_id)
-        return integrity.compare_files(
-            self.files(backup_id), integrity.list_parts(self.spark, folder),
-            integrity.hash_parts(self.spark, folder, tolerant=True),
-        )
+        return integrity.compare_files(self.files(backup_id), self._stored(self.manifest(backup_id).collect(), folder, tolerant=True))
 
     def verify_content(self, backup_id: str) -> DataFrame:
         """Recorded against recomputed row digest of every table, as one job over all tables.

@@ -28,6 +28,12 @@ def fresh_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of the file system that owns it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Remove a directory through the Hadoop file system that owns it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablevault import BackupRequest
 from tablevault.plans.fixtures import ALL_TABLES
 from tablevault.sources.tables import parquet_tables
-from tablevault.vault import DigestMismatch
+from tablevault.vault import DigestMismatch, Vault
 
 EDGE = (
     "s string, i int, b bigint, d double, f float, n decimal(38,0), x binary, t timestamp, u timestamp_ntz, day date, "
@@ -151,7 +151,7 @@ def test_corruption_is_found(spark, vault, tmp_path):
         n: sorted(r["status"] for r in vault.verify_files(done.backup_id).where(F.col("table_name") == n).collect()) for n in names
     }
     assert got == {
-        "flipped": ["changed", "ok"], "flipped_crc": ["corrupt", "ok"], "missing": ["missing", "ok"],
+        "flipped": ["corrupt", "ok"], "flipped_crc": ["corrupt", "ok"], "missing": ["missing", "ok"],
         "extra": ["extra", "ok", "ok"], "fine": ["ok", "ok"],
     }
     content = {r["table_name"]: r["content_ok"] for r in vault.verify_content(done.backup_id).collect()}
@@ -160,16 +160,69 @@ def test_corruption_is_found(spark, vault, tmp_path):
         vault.restore_to(done.backup_id, str(tmp_path / "out"), tables=["extra"])
 
 
-def test_large_files_are_checked_by_content(spark, vault, monkeypatch):
-    """A part too large to be hashed as one value keeps its length; rows cover its content."""
-    from tablevault.operators import integrity
-
-    monkeypatch.setattr(integrity, "HASH_LIMIT", 10)
-    done = vault.backup({"t": spark.range(0, 100, 1, 2)}, BackupRequest(db_name="s"))
-    assert [r["sha256"] for r in vault.files(done.backup_id).collect()] == [None, None] and done.checksum
+def test_no_file_is_ok_unread(spark, vault):
+    """Every part file, whatever its length, is covered by the digest of its rows."""
+    done = vault.backup({"t": spark.range(0, 100, 1, 2), "none": spark.range(0)}, BackupRequest(db_name="s"))
+    files = vault.files(done.backup_id).collect()
+    assert sum(r["row_count"] for r in files) == 100 and done.checksum
     assert {r["status"] for r in vault.verify_files(done.backup_id).collect()} == {"ok"}
     spark.range(0, 100, 1, 2).selectExpr("id + 1 as id").write.mode("overwrite").parquet(f"{done.file_path}/t")
-    assert not vault.verify_content(done.backup_id).first()["content_ok"]
+    assert not {r["table_name"]: r["content_ok"] for r in vault.verify_content(done.backup_id).collect()}["t"]
+
+
+def test_a_backup_folder_that_is_gone(spark, vault):
+    import shutil
+
+    done = vault.backup({"t": spark.range(9), "u": spark.range(3)}, BackupRequest(db_name="s"))
+    shutil.rmtree(f"{done.file_path}/t")
+    assert {r["table_name"]: r["status"] for r in vault.verify_files(done.backup_id).collect()} == {"t": "missing", "u": "ok"}
+    shutil.rmtree(done.file_path)
+    assert {r["status"] for r in vault.verify_files(done.backup_id).collect()} == {"missing"}
+    assert not any(r["content_ok"] for r in vault.verify_content(done.backup_id).collect())
+
+
+def test_success_is_the_last_event(spark, vault, monkeypatch):
+    """A log that cannot be written fails the run before it counts, and leaves one closing event."""
+    log, calls = vault._log, []
+
+    def broken(backup_id, at, level, message, details):
+        calls.append(level)
+        if level == "info":
+            raise OSError("disk full at postgres://u:pw@h/db")
+        log(backup_id, at, level, message, details)
+
+    monkeypatch.setattr(vault, "_log", broken)
+    done = vault.backup({"t": spark.range(3)}, BackupRequest(db_name="s", db_type="postgres"))
+    events = vault.job_events().where("seq = 1").collect()
+    assert not done.success and [e["status"] for e in events] == ["failed"] and calls == ["info", "error"]
+    job = vault.jobs().first()
+    assert job["db_type"] == "postgresql" and job["file_path"] and "pw" not in job["error"]
+
+
+def test_digests_of_many_digits_stay_exact():
+    from tablevault.vault import _Parent
+
+    parent = _Parent({"state_rows": 1, "state_digest1": Decimal("123456789012345678901234567890123"), "state_digest2": Decimal(-7)}, None)
+    got = Vault._moved(parent, 2, Decimal("999999999999999999999999999999"), -1)
+    assert got == (3, 123456789012345678901234567890123 + 999999999999999999999999999999, -8)
+
+
+def test_overlapping_runs_and_expiry(spark, vault):
+    """Restores follow recorded parents; expiry keeps every ancestor of what is kept."""
+    from datetime import timedelta, timezone
+
+    now = datetime.now(timezone.utc)
+    request = lambda t: BackupRequest(db_name="s", backup_type=t, keys={"t": ["id"]})
+    state = lambda text: spark.range(4).withColumn("v", F.lit(text))
+    full = vault.backup({"t": state("p")}, request("full"), now - timedelta(days=50))
+    b = vault.backup({"t": state("p").where("id < 3")}, request("incremental"), now - timedelta(days=40))
+    a = vault.backup({"t": state("a")}, request("incremental"), now - timedelta(days=45))
+    c = vault.backup({"t": state("p").where("id < 2")}, request("incremental"), now - timedelta(days=1))
+    assert {tuple(r) for r in vault.restore(b.backup_id)["t"].collect()} == {(0, "p"), (1, "p"), (2, "p")}
+    assert vault.restore_to(c.backup_id, vault.root + "/out") == {"t": 2}
+    assert [m["id"] for m in vault.chain(c.backup_id)] == [full.backup_id, b.backup_id, c.backup_id]
+    gone = {r["id"] for r in vault.expired(F.lit(now)).collect()}
+    assert not gone & {full.backup_id, b.backup_id, c.backup_id} and a.success
 
 
 def test_session_tables(spark, vault):

@@ -47,8 +47,9 @@ def test_log_operators(spark, tmp_path):
     logs = spark.createDataFrame(rows, "level string, message string, module string")
     logs = logs.withColumn("timestamp", F.lit("2024-01-02 03:04:05").cast("timestamp")).withColumn("details", F.lit(None).cast("string"))
     levels = lambda df: sorted(r["level"] for r in df.collect())
-    assert levels(loglines.at_least(logs)) == ["error", "info", "warn"]
-    assert levels(loglines.at_least(logs, "debug")) == ["debug", "error", "info", "warn"]
+    assert levels(loglines.at_least(logs)) == ["error", "info", "odd", "warn"]
+    assert levels(loglines.at_least(logs, "debug")) == ["debug", "error", "info", "odd", "warn"]
+    assert levels(loglines.at_least(logs, "warn")) == ["error", "warn"]
     assert levels(loglines.warnings_in(logs)) == ["error", "odd", "warn"]
     with pytest.raises(ValueError):
         loglines.at_least(logs, "loud")
