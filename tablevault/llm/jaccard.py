@@ -33,8 +33,10 @@ FREQUENT = 6
 BUCKET_SHINGLES = 1_000_000
 #: Rounds before the last one, and signatures of a class in each.
 ROUNDS, TRIED = 2, 4
-#: Classes that meet around one centre, and members that one task verifies against it.
-AROUND = 64
+#: Classes that meet around one centre; shingles of the pairs that one cell verifies, about.
+AROUND, CELL_SHINGLES = 64, 1_200_000
+#: First signatures of a class by which most pairs are found once instead of once for each that they share.
+TOP = 3
 QUARTERS = np.arange(4, dtype=np.uint64) << np.uint64(62)
 #: Rows of a table that is sent to every task at most.
 SENT_ROWS = 1_000_000
@@ -165,26 +167,27 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) of classes that are similar, by their whole texts.
 
-    Members meet their centre in portions, each with a copy of the centre's text, so a centre of any number of pairs is split.
+    Pairs that share their first signature ``sig`` meet in one cell, or in a square of cells if they are many, so that a text is
+    read once for all its pairs there. ``load``, the shingles of a pair, bounds the cells.
     """
-    portion = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("size") / AROUND))).cast("long")
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("size"))
-    cells = settle(pairs.join(sizes, "a").select("a", "b", portion.alias("part")), "cells")
-    both = cells.select("a", "part", F.col("b").alias("c")).unionByName(cells.select("a", "part", F.col("a").alias("c")).distinct())
-    wanted = settle(both.join(classes.select("c", "h", "id"), "c"), "wanted")
-
-    def compare(table: pa.Table) -> pa.Table:
-        hashes, a = WordHash(), table.column("a")[0].as_py()
-        sets = dict(zip(table.column("c").to_pylist(), _sets(table.column("text").to_pylist(), width, hashes), strict=True))
-        mine, good = sets[a], []
-        for c, other in sets.items():
-            common = len(np.intersect1d(mine, other, assume_unique=True))
-            if c != a and 100 * common >= percent * (len(mine) + len(other) - common):
-                good.append(c)
-        return pa.table([pa.array([a] * len(good), pa.int64()), pa.array(good, pa.int64())], ["u", "v"])
-
-    met = _fetch(docs, wanted).select("a", "part", "c", "text")
-    return met.groupBy("a", "part").applyInArrow(compare, "u long, v long")
+    sizes = pairs.groupBy("sig").agg(F.ceil(F.sqrt(F.sum("load") / CELL_SHINGLES)).cast("long").alias("k"))
+    side = lambda c: F.pmod(F.xxhash64(c), F.greatest(F.col("k"), F.lit(1)))
+    cells = pairs.join(sizes, "sig").select("sig", (side("a") * F.greatest(F.col("k"), F.lit(1)) + side("b")).alias("part"), "a", "b")
+    cells = settle(cells, "cells")
+    members = cells.select("sig", "part", F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = settle(members.join(classes.select("c", "h", "id"), "c"), "wanted")
+
+    def compare(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        hashes, good = WordHash(), []
+        sets = dict(zip(texts.column("c").to_pylist(), _sets(texts.column("text").to_pylist(), width, hashes), strict=True))
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                good.append((a, b))
+        return pa.table([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    met = _fetch(docs, wanted).select("sig", "part", "c", "text")
+    return met.groupBy("sig", "part").cogroup(cells.groupBy("sig", "part")).applyInArrow(compare, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,7 +225,14 @@ def _around_centres(placed: DataFrame, seed: int, percent: int) -> DataFrame:
     lead = F.min_by(F.struct("c", "n", "comp"), F.xxhash64(F.lit(seed + 1), "c")).alias("lead")
     leads = spread.groupBy("sig", "part").agg(lead)
     met = spread.join(leads, ["sig", "part"]).where("comp <> lead.comp")
-    return _sized(met, F.col("n"), F.col("lead.n"), percent).select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct()
+    met = _sized(met, F.col("n"), F.col("lead.n"), percent)
+    return _once(met.select(F.col("lead.c").alias("a"), F.col("c").alias("b"), "sig", (F.col("n") + F.col("lead.n")).alias("load")))
+
+
+def _once(met: DataFrame) -> DataFrame:
+    """Each pair once, a < b, with the least of its signatures."""
+    pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sig", "load")
+    return pair.groupBy("a", "b").agg(F.min("sig").alias("sig"), F.first("load").alias("load"))
 
 
 def _sized(pairs: DataFrame, n: F.Column, m: F.Column, percent: int) -> DataFrame:
@@ -232,14 +242,21 @@ def _sized(pairs: DataFrame, n: F.Column, m: F.Column, percent: int) -> DataFram
 def _across(placed: DataFrame, percent: int) -> DataFrame:
     """Every pair of classes that share a signature and lie in different components.
 
-    Rows of a signature's largest component meet the other rows only, never each other.
+    Rows of a signature's largest component meet the other rows only, never each other. Pairs whose first few signatures
+    have one in common meet there; only the others meet at every signature that they share.
     """
     counts = placed.groupBy("sig", "comp").agg(F.count("*").alias("k"))
     largest = counts.groupBy("sig").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     mixed_ = settle(placed.join(largest, "sig"), "mixed")
-    minor = mixed_.where("comp <> largest").select("sig", F.col("c").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp"))
-    met = minor.join(mixed_, "sig").where((F.col("comp") != F.col("acomp")) & ((F.col("comp") == F.col("largest")) | (F.col("a") < F.col("c"))))
-    return _sized(met, F.col("n"), F.col("an"), percent).select("a", F.col("c").alias("b")).distinct()
+    minor = mixed_.where("comp <> largest").select("sig", F.col("c").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp"), F.col("first").alias("afirst"), F.col("top").alias("atop"))
+    apart = (F.col("comp") != F.col("acomp")) & ((F.col("comp") == F.col("largest")) | (F.col("a") < F.col("c")))
+    apart = apart & (100 * F.least("n", "an") >= percent * F.greatest("n", "an"))
+    same = F.col("sig") == F.col("_sig")
+    other = mixed_.withColumnRenamed("sig", "_sig")
+    early = minor.where("afirst").join(other.where("first"), same & apart)
+    late = minor.join(other, same & apart & ~F.arrays_overlap("top", "atop"))
+    wanted = ["a", F.col("c").alias("b"), "sig", (F.col("n") + F.col("an")).alias("load")]
+    return _once(early.select(*wanted).unionByName(late.select(*wanted)))
 
 
 def _combinations(short: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
@@ -288,9 +305,13 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         joined = classes.join(sent, "c", "left")
         joined = joined.withColumn("held", F.when(F.col("all"), F.col("n").cast("long")).otherwise(F.col("held"))).withColumn("whole", F.col("whole") | F.col("all").isNotNull())
         classes = settle(joined.drop("all"), "classes")
-    posts = posts.where(~F.col("frequent") & (F.col("rank") < need)).select("sig", "c", "n").unionByName(_combinations(short, posts, percent))
+    rare = posts.where(~F.col("frequent") & (F.col("rank") < need)).select("sig", "c", "n", "rank")
+    posts = rare.unionByName(_combinations(short, posts, percent).withColumn("rank", F.lit(1 << 40)))
     sizes = posts.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig")
-    posts = settle(posts.join(sizes, "sig"), "signatures")
+    order = Window.partitionBy("c").orderBy("rank", "sig")
+    posts = posts.join(sizes, "sig").withColumn("first", F.row_number().over(order) <= TOP)
+    posts = posts.withColumn("top", F.collect_list(F.when(F.col("first"), F.col("sig"))).over(Window.partitionBy("c")))
+    posts = settle(posts.drop("rank"), "signatures")
 
     comps, edges = None, None
     for turn in range(ROUNDS + 1):
