@@ -39,8 +39,10 @@ def redact_secrets(text: str) -> str:
 
 
 def iso_stamp(ts: str | Column) -> Column:
-    """ISO-8601 UTC time with ``:`` and ``.`` replaced, fit for a file name."""
-    return F.translate(F.date_format(_c(ts).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), ":.", "--")
+    """ISO-8601 UTC time with ``:`` and ``.`` replaced, fit for a file name, in a session of any zone."""
+    t = _c(ts)
+    utc = F.when(F.typeof(t) == "timestamp", F.to_utc_timestamp(t.cast("timestamp"), F.current_timezone())).otherwise(t.cast("timestamp"))
+    return F.translate(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), ":.", "--")
 
 
 def default_text(c: str | Column, value: str | Column) -> Column:
@@ -77,7 +79,10 @@ def dir_name(path: str | Column) -> Column:
 
 
 def epoch_millis(ts: str | Column) -> Column:
-    return F.unix_millis(_c(ts).cast("timestamp"))
+    """Milliseconds since the epoch; a time without zone is UTC, whatever the zone of the session."""
+    t = _c(ts)
+    shifted = F.from_utc_timestamp(t.cast("timestamp"), F.current_timezone())
+    return F.unix_millis(F.when(F.typeof(t) == "timestamp_ntz", shifted).otherwise(t.cast("timestamp")))
 
 
 def job_id(db: str | Column, ts: str | Column) -> Column:

@@ -9,7 +9,7 @@ from tablevault.functions import scalars as X
 # Connection defaults and driver classes per database type.
 DEFAULT_HOST = "localhost"
 DEFAULT_PORTS = {"postgresql": 5432, "mysql": 3306}
-DEFAULT_USER = "postgres"
+DEFAULT_USERS = {"postgresql": "postgres", "mysql": "root"}
 JDBC_DRIVERS = {
     "postgresql": "org.postgresql.Driver",
     "mysql": "com.mysql.cj.jdbc.Driver",
@@ -50,7 +50,7 @@ def jdbc_options(
             url += "?sslmode=require" if kind == "postgresql" else "?useSSL=true"
     options = {"url": url, "driver": JDBC_DRIVERS[kind], "fetchsize": str(fetch_size)}
     if kind != "sqlite":
-        options["user"] = user or DEFAULT_USER
+        options["user"] = user or DEFAULT_USERS[kind]
     if password is not None:
         options["password"] = password
     return options
@@ -64,6 +64,7 @@ def jdbc_table(
     bounds: tuple | None = None,
     partitions: int | None = None,
     predicates: list[str] | None = None,
+    one_task: bool = False,
 ) -> DataFrame:
     """One table over JDBC, read in parallel.
 
@@ -71,20 +72,23 @@ def jdbc_table(
     equal ranges, or each of ``predicates`` becomes one partition (for a column whose values are
     unevenly spread). Bounds only place the cuts; rows outside them are still read. Partitions
     are separate statements without a common snapshot, so land a changing table first when
-    a delta backup is to read it twice.
+    a delta backup is to read it twice. Without ranges or predicates one task would read the whole
+    table, which only ``one_task`` allows; without ``bounds`` the database is asked for them.
     """
+    if column is None and not predicates and not one_task:
+        raise ValueError(f"{table}: give a column or predicates to read it in parallel, or one_task for a small table")
     if predicates:
         opts = dict(options)
         url = opts.pop("url")
         return spark.read.jdbc(url, table, predicates=predicates, properties=opts)
     reader = spark.read.format("jdbc").options(**options).option("dbtable", table)
     if column is not None:
-        low, high = bounds
+        low, high = bounds or jdbc_bounds(spark, options, table, column)
         reader = (
             reader.option("partitionColumn", column)
             .option("lowerBound", low)
             .option("upperBound", high)
-            .option("numPartitions", partitions)
+            .option("numPartitions", partitions or spark.sparkContext.defaultParallelism)
         )
     return reader.load()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tablevault.functions.scalars import LEVELS
 from tablevault.sources.loglines import parse_lines
 
 
@@ -21,11 +22,13 @@ def start_intake(spark: SparkSession, folder: str, table: str, checkpoint: str,
 
     Stateless, so no watermark is needed. The table is partitioned by level: the error split is
     a partition of it, read with :func:`errors_of`, and not a second pass over the input.
-    Lines that could not be parsed are kept under level ``unknown``.
+    Lines that could not be parsed, and levels that are none of ours, are kept under ``unknown`` with the level they
+    gave in ``given_level``: foreign logs must not decide how many folders there are.
     """
     lines = log_stream(spark, folder, max_files)
     return (
-        lines.withColumn("level", F.coalesce("level", F.lit("unknown")))
+        lines.withColumn("given_level", F.when(~F.col("level").isin(*LEVELS), F.col("level")))
+        .withColumn("level", F.when(F.col("level").isin(*LEVELS), F.col("level")).otherwise("unknown"))
         .writeStream.format("parquet")
         .partitionBy("level")
         .option("checkpointLocation", checkpoint)

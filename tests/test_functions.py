@@ -98,3 +98,25 @@ def test_selection_rules(spark):
     frame = lambda *n: spark.createDataFrame([(x,) for x in n], "table_name string")
     got = select_tables(frame(*have), frame("a", "b", "a"), frame("b", "zz"))
     assert [r[0] for r in got.collect()] == ["a"]
+
+
+def test_stamps_do_not_depend_on_the_session_zone(spark):
+    from tablevault.functions import scalars as X
+
+    rows = spark.sql("select timestamp_ntz'2024-01-02 03:04:05.678' n, timestamp_micros(1704164645678000) t")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = rows.select(X.iso_stamp("n"), X.iso_stamp("t"), X.epoch_millis("n"), X.epoch_millis("t")).first()
+            assert tuple(got) == ("2024-01-02T03-04-05-678Z",) * 2 + (1704164645678,) * 2, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_secrets_leave_failure_texts():
+    from tablevault.functions.scalars import redact_secrets
+
+    text = 'jdbc:postgresql://u:pw1@h/db?user=u&password=pw2 {"password": "p\\"w3"} Passwd = \'pw4\' ok=1'
+    got = redact_secrets(text)
+    assert not any(f"pw{i}" in got for i in (1, 2, 4)) and "w3" not in got and "ok=1" in got and "u:***@h" in got

@@ -77,3 +77,19 @@ def test_jdbc_options():
     assert jdbc_options("sqlite", "/tmp/x.db")["url"] == "jdbc:sqlite:/tmp/x.db"
     with pytest.raises(ValueError):
         jdbc_options("mongodb", "shop")
+
+
+def test_jdbc_is_read_in_parallel_or_not_at_all(spark):
+    from tablevault.sources.tables import jdbc_table
+
+    assert jdbc_options("mysql", "shop")["user"] == "root"
+    with pytest.raises(ValueError, match="in parallel"):
+        jdbc_table(spark, jdbc_options("postgres", "shop"), "orders")
+
+
+def test_foreign_levels_share_one_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("".join(f'{{"level": "l{i}", "message": "m"}}\n' for i in range(5)) + '{"level": "warn"}\n')
+    intake.start_intake(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    got = intake.stored_logs(spark, str(tmp_path / "t"))
+    assert {(r["level"], r["given_level"]) for r in got.collect()} == {("unknown", f"l{i}") for i in range(5)} | {("warn", None)}
