@@ -50,11 +50,12 @@ def keyed_changes(cur: DataFrame, prev: DataFrame, keys: list[str]) -> DataFrame
     ``U`` inserted or changed, ``D`` deleted, ``X`` not usable as a key (repeated or null). The
     current rows are grouped by key, which finds repeated keys and combines them before the
     shuffle; the join reuses that partitioning. Keys of the previous state were checked when it
-    was stored."""
+    was stored; it may come as keys and fingerprints only."""
     c = with_fingerprint(cur).groupBy(*keys).agg(
         F.max(H1).alias("cur_h1"), F.max(H2).alias("cur_h2"), F.count(F.lit(1)).alias("cur_n")
     )
-    p = with_fingerprint(prev).select(*keys, F.col(H1).alias("prev_h1"), F.col(H2).alias("prev_h2"))
+    known = prev if H1 in prev.columns else with_fingerprint(prev)
+    p = known.select(*keys, F.col(H1).alias("prev_h1"), F.col(H2).alias("prev_h2"))
     bad = F.col("cur_n") > 1
     for k in keys:
         bad = bad | F.col(f"`{k}`").isNull()
@@ -108,11 +109,13 @@ def multiset_changes(cur: DataFrame, prev: DataFrame) -> DataFrame:
     differs.
 
     One grouped sum over both sides: 32 bytes per row are shuffled, equal rows are combined
-    before the shuffle, and both directions come out of the same pass."""
+    before the shuffle, and both directions come out of the same pass. The former state may come
+    as fingerprints with copies."""
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    known = prev if H1 in prev.columns else with_fingerprint(prev).withColumn(COPIES, one)
     sides = [
-        with_fingerprint(df).select(*FINGERPRINT, now.alias(COPIES), before.alias(BEFORE))
-        for df, now, before in ((cur, one, none), (prev, none, one))
+        with_fingerprint(cur).select(*FINGERPRINT, one.alias(COPIES), none.alias(BEFORE)),
+        known.select(*FINGERPRINT, none.alias(COPIES), F.col(COPIES).alias(BEFORE)),
     ]
     total = sides[0].unionByName(sides[1]).groupBy(*FINGERPRINT).agg(
         F.sum(COPIES).alias(COPIES), F.sum(BEFORE).alias(BEFORE)

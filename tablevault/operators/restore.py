@@ -32,6 +32,8 @@ def apply_keyed(base: DataFrame, deltas: list[DataFrame], keys: list[str], store
     """``stored`` is the number of delta rows, ``touched`` how many keys existed before; when
     there are none the base needs no filter."""
     columns = [f"`{c}`" for c in base.columns]
+    if not deltas:
+        return base
     last = _last_word(deltas, keys)
     upserts = last.where(F.col(OP) == "U").select(*columns)
     if touched:
@@ -40,6 +42,29 @@ def apply_keyed(base: DataFrame, deltas: list[DataFrame], keys: list[str], store
     return base.unionByName(upserts)
 
 
+def keyed_prints(base: DataFrame, deltas: list[DataFrame], keys: list[str], stored: int, touched: int) -> DataFrame:
+    """Keys and fingerprints of the rows that :func:`apply_keyed` gives. Fingerprints are taken where the files are
+    scanned, so joins carry keys and 16 bytes, never the rows."""
+    columns = base.columns
+    narrow = lambda df, *more: with_fingerprint(df, columns).select(*[f"`{k}`" for k in keys], *FINGERPRINT, *more)
+    return apply_keyed(narrow(base), [narrow(d, OP) for d in deltas], keys, stored, touched)
+
+
+def multiset_prints(base: DataFrame, deltas: list[DataFrame], touched: int) -> DataFrame:
+    """Fingerprints of the rows that :func:`apply_multiset` gives, each with a number of copies; a fingerprint may
+    come several times."""
+    marked = [with_fingerprint(d, base.columns).select(*FINGERPRINT, COPIES, BEFORE) for d in deltas]
+    prints = with_fingerprint(base).select(*FINGERPRINT)
+    if touched:
+        earlier = reduce(DataFrame.unionByName, [d.where(F.col(BEFORE) > 0).select(*FINGERPRINT) for d in marked])
+        prints = prints.join(bounded_broadcast(earlier, touched), FINGERPRINT, "left_anti")
+    prints = prints.withColumn(COPIES, F.lit(1).cast("bigint"))
+    if not marked:
+        return prints
+    last = _last_word(marked, FINGERPRINT).where(F.col(COPIES) > 0)
+    return prints.unionByName(last.select(*FINGERPRINT, COPIES))
+
+
 def apply_multiset(base: DataFrame, deltas: list[DataFrame], touched: int) -> DataFrame:
     """``touched`` is the number of delta rows that had copies before; when there are none the
     base needs no filter."""

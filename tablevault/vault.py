@@ -26,7 +26,7 @@ from tablevault.model import (
     BACKUP_LOGS, BACKUP_VERSION, DEFAULT_RETENTION_DAYS, FILES, JOB_EVENTS, MANIFEST, BackupRequest, BackupResult, safe_name,
 )
 from tablevault.operators import catalog, delta, integrity, retention
-from tablevault.operators.restore import apply_keyed, apply_multiset
+from tablevault.operators.restore import apply_keyed, apply_multiset, keyed_prints, multiset_prints
 from tablevault.operators.selection import select_names
 from tablevault.plans import chains
 from tablevault.workspace import delete_path, path_exists
@@ -46,10 +46,12 @@ class DigestMismatch(RuntimeError):
 
 @dataclass
 class _Parent:
-    """The state a delta is measured against: its rows and the manifest row describing it."""
+    """The state a delta is measured against: its rows, the manifest row describing it and the stored
+    steps that lead to it."""
 
     manifest: Row
     state: DataFrame
+    steps: list[tuple[Row, str]]
 
 
 def _void_columns(schema: T.StructType) -> list[str]:
@@ -94,8 +96,9 @@ class Vault:
 
     # --- catalog storage ------------------------------------------------------------------
 
-    def _append(self, name: str, rows: DataFrame, at: datetime) -> str:
-        path = f"{self.root}/catalog/{name}/month={at:%Y-%m}/entry={uuid.uuid4().hex}"
+    def _append(self, name: str, rows: DataFrame, at: datetime, owner: str) -> str:
+        """A new entry, named after the backup it belongs to so that it is found without reading others."""
+        path = f"{self.root}/catalog/{name}/month={at:%Y-%m}/entry={owner}-{uuid.uuid4().hex}"
         rows.write.mode("errorifexists").parquet(path)
         return path
 
@@ -104,20 +107,26 @@ class Vault:
         plain = lambda v: v.isoformat() if isinstance(v, datetime) else int(v)
         text = json.dumps([{k: v for k, v in r.items() if v is not None} for r in rows], default=plain)
         parsed = F.from_json(F.lit(text), T.ArrayType(_SCHEMAS[name]))
-        self._append(name, self.spark.range(0, 1, 1, 1).select(F.inline(parsed)), at)
+        owner = rows[0].get("backup_id") or rows[0].get("backup_job_id") or rows[0]["id"]
+        self._append(name, self.spark.range(0, 1, 1, 1).select(F.inline(parsed)), at, owner)
 
     def _append_row(self, name: str, at: datetime, **values) -> None:
         self._append_rows(name, at, [values])
 
-    def _read(self, name: str, since_month: str | None = None) -> DataFrame:
-        """A catalog table; ``since_month`` (``YYYY-MM``) prunes older month folders."""
+    def _read(self, name: str, since_month: str | None = None, owner: str | None = None) -> DataFrame:
+        """A catalog table; ``since_month`` (``YYYY-MM``) prunes older month folders, ``owner`` reads the entries
+        of one backup, and those of expiry runs, only. Entries without an owner in their name belong to a
+        vault of an earlier version, which is read whole."""
         schema = T.StructType(_SCHEMAS[name].fields + [T.StructField("month", T.StringType())])
         base = f"{self.root}/catalog/{name}"
         try:
-            found = self.spark.read.schema(schema).option("basePath", base).parquet(base)
+            path = f"{base}/month=*/entry={{{owner},expire}}-*" if owner else base
+            found = self.spark.read.schema(schema).option("basePath", base).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            if owner:
+                return self._read(name, since_month)
             found = self.spark.createDataFrame([], schema)
         if since_month:
             found = found.where(F.col("month") >= since_month)
@@ -133,11 +142,11 @@ class Vault:
         return self._read("backup_logs", since_month)
 
     def manifest(self, backup_id: str | None = None) -> DataFrame:
-        found = self._read("manifest")
+        found = self._read("manifest", owner=backup_id)
         return found.where(F.col("backup_id") == backup_id) if backup_id else found
 
     def files(self, backup_id: str | None = None) -> DataFrame:
-        found = self._read("files")
+        found = self._read("files", owner=backup_id)
         return found.where(F.col("backup_id") == backup_id) if backup_id else found
 
     def list_backups(self, **options) -> DataFrame:
@@ -148,8 +157,8 @@ class Vault:
 
     def status(self, backup_id: str) -> DataFrame:
         """The job with its logs, or no row for an unknown id."""
-        events = self.job_events().where(F.col("id") == backup_id)
-        return catalog.job_with_logs(catalog.current_jobs(events), self.logs(), backup_id)
+        events = self._read("job_events", owner=backup_id).where(F.col("id") == backup_id)
+        return catalog.job_with_logs(catalog.current_jobs(events), self._read("backup_logs", owner=backup_id), backup_id)
 
     def data_path(self, backup_id: str, output: str | None = None) -> str:
         return f"{(output or self.root + '/data').rstrip('/')}/{backup_id}"
@@ -237,7 +246,7 @@ class Vault:
         if not members:
             return {}, [], "full"
         steps = self._steps(members)
-        return {t: _Parent(s[-1][0], self._rebuild(s)) for t, s in steps.items()}, members, request.backup_type
+        return {t: _Parent(s[-1][0], self._rebuild(s), s) for t, s in steps.items()}, members, request.backup_type
 
     def _store(self, table: str, df: DataFrame, request: BackupRequest, backup_id: str, folder: str, parent: _Parent | None) -> dict:
         """Write one table, full or as a delta, and return what the manifest says about it."""
@@ -266,7 +275,7 @@ class Vault:
             info.update(op_mode=APPEND, upserts=seen["row_count"], high_water=seen.pop("high_water", None) or mark, null_marks=parent.manifest["null_marks"])
             state = self._moved(parent, seen["row_count"], seen["digest1"], seen["digest2"])
         elif keys:
-            changes = self._materialize(delta.keyed_changes(df, parent.state, keys), backup_id, table)
+            changes = self._materialize(delta.keyed_changes(df, self._prints(parent.steps, keys), keys), backup_id, table)
             found = delta.keyed_change_totals(changes).first()
             if found["faults"]:
                 raise ValueError(f"{table}: {keys} is repeated or null, not a key")
@@ -277,7 +286,7 @@ class Vault:
             info.update(op_mode=KEYED, upserts=found["upserts"], deletes=found["deletes"], touched=found["touched"])
             state = self._moved(parent, found["rows"], int(found["up1"]) - int(found["out1"]), int(found["up2"]) - int(found["out2"]))
         else:
-            changes = self._materialize(delta.multiset_changes(df, parent.state), backup_id, table)
+            changes = self._materialize(delta.multiset_changes(df, self._prints(parent.steps, None)), backup_id, table)
             found = delta.multiset_change_totals(changes).first()
             payload = delta.multiset_payload(df, parent.state, changes, found["present"], found["gone"])
             seen = self._write(payload, df.columns, MULTISET, path, request)
@@ -344,7 +353,7 @@ class Vault:
     def _measure(self, backup_id: str, folder: str, written: list[dict], at: datetime) -> tuple[dict[str, tuple[int, int]], str]:
         """Read back the part files, record them, and total them per table and overall."""
         stored = self._stored(written, folder).withColumn("backup_id", F.lit(backup_id))
-        entry = self._append("files", stored.select(*FILES.fieldNames()), at)
+        entry = self._append("files", stored.select(*FILES.fieldNames()), at, backup_id)
         rows = integrity.file_totals(self.spark.read.schema(FILES).parquet(entry)).collect()
         return {r["table_name"]: (r["files"], r["bytes"]) for r in rows}, integrity.overall_checksum(rows)
 
@@ -431,6 +440,16 @@ class Vault:
                 state = reduce(DataFrame.unionByName, payloads, state)
         return state
 
+    def _prints(self, steps: list[tuple[Row, str]], keys: list[str] | None) -> DataFrame:
+        """The state after the steps, which is all that finding changes needs, as fingerprints: with the keys of the
+        rows, or with copies for a table without a key. Deltas after a full copy are of one kind."""
+        base, *payloads = [self._payload(r, p) for r, p in steps]
+        rows = [r for r, _ in steps[1:]]
+        touched = sum(r["touched"] for r in rows)
+        if keys:
+            return keyed_prints(base, payloads, keys, sum(r["row_count"] for r in rows), touched)
+        return multiset_prints(base, payloads, touched)
+
     def _target_steps(self, backup_id: str, tables: list[str] | None) -> dict[str, list[tuple[Row, str]]]:
         members = self.chain(backup_id)
         if not members:
@@ -466,14 +485,15 @@ class Vault:
 
     def payload(self, backup_id: str, table: str) -> DataFrame:
         """What one backup itself stores for a table: its rows, or its delta rows."""
-        path = self.jobs().where(F.col("id") == backup_id).select("file_path").first()["file_path"]
+        path = self._folder(backup_id)
         row = self.manifest(backup_id).where(F.col("table_name") == table).first()
         return self._payload(row, f"{path}/{table}")
 
     # --- checks and retention -------------------------------------------------------------
 
     def _folder(self, backup_id: str) -> str:
-        found = self.jobs().where(F.col("id") == backup_id).select("file_path").first()
+        events = self._read("job_events", owner=backup_id).where(F.col("id") == backup_id)
+        found = catalog.current_jobs(events).select("file_path").first()
         if found is None or found["file_path"] is None:
             raise ValueError(f"no finished backup {backup_id}")
         return found["file_path"]
@@ -512,7 +532,7 @@ class Vault:
         events = gone.select(
             *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in JOB_EVENTS.fields]
         )
-        self._append("job_events", events, now)
+        self._append("job_events", events, now, "expire")
         count = 0
         for row in gone.toLocalIterator():
             delete_path(self.spark, row["file_path"])

@@ -130,3 +130,14 @@ def test_job_with_logs(spark):
 def test_list_plan_is_a_top_k(spark):
     plan = catalog.newest(frame(spark, *CHAIN))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_lookups_by_id_read_that_entry_only(spark, vault):
+    from tablevault import BackupRequest
+
+    runs = [vault.backup({"t": spark.range(3 + i)}, BackupRequest(db_name="s")) for i in range(3)]
+    mine = runs[1].backup_id
+    for found in (vault.manifest(mine), vault.files(mine), vault.status(mine)):
+        assert found.count() >= 1
+        assert all(mine in f for f in found.inputFiles())
+    assert vault.manifest("nobody").count() == 0 and vault.status("nobody").count() == 0

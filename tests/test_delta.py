@@ -205,3 +205,28 @@ def test_keyed_change_plan(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count("Exchange hashpartitioning(o_orderkey") == 2
+
+
+def test_change_pass_carries_keys_and_fingerprints_only(spark, vault):
+    """With broadcasts off, no exchange under the change pass holds a column that is neither key nor fingerprint."""
+    import re
+
+    wide = lambda n: spark.range(n).selectExpr("id", "cast(id as string) secret_a", "id * 2 secret_b")
+    request = lambda kind, keys: BackupRequest(db_name="s", backup_type=kind, keys=keys)
+    for keys in ({"t": ["id"]}, {}):
+        vault.root += "x"
+        vault.backup({"t": wide(30)}, request("full", keys))
+        vault.backup({"t": wide(25)}, request("incremental", keys))
+        members = vault.chain(vault.jobs().where("backup_type = 'incremental'").first()["id"])
+        steps = vault._steps(members)["t"]
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        try:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            prints = vault._prints(steps, keys.get("t"))
+            changes = delta.keyed_changes(wide(20), prints, ["id"]) if keys else delta.multiset_changes(wide(20), prints)
+            plan = spark._jvm.PythonSQLUtils.explainString(changes._jdf.queryExecution(), "formatted")
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        inputs = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", plan)
+        assert inputs and not any("secret" in i for i in inputs), inputs
+        assert changes.count() == 5
