@@ -118,75 +118,68 @@ def ancestry(jobs: dict, target: str) -> list:
     return found[::-1]
 
 
-_FOLD = {"sum": F.sum, "max": F.max}
+# Running measures of a database: fulls, heads (fulls and differentials) and incrementals so far, incrementals up to the last
+# head, and heads up to the last full.
+_SUMS = ("grp", "seg", "inc")
+_MARKS = {"inc_at_head": "inc", "seg_at_full": "seg"}
 
 
-def _fold_two(how: str, a: Column, b: Column) -> Column:
-    if how == "sum":
-        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-    return F.greatest(a, b)
-
-
-def _carried(totals: DataFrame, hows: dict[str, str], unit: str, within: str | None = None) -> DataFrame:
-    """What all earlier ``unit`` totals of a database (of the same ``within``) add up to."""
-    by = ["db_name"] + ([within] if within else [])
+def _carry(totals: DataFrame, by: list[str], unit: str) -> DataFrame:
+    """Each unit's totals with what all earlier units of the same ``by`` add up to (``c_``). A mark counts from the start of
+    its own unit, so the sum carried into that unit is added before marks are compared; marks only grow."""
     earlier = Window.partitionBy(*by).orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
-    carried = [_FOLD[how](n).over(earlier).alias(n) for n, how in hows.items()]
-    return totals.select("db_name", *([within] if within else []), unit, *carried)
+    out = totals.withColumns({f"c_{n}": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in _SUMS})
+    return out.withColumns({f"c_{m}": F.max(F.col(m) + F.col(f"c_{n}")).over(earlier) for m, n in _MARKS.items()})
 
 
-def _running(df: DataFrame, measures: dict[str, tuple[Column, str]]) -> DataFrame:
-    """Running sums and maxima per database without one task per database.
+def _total(carried: DataFrame, by: list[str]) -> DataFrame:
+    """Totals of a larger unit from the carried totals of its smaller ones."""
+    marks = [F.max(F.col(m) + F.col(f"c_{n}")).alias(m) for m, n in _MARKS.items()]
+    return carried.groupBy(*by).agg(*[F.sum(n).alias(n) for n in _SUMS], *marks)
 
-    Rows are ordered only inside one second of their database, the totals of seconds only inside
-    one day, and the totals of days per database: the calendar bounds what any task orders,
-    however many jobs a database has. Totals are combined before each shuffle.
-    """
-    hows = {n: how for n, (_, how) in measures.items()}
-    timed = df.withColumn("_second", F.date_trunc("second", F.col("started_at").cast("timestamp")))
-    seconds = timed.groupBy("db_name", "_second").agg(*[_FOLD[how](v).alias(n) for n, (v, how) in measures.items()])
-    seconds = seconds.withColumn("_day", F.date_trunc("day", "_second"))
-    days = seconds.groupBy("db_name", "_day").agg(*[_FOLD[how](n).alias(n) for n, how in hows.items()])
-    before_day = _carried(days, hows, "_day").withColumnsRenamed({n: f"_d_{n}" for n in hows})
-    before_second = _carried(seconds, hows, "_second", "_day").join(before_day, ["db_name", "_day"])
-    carry = before_second.select(
-        "db_name", "_second", *[_fold_two(how, F.col(n), F.col(f"_d_{n}")).alias(f"_c_{n}") for n, how in hows.items()]
-    )
-    here = Window.partitionBy("db_name", "_second").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    out = timed.join(carry, ["db_name", "_second"])
-    for name, (value, how) in measures.items():
-        out = out.withColumn(name, _fold_two(how, _FOLD[how](value).over(here), F.col(f"_c_{name}")).cast("bigint"))
-    return out.drop("_second", *[f"_c_{n}" for n in hows])
+
+def _onto(inner: dict[str, str], outer: dict[str, str]) -> dict[str, Column]:
+    """Measures counted from the start of a unit, on top of what was carried into the unit. Both map names to columns."""
+    sums = {n: F.col(inner[n]) + F.col(outer[n]) for n in _SUMS}
+    return sums | {m: F.greatest(F.col(inner[m]) + F.col(outer[n]), F.col(outer[m])) for m, n in _MARKS.items()}
 
 
 def backup_chains(jobs: DataFrame) -> DataFrame:
     """Every successful backup with its group (running count of fulls), its segment (running
     count of fulls and differentials) and the number of members of its restore chain. Backups
-    without an earlier full have chain length null."""
+    without an earlier full have chain length null.
+
+    One pass per level carries all measures. Rows are ordered only inside one second of their database, the totals of
+    seconds only inside one day, and the totals of days per database: the calendar bounds what any
+    task orders, however many jobs a database has. Totals stay where their rows are; only they are
+    shuffled from level to level.
+    """
     kind = F.col("backup_type")
-    one = lambda condition: F.when(condition, 1).otherwise(0)
+    names = [*_SUMS, *_MARKS]
     rows = successful(jobs).select("id", "db_name", "backup_type", "started_at")
-    counted = _running(
-        rows,
-        {
-            "grp": (one(kind == "full"), "sum"),
-            "seg": (one(kind != "incremental"), "sum"),
-            "_inc": (one(kind == "incremental"), "sum"),
-        },
+    rows = rows.withColumn("_second", F.date_trunc("second", F.col("started_at").cast("timestamp")))
+    here = Window.partitionBy("db_name", "_second").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda c: F.count(F.when(c, 1)).over(here)
+    rows = rows.withColumns({"grp": count(kind == "full"), "seg": count(kind != "incremental"), "inc": count(kind == "incremental")})
+    rows = rows.withColumns({
+        "inc_at_head": F.max(F.when(kind != "incremental", F.col("inc"))).over(here),
+        "seg_at_full": F.max(F.when(kind == "full", F.col("seg"))).over(here),
+    })
+    seconds = rows.groupBy("db_name", "_second").agg(*[F.max(n).alias(n) for n in names])
+    seconds = _carry(seconds.withColumn("_day", F.date_trunc("day", "_second")), ["db_name", "_day"], "_second")
+    days = _carry(_total(seconds, ["db_name", "_day"]), ["db_name"], "_day")
+    days = days.select("db_name", "_day", *[F.col(f"c_{n}").alias(f"d_{n}") for n in names])
+    before = seconds.join(days, ["db_name", "_day"]).select(
+        "db_name", "_second", *[c.alias(f"b_{n}") for n, c in _onto({n: f"c_{n}" for n in names}, {n: f"d_{n}" for n in names}).items()]
     )
-    # both counters only grow, so their value at the last head is the largest seen at any head
-    marked = _running(
-        counted,
-        {
-            "_inc_at_head": (F.when(kind != "incremental", F.col("_inc")), "max"),
-            "_seg_at_full": (F.when(kind == "full", F.col("seg")), "max"),
-        },
+    out = rows.join(before, ["db_name", "_second"]).select(
+        "id", "db_name", "backup_type", "started_at", *[c.alias(n) for n, c in _onto({n: n for n in names}, {n: f"b_{n}" for n in names}).items()]
     )
-    after_differential = F.when(F.col("seg") > F.col("_seg_at_full"), 1).otherwise(0)
+    after_differential = F.when(F.col("seg") > F.col("seg_at_full"), 1).otherwise(0)
     length = (
         F.when(F.col("grp") == 0, F.lit(None))
         .when(kind == "full", 1)
         .when(kind == "differential", 2)
-        .otherwise(1 + after_differential + F.col("_inc") - F.col("_inc_at_head"))
+        .otherwise(1 + after_differential + F.col("inc") - F.col("inc_at_head"))
     )
-    return marked.select("id", "db_name", "backup_type", "started_at", "grp", "seg", length.cast("bigint").alias("chain_length"))
+    return out.select("id", "db_name", "backup_type", "started_at", "grp", "seg", length.cast("bigint").alias("chain_length"))
