@@ -32,11 +32,11 @@ FREQUENT = 6
 #: Shingles of a bucket, about.
 BUCKET_SHINGLES = 1_000_000
 #: Rounds before the last one, and signatures of a class in each.
-ROUNDS, TRIED = 2, 4
+ROUNDS, TRIED = 1, 4
 #: Classes that meet around one centre; shingles of the pairs that one cell verifies, about.
 AROUND, CELL_SHINGLES = 64, 1_200_000
 #: First signatures of a class by which most pairs are found once instead of once for each that they share.
-TOP = 3
+TOP = 4
 QUARTERS = np.arange(4, dtype=np.uint64) << np.uint64(62)
 #: Rows of a table that is sent to every task at most.
 SENT_ROWS = 1_000_000
@@ -70,8 +70,13 @@ def _class_of(shingles: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63) if len(shingles) else None
 
 
+def _look(shingles: np.ndarray) -> int:
+    least = np.append(shingles, np.uint64(0))[np.searchsorted(shingles, QUARTERS)]
+    return int(least.astype("<u2").view("<i8")[0])
+
+
 def _marks(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, h (hash of the text), c (class), n, look (smallest hash of each quarter of the range), head (the smallest hashes, some more than a prefix), whole."""
+    """doc_id, h (hash of the text), c (class), n, look (16 bits of the smallest hash of each quarter of the range), head (the smallest hashes, some more than a prefix), whole."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -79,17 +84,17 @@ def _marks(docs: DataFrame, width: int, percent: int) -> DataFrame:
             rows = []
             for s in _sets(batch.column("text").to_pylist(), width, hashes):
                 need = 5 * (spare(len(s), percent) + 1) // 4 + 16
-                look = [int(x) for x in np.append(s, 0)[np.searchsorted(s, QUARTERS)].view(np.int64)]
-                rows.append((_class_of(s), len(s), look, s[:need].tobytes(), need >= len(s)))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.bool_()]
+                rows.append((_class_of(s), len(s), _look(s), s[:need].tobytes(), need >= len(s)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
             columns = [batch.column("doc_id"), batch.column("h"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "c", "n", "look", "head", "whole"])
 
-    return docs.mapInArrow(read, "doc_id long, h long, c long, n long, look array<bigint>, head binary, whole boolean")
+    return docs.mapInArrow(read, "doc_id long, h long, c long, n long, look long, head binary, whole boolean")
 
 
 def _shared(lists: DataFrame, bits: int) -> DataFrame:
-    """(sig, c, pos) for every listed shingle (c, head) that two classes or more have; pos is its place in the list."""
+    """(sig, c, n, pos, frequent) for every listed shingle of (c, n, look, head) that two classes or more have; pos is its place in
+    the list."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,45 +108,47 @@ def _shared(lists: DataFrame, bits: int) -> DataFrame:
                 place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype("<u4")
                 used, at = np.unique(bucket[order], return_index=True)
                 bounds = list(zip(at, np.append(at[1:], len(flat)), strict=True))
-                cells = [flat[order], np.repeat(classes, sizes)[order], place[order]]
+                side = [batch.column(k).to_numpy()[first] for k in ("n", "look")]
+                cells = [flat[order], *(np.repeat(v, sizes)[order] for v in (classes, side[0].astype("<i4"), side[1])), place[order]]
                 columns = [pa.array(used)] + [pa.array([v[x:y].tobytes() for x, y in bounds], pa.binary()) for v in cells]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "c", "pos"])
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "c", "n", "look", "pos"])
 
     def meet(table: pa.Table) -> pa.Table:
-        token, c, pos = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table.column(name)]) for name, k in (("tokens", "<u8"), ("c", "<i8"), ("pos", "<u4")))
+        kinds = (("tokens", "<u8"), ("c", "<i8"), ("n", "<i4"), ("look", "<i8"), ("pos", "<u4"))
+        token, c, n, look, pos = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table.column(name)]) for name, k in kinds)
         order = np.argsort(token, kind="stable")
         token = token[order]
         again = np.zeros(len(token), bool)
         again[1:] = token[1:] == token[:-1]
         again[:-1] |= again[1:]
         token, order = token[again], order[again]
-        c, pos = c[order], pos[order]
-        both = np.lexsort((c, token))
-        token, c, pos = token[both], c[both], pos[both]
+        order = order[np.lexsort((c[order], token))]
+        token = np.sort(token)
+        c, n, look, pos = c[order], n[order], look[order], pos[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
-        token, c, pos = token[new], c[new], pos[new]
+        token, c, n, look, pos = (v[new] for v in (token, c, n, look, pos))
         edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-        keep = np.repeat(np.diff(edge) > 1, np.diff(edge)) if len(token) else np.zeros(0, bool)
-        return pa.table([pa.array(token[keep].view("<i8")), pa.array(c[keep]), pa.array(pos[keep].astype(np.int32))], ["sig", "c", "pos"])
-
-    dealt = lists.mapInArrow(deal, "bucket long, tokens binary, c binary, pos binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "sig long, c long, pos int")
-
-
-def _postings(lists: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
+        members = np.diff(edge) if len(token) else np.zeros(0, np.int64)
+        group, unlike = np.repeat(np.arange(len(members)), members), np.zeros(len(members), np.int64)
+        many = np.flatnonzero((members > FREQUENT)[group])
+        for quarter in range(4):
+            seen = np.unique(group[many] << 16 | (look[many] >> (16 * quarter) & 0xFFFF))
+            unlike = np.maximum(unlike, np.bincount(seen >> 16, minlength=len(members)))
+        frequent = ((unlike > FREQUENT) & (2 * unlike > members))[group]
+        keep = (members > 1)[group]
+        columns = [pa.array(token[keep].view("<i8")), pa.array(c[keep]), pa.array(n[keep].astype(np.int64)), pa.array(pos[keep].astype(np.int32)), pa.array(frequent[keep])]
+        return pa.table(columns, ["sig", "c", "n", "pos", "frequent"])
+
+    dealt = lists.mapInArrow(deal, "bucket long, tokens binary, c binary, n binary, look binary, pos binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "sig long, c long, n long, pos int, frequent boolean")
+
+
+def _postings(lists: DataFrame, bits: int) -> DataFrame:
     """(sig, c, n, frequent, rank): shared shingles of each class; rank counts the rare ones, shared or not, before it."""
-    shared = settle(_shared(lists, bits), "shared").join(classes.select("c", "n", "look"), "c")
-    shared = settle(shared, "shared")
-    many = shared.groupBy("sig").agg(F.count("*").alias("members")).where(F.col("members") > FREQUENT)
-    looks = shared.join(many, "sig").select("sig", "members", F.posexplode("look").alias("quarter", "look")).distinct()
-    unlike = looks.groupBy("sig", "members", "quarter").agg(F.count("*").alias("kinds"))
-    unlike = unlike.where((F.col("kinds") > FREQUENT) & (2 * F.col("kinds") > F.col("members")))
-    often = unlike.select(F.col("sig").alias("_sig")).distinct()
-    told = shared.join(often, F.col("sig") == F.col("_sig"), "left").withColumn("frequent", F.col("_sig").isNotNull())
     before = Window.partitionBy("c").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     skipped = F.coalesce(F.sum(F.col("frequent").cast("int")).over(before), F.lit(0))
-    return told.select("sig", "c", "n", "frequent", (F.col("pos") - skipped).alias("rank"))
+    return _shared(lists, bits).select("sig", "c", "n", "frequent", (F.col("pos") - skipped).alias("rank"))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -153,15 +160,16 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(c, head): every shingle of the wanted classes."""
+    """(c, n, look, head): every shingle of the wanted classes."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in small_batches(batches, "text"):
-            sets = [s.tobytes() for s in _sets(batch.column("text").to_pylist(), width, hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(sets, pa.binary())], ["c", "head"])
+            rows = [(len(s), _look(s), s.tobytes()) for s in _sets(batch.column("text").to_pylist(), width, hashes)]
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), *columns], ["c", "n", "look", "head"])
 
-    return _fetch(docs, wanted).select("c", "text").dropDuplicates(["c"]).mapInArrow(whole, "c long, head binary")
+    return _fetch(docs, wanted).select("c", "text").dropDuplicates(["c"]).mapInArrow(whole, "c long, n long, look long, head binary")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -243,7 +251,7 @@ def _across(placed: DataFrame, percent: int) -> DataFrame:
     """Every pair of classes that share a signature and lie in different components.
 
     Rows of a signature's largest component meet the other rows only, never each other. Pairs whose first few signatures
-    have one in common meet there; only the others meet at every signature that they share.
+    have one in common meet at the least of these; only the others meet at every signature that they share.
     """
     counts = placed.groupBy("sig", "comp").agg(F.count("*").alias("k"))
     largest = counts.groupBy("sig").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
@@ -253,7 +261,8 @@ def _across(placed: DataFrame, percent: int) -> DataFrame:
     apart = apart & (100 * F.least("n", "an") >= percent * F.greatest("n", "an"))
     same = F.col("sig") == F.col("_sig")
     other = mixed_.withColumnRenamed("sig", "_sig")
-    early = minor.where("afirst").join(other.where("first"), same & apart)
+    earliest = F.get(F.array_intersect("top", "atop"), F.lit(0)) == F.col("sig")
+    early = minor.where("afirst").join(other.where("first"), same & apart & earliest)
     late = minor.join(other, same & apart & ~F.arrays_overlap("top", "atop"))
     wanted = ["a", F.col("c").alias("b"), "sig", (F.col("n") + F.col("an")).alias("load")]
     return _once(early.select(*wanted).unionByName(late.select(*wanted)))
@@ -281,16 +290,16 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     marks = settle(_marks(docs, width, percent), "marks")
     # One document stands for each class; copies meet within their partition before they move.
     chosen = F.min(F.struct("h", F.col("doc_id").alias("id"))).alias("chosen")
-    rest = [F.first(k).alias(k) for k in ("n", "look", "held", "whole")]
+    rest = [F.first(k).alias(k) for k in ("n", "held", "whole")]
     able = marks.where(F.col("n") >= spare_from(percent)).withColumn("held", (F.length("head") / 8).cast("long"))
-    classes = able.groupBy("c").agg(chosen, *rest).select("c", "chosen.h", "chosen.id", "n", "look", "held", "whole")
+    classes = able.groupBy("c").agg(chosen, *rest).select("c", "chosen.h", "chosen.id", "n", "held", "whole")
     classes = settle(classes, "classes")
     listed = classes.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     bits = max(4, int(listed // BUCKET_SHINGLES).bit_length())
     need = F.expr(f"n - ceil({percent} * n / 100) + 1")
-    lists, full = able.select("c", "head"), None
+    lists, full = able.select("c", "n", "look", "head"), None
     while True:  # until every class either has enough rare shingles in its list or lists them all
-        posts = settle(_postings(lists, classes, bits), "postings")
+        posts = settle(_postings(lists, bits), "postings")
         often = posts.where("frequent").groupBy("c").agg(F.count("*").alias("often"))
         short = settle(classes.join(often, "c").where(F.col("held") - F.col("often") < need), "short")
         part = short.where("not whole")
@@ -301,7 +310,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         done = full.select("c", F.lit(True).alias("all"))
         few = done.limit(SENT_ROWS + 1).count() <= SENT_ROWS
         sent = F.broadcast(done) if few else done
-        lists = able.select("c", "head").join(sent, "c", "left_anti").unionByName(full)
+        lists = able.select("c", "n", "look", "head").join(sent, "c", "left_anti").unionByName(full)
         joined = classes.join(sent, "c", "left")
         joined = joined.withColumn("held", F.when(F.col("all"), F.col("n").cast("long")).otherwise(F.col("held"))).withColumn("whole", F.col("whole") | F.col("all").isNotNull())
         classes = settle(joined.drop("all"), "classes")
@@ -310,7 +319,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     sizes = posts.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig")
     order = Window.partitionBy("c").orderBy("rank", "sig")
     posts = posts.join(sizes, "sig").withColumn("first", F.row_number().over(order) <= TOP)
-    posts = posts.withColumn("top", F.collect_list(F.when(F.col("first"), F.col("sig"))).over(Window.partitionBy("c")))
+    posts = posts.withColumn("top", F.array_sort(F.collect_list(F.when(F.col("first"), F.col("sig"))).over(Window.partitionBy("c"))))
     posts = settle(posts.drop("rank"), "signatures")
 
     comps, edges = None, None
