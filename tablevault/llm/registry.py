@@ -100,6 +100,28 @@ def op10_exact_top_k(spark, folder):
 
 
 _SQL: dict[str, str] = {
+    "op6_host_rules": r"""
+with w as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+tok as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+win as (select doc_id, p, word || ' ' || lead(word, 1) over o || ' ' || lead(word, 2) over o || ' ' || lead(word, 3) over o || ' ' || lead(word, 4) over o
+    || ' ' || lead(word, 5) over o || ' ' || lead(word, 6) over o || ' ' || lead(word, 7) over o as g from tok window o as (partition by doc_id order by p)),
+again as (select doc_id, p from win where g is not null qualify count(*) over (partition by doc_id, g) > 1),
+cover as (select doc_id, count(distinct p + k) as n_repeat_words from again, range(8) as r(k) group by doc_id),
+lines as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from w),
+base as (select w.doc_id, source, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+    cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
+    len(l) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w join lines using (doc_id) left join cover using (doc_id)),
+judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+    n_words < 20 or 100 * n_repeat_words > 30 * n_words or 10 * n_symbols > 3 * n_words or 100 * n_dup_lines > 35 * n_lines
+    or word_chars < 2 * n_words or word_chars > 25 * n_words as fails from base),
+hosts as (select source as host, count(*) as docs, count(*) filter (fails) as failed from judged group by source),
+moments as (select least(greatest(coalesce(sum(failed) / sum(docs), 0.5), 0.001), 0.999) as m, coalesce(var_pop(failed / docs), 0) as v,
+    avg(1.0 / docs) as inverse from hosts),
+prior as (select m, greatest(m * (1 - m) / greatest(v - m * (1 - m) * inverse, m * (1 - m) / 1000001) - 1, 1) as worth from moments),
+verdicts as (select host, (failed + m * worth) / (docs + worth) > 0.6 as rejected from hosts, prior)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not fails and not rejected as kept
+from judged join verdicts on source is not distinct from host
+""",
     "op7_perspective_rotation": """
 with said as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
 people as (select distinct conv_id, role as perspective from said where role <> 'system'),
