@@ -17,8 +17,7 @@ OP, COPIES, BEFORE = "_tv_op", "_tv_n", "_tv_before"
 COPY_CHUNK = 100_000
 # A broadcast side is at most this many bytes, from an exact row count and fixed-width columns.
 BROADCAST_BYTES = 64 << 20
-# Tasks over which the copies of one row are spread in a shuffled join.
-SALTS = 32
+
 
 def fits_broadcast(df: DataFrame, rows: int) -> bool:
     """True when ``rows`` times the row width provably stays under the limit. A column of variable
@@ -148,17 +147,12 @@ def _one_of_each(side: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
     """One row of ``side`` for every wanted fingerprint, with its numbers of copies.
 
     Copies of a row are combined before they meet: behind a broadcast join by the partial step
-    of the deduplication; in a shuffled join by a salt taken from the input partition, so that
-    even a row that fills a third of the table arrives at many tasks and is reduced there."""
+    of the deduplication; in a shuffled join by deduplicating first, which reduces a row that fills a
+    third of the table, changed or not, to one copy for each input partition before anything moves."""
     rows = with_fingerprint(side)
     if fits_broadcast(wanted, count):
-        found = rows.join(F.broadcast(wanted), FINGERPRINT)
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        salted = rows.withColumn("_tv_salt", F.spark_partition_id() % SALTS)
-        found = salted.join(wanted.withColumn("_tv_salt", salts), [*FINGERPRINT, "_tv_salt"])
-        found = found.dropDuplicates([*FINGERPRINT, "_tv_salt"]).drop("_tv_salt")
-    return found.dropDuplicates(FINGERPRINT).drop(*FINGERPRINT)
+        return rows.join(F.broadcast(wanted), FINGERPRINT).dropDuplicates(FINGERPRINT).drop(*FINGERPRINT)
+    return rows.dropDuplicates(FINGERPRINT).join(wanted, FINGERPRINT).drop(*FINGERPRINT)
 
 
 def multiset_payload(cur: DataFrame, prev: DataFrame, changes: DataFrame, present: int, gone: int) -> DataFrame:

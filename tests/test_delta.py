@@ -230,3 +230,16 @@ def test_change_pass_carries_keys_and_fingerprints_only(spark, vault):
         inputs = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", plan)
         assert inputs and not any("secret" in i for i in inputs), inputs
         assert changes.count() == 5
+
+
+def test_copies_are_combined_before_they_move(spark, monkeypatch):
+    """In the shuffled form a partial aggregation by fingerprint stands below the only exchange of the rows."""
+    monkeypatch.setattr(delta, "BROADCAST_BYTES", -1)
+    rows = spark.range(2000).selectExpr("id % 3 as v")
+    changes = delta.multiset_changes(rows.limit(900), rows)
+    plan = delta._one_of_each(rows, changes, 3)._jdf.queryExecution().executedPlan().toString().split("\n")
+    tops = [i for i, line in enumerate(plan) if "Aggregate(key" in line and "[_tv_h1" in line and "functions=[first(" in line]
+    ups = [i for i, line in enumerate(plan) if "Aggregate(key" in line and "[_tv_h1" in line and "functions=[partial_first(" in line]
+    between = plan[tops[0] : ups[0]]
+    assert sum("Exchange" in line for line in between) == 1, plan
+    assert delta._one_of_each(rows, changes, 3).count() == 3
