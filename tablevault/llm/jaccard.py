@@ -35,6 +35,8 @@ BUCKET_SHINGLES = 1_000_000
 ROUNDS, TRIED = 1, 4
 #: Classes that meet around one centre; shingles of the pairs that one cell verifies, about.
 AROUND, CELL_SHINGLES = 64, 1_200_000
+#: Classes and shingles of a block of classes that share a signature, about.
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 300_000
 #: First signatures of a class by which most pairs are found once instead of once for each that they share.
 TOP = 4
 QUARTERS = np.arange(4, dtype=np.uint64) << np.uint64(62)
@@ -247,25 +249,80 @@ def _sized(pairs: DataFrame, n: F.Column, m: F.Column, percent: int) -> DataFram
     return pairs.where(100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
-def _across(placed: DataFrame, percent: int) -> DataFrame:
-    """Every pair of classes that share a signature and lie in different components.
-
-    Rows of a signature's largest component meet the other rows only, never each other. Pairs whose first few signatures
-    have one in common meet at the least of these; only the others meet at every signature that they share.
-    """
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Postings of signatures that several components share, with the largest of them."""
     counts = placed.groupBy("sig", "comp").agg(F.count("*").alias("k"))
     largest = counts.groupBy("sig").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    mixed_ = settle(placed.join(largest, "sig"), "mixed")
-    minor = mixed_.where("comp <> largest").select("sig", F.col("c").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp"), F.col("first").alias("afirst"), F.col("top").alias("atop"))
+    return settle(placed.join(largest, "sig"), "mixed")
+
+
+def _late(mixed_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a signature but none of their first few.
+
+    Rows of a signature's largest component meet the other rows only, never each other.
+    """
+    minor = mixed_.where("comp <> largest").select("sig", F.col("c").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp"), F.col("top").alias("atop"))
     apart = (F.col("comp") != F.col("acomp")) & ((F.col("comp") == F.col("largest")) | (F.col("a") < F.col("c")))
     apart = apart & (100 * F.least("n", "an") >= percent * F.greatest("n", "an"))
-    same = F.col("sig") == F.col("_sig")
     other = mixed_.withColumnRenamed("sig", "_sig")
-    earliest = F.get(F.array_intersect("top", "atop"), F.lit(0)) == F.col("sig")
-    early = minor.where("afirst").join(other.where("first"), same & apart & earliest)
-    late = minor.join(other, same & apart & ~F.arrays_overlap("top", "atop"))
-    wanted = ["a", F.col("c").alias("b"), "sig", (F.col("n") + F.col("an")).alias("load")]
-    return _once(early.select(*wanted).unionByName(late.select(*wanted)))
+    met = minor.join(other, (F.col("sig") == F.col("_sig")) & apart & ~F.arrays_overlap("top", "atop"))
+    return _once(met.select("a", F.col("c").alias("b"), "sig", (F.col("n") + F.col("an")).alias("load")))
+
+
+def _early(docs: DataFrame, classes: DataFrame, mixed_: DataFrame, width: int, percent: int) -> DataFrame:
+    """Similar pairs of different components that have one of their first few signatures in common.
+
+    The classes of a signature meet in cells, blocks of minor components with each other and with blocks of the largest one. A
+    pair is judged in one place: at the least of the first signatures that it shares, in the cell of its two blocks.
+    """
+    rows = mixed_.where("first")
+    major = F.col("comp") == F.col("largest")
+    count = lambda which, what: F.coalesce(F.sum(F.when(which, what)), F.lit(0))
+    blocks = lambda which: F.ceil(F.greatest(count(which, F.lit(1)) / BLOCK_CLASSES, count(which, F.col("n")) / BLOCK_SHINGLES)).cast("long")
+    sizes = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks(~major).alias("small"), blocks(major).alias("large")).where("lo <> hi")
+    placed = rows.join(sizes.drop("lo", "hi"), "sig").withColumn("major", major)
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("c"), F.greatest(F.when(F.col("major"), F.col("large")).otherwise(F.col("small")), F.lit(1))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    here = F.struct(F.lit(True).alias("l"), F.col("own").alias("i"), F.col("own").alias("j"))
+    with_large = F.when(F.col("large") > 0, F.transform(upto("large"), lambda j: here.withField("j", j))).otherwise(F.array().cast("array<struct<l:boolean,i:bigint,j:bigint>>"))
+    with_small = F.transform(upto("small"), lambda j: F.struct(F.lit(False).alias("l"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    cells = F.when(F.col("major"), F.transform(upto("small"), lambda i: here.withField("i", i))).otherwise(F.concat(with_small, with_large))
+    members = placed.where("small > 0").select("sig", F.explode(cells).alias("cell"), "c", "comp", "n", "top", "own", "major")
+    wanted = members.select("sig", "cell.*", "c", "comp", "n", "top", "own", "major").join(classes.select("c", "h", "id"), "c")
+    wanted = settle(wanted, "members")
+
+    def compare(table: pa.Table) -> pa.Table:
+        hashes = WordHash()
+        sig, large, i, j = (table.column(k)[0].as_py() for k in ("sig", "l", "i", "j"))
+        c, comp, n, own = (table.column(k).to_numpy() for k in ("c", "comp", "n", "own"))
+        major, texts = np.array(table.column("major").to_pylist(), bool), table.column("text")
+        none = np.iinfo(np.int64).max
+        top = np.full((len(c), TOP), none)
+        for k, row in enumerate(table.column("top").to_pylist()):
+            top[k, : len(row)] = row
+        left, right = (np.flatnonzero(~major), np.flatnonzero(major)) if large else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = next(_sets([texts[k].as_py()], width, hashes))
+            return sets[k]
+
+        good = []
+        for a in left.tolist():
+            shared = np.full(len(right), none)
+            for s in range(TOP):
+                shared = np.minimum(shared, np.where((top[right] == top[a, s]).any(1), top[a, s], none))
+            fits = 100 * np.minimum(n[a], n[right]) >= percent * np.maximum(n[a], n[right])
+            near = right[(shared == sig) & (comp[right] != comp[a]) & fits]
+            for b in (near if large or i != j else near[near > a]).tolist():
+                common = len(np.intersect1d(shingles(a), shingles(b), assume_unique=True))
+                if 100 * common >= percent * (n[a] + n[b] - common):
+                    good.append((c[a], c[b]))
+        return pa.table([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    met = _fetch(docs, wanted).select("sig", "l", "i", "j", "c", "comp", "n", "top", "own", "major", "text")
+    return met.groupBy("sig", "l", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def _combinations(short: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
@@ -322,14 +379,21 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     posts = posts.withColumn("top", F.array_sort(F.collect_list(F.when(F.col("first"), F.col("sig"))).over(Window.partitionBy("c"))))
     posts = settle(posts.drop("rank"), "signatures")
 
-    comps, edges = None, None
+    comps = None
     for turn in range(ROUNDS + 1):
         placed = _placed(posts, comps)
-        pairs = settle(_around_centres(placed, turn, percent) if turn < ROUNDS else _across(placed, percent), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = _verify(docs, classes, pairs, width, percent)
-        edges = found if edges is None else found.unionByName(comps.select(F.col("c").alias("u"), F.col("comp").alias("v")))
+        if turn < ROUNDS:
+            pairs = settle(_around_centres(placed, turn, percent), "pairs")
+            if pairs.isEmpty():
+                continue
+            found = _verify(docs, classes, pairs, width, percent)
+        else:
+            mixed_ = _mixed(placed)
+            late = settle(_late(mixed_, percent), "pairs")
+            found = _early(docs, classes, mixed_, width, percent)
+            if not late.isEmpty():
+                found = found.unionByName(_verify(docs, classes, late, width, percent))
+        edges = found if comps is None else found.unionByName(comps.select(F.col("c").alias("u"), F.col("comp").alias("v")))
         comps = settle(components(edges), "components")
     labels = marks.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     labels = (labels.withColumn("comp", F.col("c")) if comps is None else labels.join(comps, "c", "left")).withColumn("comp", F.coalesce("comp", "c"))
