@@ -36,7 +36,7 @@ class Encoder:
     A unit is a word with the blank before it left out, or, if it starts with a line feed or ``FIRST``, as it stands.
     """
 
-    def __init__(self, path: str, most_units: int = 500_000, most_chars: int = 12 << 20):
+    def __init__(self, path: str, most_units: int = 1_000_000, most_chars: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work to cores
         from tokenizers import Tokenizer
 
