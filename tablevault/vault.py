@@ -347,8 +347,9 @@ class Vault:
             columns = T.StructType.fromJson(json.loads(row["schema_json"])).fieldNames()
             found = with_fingerprint(df, columns).groupBy(integrity.FILE).agg(*payload_digest(row["op_mode"])[:3])
             parts.append(found.withColumn("table_name", F.lit(row["table_name"])))
-        listed = integrity.list_parts(self.spark, folder)
-        return integrity.with_digests(listed, reduce(DataFrame.unionByName, parts))
+        nothing = f"{integrity.FILE} string, row_count bigint, digest1 decimal(38,0), digest2 decimal(38,0), table_name string"
+        found = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], nothing)
+        return integrity.with_digests(integrity.list_parts(self.spark, folder), found)
 
     def _measure(self, backup_id: str, folder: str, written: list[dict], at: datetime) -> tuple[dict[str, tuple[int, int]], str]:
         """Read back the part files, record them, and total them per table and overall."""
@@ -515,7 +516,9 @@ class Vault:
             columns = T.StructType.fromJson(json.loads(row["schema_json"])).fieldNames()
             found = with_fingerprint(df, columns).agg(*payload_digest(row["op_mode"])[:3])
             parts.append(found.withColumn("table_name", F.lit(row["table_name"])))
-        return integrity.compare_digests(manifest, reduce(DataFrame.unionByName, parts))
+        nothing = "table_name string, row_count bigint, digest1 decimal(38,0), digest2 decimal(38,0)"
+        found = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], nothing)
+        return integrity.compare_digests(manifest, found)
 
     def expired(self, as_of: Column, days: int = DEFAULT_RETENTION_DAYS) -> DataFrame:
         """Backups that may go; nothing is deleted here."""

@@ -274,3 +274,9 @@ def test_plan_of_a_full_backup_has_no_shuffle(spark):
     df = parquet_tables(spark, SMALL, ["lineitem"])["lineitem"]
     plan = with_fingerprint(df, length=True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "BatchEvalPython" not in plan
+
+
+def test_a_backup_of_no_tables_can_be_verified(spark, vault):
+    done = vault.backup({"t": spark.range(3)}, BackupRequest(db_name="s", exclude_tables=["t"]))
+    assert done.success
+    assert vault.verify_files(done.backup_id).count() == 0 and vault.verify_content(done.backup_id).count() == 0
