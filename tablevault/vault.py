@@ -102,16 +102,15 @@ class Vault:
         rows.write.mode("errorifexists").parquet(path)
         return path
 
-    def _append_rows(self, name: str, at: datetime, rows: list[dict]) -> None:
+    def _append_rows(self, name: str, at: datetime, rows: list[dict], owner: str) -> None:
         """Append rows the driver holds: one per run, or one per table of a run."""
         plain = lambda v: v.isoformat() if isinstance(v, datetime) else int(v)
         text = json.dumps([{k: v for k, v in r.items() if v is not None} for r in rows], default=plain)
         parsed = F.from_json(F.lit(text), T.ArrayType(_SCHEMAS[name]))
-        owner = rows[0].get("backup_id") or rows[0].get("backup_job_id") or rows[0]["id"]
         self._append(name, self.spark.range(0, 1, 1, 1).select(F.inline(parsed)), at, owner)
 
     def _append_row(self, name: str, at: datetime, **values) -> None:
-        self._append_rows(name, at, [values])
+        self._append_rows(name, at, [values], values.get("backup_job_id") or values["id"])
 
     def _read(self, name: str, since_month: str | None = None, owner: str | None = None) -> DataFrame:
         """A catalog table; ``since_month`` (``YYYY-MM``) prunes older month folders, ``owner`` reads the entries
@@ -365,7 +364,7 @@ class Vault:
             files, size = totals.get(r["table_name"], (0, 0))
             values = {**r, "backup_id": backup_id, "files": files, "bytes": size}
             full.append({f: values[f] for f in MANIFEST.fieldNames()})
-        self._append_rows("manifest", at, full)
+        self._append_rows("manifest", at, full, backup_id)
 
     # --- restore --------------------------------------------------------------------------
 
