@@ -71,7 +71,7 @@ def test_near_copies_and_passages(spark, monkeypatch, frequent, around, docs):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "AROUND", around)
     if around < 64:  # many cells for each signature, no round before the last
-        monkeypatch.setattr(jaccard, "BLOCK_CLASSES", around)
+        monkeypatch.setattr(jaccard, "CELL_SHINGLES", 500)
         monkeypatch.setattr(jaccard, "ROUNDS", 0)
     out = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
     assert {tuple(r) for r in out} == brute_components(docs)
