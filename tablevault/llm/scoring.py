@@ -1,17 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter of word and bigram counts.
 
 A count c is quantised to level 1 + floor(log_b c) and stored as one filter entry for each level up to its own, so a reader probes
-level after level until one is missing. The filter is dealt in segments by hash, has a fixed size, and is sent to every worker.
-It holds the n-grams that occur ``tau`` times or more, ``tau`` being the least number from 2 on for which it stays at its design error.
+level after level until one is missing. The filter holds every word and bigram of the training texts, from count 1 on, and grows with
+their number: it is dealt in segments by hash, as many as the tokens need, and each has the bits that its own entries need.
 
-Exact counts, which the base score needs, go another way, for their number grows with the corpus: texts are read once into
-blocks of word numbers; every block asks for the counts of its distinct words, bucket by bucket of their hashes, and gets them back.
-Words are known by 64-bit hashes.
+Nothing of it is sent to the workers: texts are read once into blocks of word numbers; every block asks for its distinct words and
+bigrams, bucket by bucket of their hashes. A bucket sums the counts, builds its segments of the filter one after another, and answers
+each block with the levels found there, and for words with the exact counts too, which the base score needs. A level is at most its
+count, so a segment has about ``SEGMENT_GRAMS`` entries at most, at any size of the input. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -23,8 +24,8 @@ from tablevault.llm.common import WordHash, settle, small_batches, words_of
 
 #: Text of a block, in bytes, and n-grams of a bucket, about.
 BLOCK_BYTES, BUCKET_GRAMS = 6 << 20, 2_000_000
-#: The filter: bits in all, segments, bits and probes for each entry, base of the levels.
-FILTER_BITS, SEGMENTS, BITS_EACH, PROBES, BASE = 24 * 8 << 20, 1024, 12, 6, 1.5
+#: The filter: n-grams of a segment, about; segments of a filter in one piece; bits and probes for each entry, base of the levels.
+SEGMENT_GRAMS, SEGMENTS, BITS_EACH, PROBES, BASE = 1 << 17, 1024, 12, 6, 1.5
 #: Weight of the bigram estimate where its context is known.
 LAMBDA = 0.4
 #: Hashes of the end and of what stands before the first word; a blank is part of no word.
@@ -54,18 +55,28 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 
 
 class BloomCounts:
-    """The filter of a worker: bytes of all segments, and the lowest level that it stores."""
-
-    def __init__(self, bits: np.ndarray, lowest: int):
-        self.bits, self.lowest = bits, lowest
-        self.segment_bits = len(bits) * 8 // SEGMENTS
+    """Bytes of all segments of a filter, or of one, and the lowest level stored."""
+
+    def __init__(self, bits: np.ndarray, lowest: int = 1, segments: int = SEGMENTS):
+        self.bits, self.lowest, self.whole = bits, lowest, segments > 1
+        self.segment_bits = len(bits) * 8 // segments
+
+    @classmethod
+    def segment(cls, grams: np.ndarray, levels: np.ndarray) -> BloomCounts:
+        """The segment that holds these n-grams at these levels (1 or more), with ``BITS_EACH`` bits for each entry."""
+        bits = np.zeros(max(1024, -(-int(levels.sum()) * BITS_EACH // 8) * 8), bool)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            grams, levels = grams[levels >= level], levels[levels >= level]
+            for i in range(PROBES):
+                bits[probe_place(grams, level, i, len(bits), False)] = True
+        return cls(np.packbits(bits, bitorder="little"), segments=1)
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each n-gram: probes go on until one fails; 0 if the lowest is missing."""
         found, alive, level = np.zeros(len(grams), np.int64), np.arange(len(grams)), self.lowest
         while len(alive) and level < LEVELS:
             for i in range(PROBES):
-                at = probe_place(grams[alive], level, i, self.segment_bits, True)
+                at = probe_place(grams[alive], level, i, self.segment_bits, self.whole)
                 alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             found[alive] = level
             level += 1
@@ -128,12 +139,12 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.trains = np.repeat(~self.held_out, self.sizes)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of what stands before each token, and of the two together."""
+    def pairs(self) -> np.ndarray:
+        """Hash of each token and what stands before it."""
         tokens = self.words[self.places]
         before = np.concatenate(([START], tokens[:-1])).astype(np.uint64)
         before[self.starts] = START
-        return before, pair_hash(before, tokens)
+        return pair_hash(before, tokens)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -160,20 +171,33 @@ def ask_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
 
 
 def ask_pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """For every bucket of a block's bigrams in training texts: their hashes and counts."""
+    """For every bucket of a block's bigrams: their hashes and how often the block's training texts have them."""
     for row in _rows(batches):
         b = Block(row)
-        grams, counts = np.unique(b.pairs()[1][b.trains], return_counts=True)
+        grams, place = np.unique(b.pairs(), return_inverse=True)
+        counts = np.bincount(place[b.trains], minlength=len(grams))
         used, at = _dealt(bits, grams)
         cells = [(grams[x:y].tobytes(), counts[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([-1] * len(used), pa.int64()), *(pa.array([c[i] for c in cells], pa.binary()) for i in (0, 1))], ["bucket", "block", "grams", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([b.number] * len(used), pa.int64()), *(pa.array([c[i] for c in cells], pa.binary()) for i in (0, 1))], ["bucket", "block", "grams", "counts"])
 
 
-COUNTED = "kind int, block long, bucket long, grams binary, counts binary, total long, distinct long, levels array<bigint>"
+COUNTED = "kind int, block long, bucket long, counts binary, levels binary, total long, distinct long"
+#: Kinds of rows of a counted bucket: sums, and what a block asked about words and bigrams.
+SUMMARY, WORDS, PAIRS = range(3)
 
 
-def count_bucket(table: pa.Table, answers: bool) -> pa.Table:
-    """Sum a bucket: a summary row (kind 1) with all n-grams of two or more, and with ``answers`` a row (kind 0) for each block."""
+def filter_levels(grams: np.ndarray, sums: np.ndarray, deal: int) -> np.ndarray:
+    """Level of each n-gram of a sorted bucket as the filter has it. Its 2**deal segments are built and probed one after another."""
+    out = np.zeros(len(grams), "u1")
+    _, at = _dealt(deal, grams)
+    for x, y in zip(at[:-1], at[1:], strict=True):
+        mine, known = grams[x:y], sums[x:y] > 0
+        out[x:y] = BloomCounts.segment(mine[known], level_of(sums[x:y][known])).levels(mine)
+    return out
+
+
+def count_bucket(table: pa.Table, kind: int, deal: int) -> pa.Table:
+    """Sum a bucket and answer: a summary row, and a row of this kind for each block with the levels, and for words the counts."""
     parts = [np.frombuffer(g.as_py(), "<u8") for g in table.column("grams")]
     counts = [np.frombuffer(c.as_py(), "<u4") for c in table.column("counts")]
     flat = np.concatenate(parts)
@@ -182,59 +206,16 @@ def count_bucket(table: pa.Table, answers: bool) -> pa.Table:
     first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
     grams, sums = flat[first], np.add.reduceat(each, first)
     del flat, each, order
-    bucket, known, often = table.column("bucket")[0].as_py(), sums > 0, sums > 1
-    levels = np.bincount(level_of(sums[often]), minlength=LEVELS)[:LEVELS] if often.any() else np.zeros(LEVELS, np.int64)
-    rows = [(1, -1, bucket, grams[often].tobytes(), sums[often].astype("<i8").tobytes(), int(sums.sum()), int(known.sum()), levels.tolist())]
-    if answers:
-        for block, part in zip(table.column("block").to_pylist(), parts, strict=True):
-            rows.append((0, block, bucket, None, sums[np.searchsorted(grams, part)].astype("<i8").tobytes(), 0, 0, None))
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    names = ["kind", "block", "bucket", "grams", "counts", "total", "distinct", "levels"]
+    bucket, levels = table.column("bucket")[0].as_py(), filter_levels(grams, sums, deal)
+    rows = [(SUMMARY, -1, bucket, None, None, int(sums.sum()), int((sums > 0).sum()))]
+    for block, part in zip(table.column("block").to_pylist(), parts, strict=True):
+        at = np.searchsorted(grams, part)
+        rows.append((kind, block, bucket, sums[at].astype("<i8").tobytes() if kind == WORDS else None, levels[at].tobytes(), 0, 0))
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["kind", "block", "bucket", "counts", "levels", "total", "distinct"]
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def _lowest_level(levels: np.ndarray, bits: int) -> int:
-    """The least level of counts of two or more such that all entries from it on have ``BITS_EACH`` bits."""
-    least = int(level_of(np.array([2]))[0])
-    for lowest in range(least, LEVELS):
-        entries = sum(int(levels[j]) * (j - lowest + 1) for j in range(lowest, LEVELS))
-        if entries * BITS_EACH <= bits:
-            return lowest
-    return LEVELS
-
-
-def build_filter(counted: list[DataFrame], levels: np.ndarray) -> BloomCounts:
-    """The filter of all n-grams from the lowest level on that fits. Its bits, at most ``FILTER_BITS``, come to the driver."""
-    lowest = _lowest_level(levels, FILTER_BITS)
-    entries = sum(int(levels[j]) * (j - lowest + 1) for j in range(lowest, LEVELS))
-    segment_bits = min(FILTER_BITS // SEGMENTS, max(1024, -(-entries * BITS_EACH // SEGMENTS // 8) * 8))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            grams, level = np.frombuffer(row["grams"], "<u8"), level_of(np.frombuffer(row["counts"], "<i8"))
-            grams, level = grams[level >= lowest], level[level >= lowest]
-            used, at = _dealt(10, grams)
-            cells = [(grams[x:y].tobytes(), level[x:y].astype("u1").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array([c[i] for c in cells], pa.binary()) for i in (0, 1))], ["segment", "grams", "levels"])
-
-    def build(table: pa.Table) -> pa.Table:
-        bits = np.zeros(segment_bits, bool)
-        for g, v in zip(table.column("grams"), table.column("levels"), strict=True):
-            grams, level = np.frombuffer(g.as_py(), "<u8"), np.frombuffer(v.as_py(), "u1")
-            for j in range(lowest, int(level.max(initial=0)) + 1):
-                for i in range(PROBES):
-                    bits[probe_place(grams[level >= j], j, i, segment_bits, False)] = True
-        return pa.table([table.column("segment")[:1], pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["segment", "bits"])
-
-    out = np.zeros(SEGMENTS * segment_bits // 8, np.uint8)
-    for frame in counted:  # words and bigrams are built apart and joined bit by bit
-        summaries = frame.where("kind = 1").select("grams", "counts").mapInArrow(deal, "segment long, grams binary, levels binary")
-        for row in summaries.groupBy("segment").applyInArrow(build, "segment long, bits binary").toLocalIterator():
-            at = row["segment"] * segment_bits // 8
-            out[at : at + segment_bits // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return BloomCounts(out, lowest)
-
-
 def score(docs: DataFrame) -> DataFrame:
     """Scores of (doc_id, text, held_out): n_tokens, n_known, train_tokens, base_score and score (log10, of the whole text).
 
@@ -242,41 +223,37 @@ def score(docs: DataFrame) -> DataFrame:
     null or empty text has one token. A null flag counts as false; repeated rows are texts of their own; with nothing
     to learn from, all tokens are unknown; an empty table gives an empty one. Other columns are dropped.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     blocks = settle(read_blocks(docs), "blocks")
     tokens = blocks.agg(F.coalesce(F.sum(F.length("places")), F.lit(0))).first()[0] // 4
-    bits = max(4, int(tokens // BUCKET_GRAMS).bit_length())
+    # A bucket is one segment of the filter or several, so what the filter answers does not depend on the size of buckets.
+    deal = max(4, int(tokens // SEGMENT_GRAMS).bit_length())
+    bits = min(deal, max(4, int(tokens // BUCKET_GRAMS).bit_length()))
     asked = "bucket long, block long, grams binary, counts binary"
-    words = blocks.mapInArrow(partial(ask_words, bits=bits), asked).groupBy("bucket").applyInArrow(lambda t: count_bucket(t, True), COUNTED)
-    words = settle(words, "words")
-    pairs = blocks.mapInArrow(partial(ask_pairs, bits=bits), asked).groupBy("bucket").applyInArrow(lambda t: count_bucket(t, False), COUNTED)
-    pairs = settle(pairs, "pairs")
-
-    def summary(frame: DataFrame) -> tuple[int, int, np.ndarray]:
-        each = [F.sum(F.coalesce(F.get("levels", F.lit(j)), F.lit(0))).alias(f"l{j}") for j in range(LEVELS)]
-        row = frame.where("kind = 1").agg(F.sum("total"), F.sum("distinct"), *each).first()
-        return row[0] or 0, row[1] or 0, np.array([v or 0 for v in row[2:]], np.int64)
-
-    total, distinct, word_levels = summary(words)
-    _, _, pair_levels = summary(pairs)
-    bloom = build_filter([words, pairs], word_levels + pair_levels)
-    shared = spark.sparkContext.broadcast((bloom.bits, bloom.lowest))
+
+    def counted(ask: Callable, kind: int) -> DataFrame:
+        return blocks.mapInArrow(partial(ask, bits=bits), asked).groupBy("bucket").applyInArrow(lambda t: count_bucket(t, kind, deal), COUNTED)
+
+    words, pairs = settle(counted(ask_words, WORDS), "words"), settle(counted(ask_pairs, PAIRS), "pairs")
+    total, distinct = (v or 0 for v in words.where(F.col("kind") == SUMMARY).agg(F.sum("total"), F.sum("distinct")).first())
     texts = blocks.agg(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def grade(mine: pa.Table, answers: pa.Table) -> pa.Table:
         b = Block(mine.slice(0, 1).to_pylist()[0])
-        known = BloomCounts(*shared.value)
-        order = np.argsort(answers.column("bucket").to_numpy())
-        exact = np.concatenate([np.frombuffer(answers.column("counts")[int(i)].as_py(), "<i8") for i in order])
+        kinds, order = answers.column("kind").to_numpy(), np.argsort(answers.column("bucket").to_numpy())
+
+        def given(kind: int, column: str, of: str) -> np.ndarray:
+            return np.concatenate([np.frombuffer(answers.column(column)[int(i)].as_py(), of) for i in order if kinds[i] == kind])
+
+        exact = given(WORDS, "counts", "<i8")
         base = np.log10((exact + 1) / (total + distinct + 1))
-        word = count_of(known.levels(b.words))
-        before, pair = b.pairs()
-        context = np.concatenate((word[b.places], [0]))[np.arange(len(before)) - 1]
+        word = count_of(given(WORDS, "levels", "u1"))
+        _, place = np.unique(b.pairs(), return_inverse=True)
+        context = np.concatenate((word[b.places], [0]))[np.arange(len(place)) - 1]
         context[b.starts] = texts
         single = (word + 1) / (total + distinct + 1)
-        both = count_of(known.levels(pair))
+        both = count_of(given(PAIRS, "levels", "u1"))[place]
         weight = np.where(context > 0, LAMBDA, 0.0)
         chance = weight * both / np.maximum(np.maximum(context, both), 1) + (1 - weight) * single[b.places]
         per = lambda values: np.add.reduceat(values, b.starts)
@@ -284,6 +261,6 @@ def score(docs: DataFrame) -> DataFrame:
         columns += [pa.array(np.full(len(b.sizes), total)), pa.array(per(base[b.places])), pa.array(per(np.log10(chance)))]
         return pa.table(columns, names)
 
-    answers = words.where("kind = 0").select("block", "bucket", "counts")
+    answers = words.unionByName(pairs).where(F.col("kind") != SUMMARY).select("kind", "block", "bucket", "counts", "levels")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(grade, schema)

@@ -96,3 +96,48 @@ def test_filter_gives_counts_back(monkeypatch):
     assert (got >= levels).all() and (got == levels).mean() > 0.98
     assert (kept.levels(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)) > 0).mean() < 0.02
     assert np.abs(scoring.count_of(scoring.level_of(np.arange(1, 1000))) / np.arange(1, 1000) - 1).max() < 0.5
+
+
+def modelled(docs):
+    """Scores of the model when every word and bigram from count 1 on is read at its own level, token by token."""
+    tokens = [[*brute.words(t, low=True), None] for _, t, _ in docs]
+    kept = [x for x, (_, _, h) in zip(tokens, docs) if not h]
+    train, pairs = Counter(w for x in kept for w in x), Counter(p for x in kept for p in zip(["start", *x], x))
+    n, like = sum(train.values()) + len(train) + 1, lambda c: float(scoring.count_of(scoring.level_of(np.array([c])))[0]) if c else 0.0
+    out = []
+    for x in tokens:
+        chances = []
+        for i, w in enumerate(x):
+            context, both, single = like(train[x[i - 1]]) if i else len(kept), like(pairs[x[i - 1] if i else "start", w]), (like(train[w]) + 1) / n
+            weight = scoring.LAMBDA if context else 0
+            chances.append(math.log10(weight * both / max(context, both, 1) + (1 - weight) * single))
+        out.append(sum(chances))
+    return out
+
+
+def test_filter_holds_all_ngrams_at_any_segment_bound(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 60).clip(1, 3000)) for _ in range(400)]
+    docs = [(i, t, i % 7 == 2) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, held_out boolean")
+    monkeypatch.setattr(scoring, "SEGMENT_GRAMS", 100)  # 256 segments
+    got = []
+    for bound in (1 << 30, 1):  # all in 16 buckets, a bucket for each segment
+        monkeypatch.setattr(scoring, "BUCKET_GRAMS", bound)
+        got.append({r["doc_id"]: r["score"] for r in scoring.score(frame).collect()})
+    assert got[0] == got[1]
+    want = dict(enumerate(modelled(docs)))
+    close = [abs(got[0][i] - want[i]) < 1e-6 for i in want]
+    assert np.mean(close) > 0.5 and max(abs(got[0][i] / want[i] - 1) for i in want) < 0.05  # one-sided errors of the filter
+    trained = [i for i, _, held in docs if not held]
+    assert np.mean([abs(got[0][i] / want[i] - 1) for i in trained]) < 0.002
+
+
+def test_segments_follow_their_entries():
+    rng = np.random.default_rng(5)
+    grams, counts = np.unique(rng.integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2)), rng.zipf(1.5, 50_000).clip(1, 10_000)
+    sums = np.where(np.arange(len(grams)) % 4 > 0, counts[: len(grams)], 0)
+    true = np.where(sums > 0, scoring.level_of(sums), 0)
+    for deal in (0, 4, 9):
+        levels = scoring.filter_levels(grams, sums, deal)
+        assert (levels >= true).all() and (levels[sums > 0] == true[sums > 0]).mean() > 0.98 and (levels[sums == 0] > 0).mean() < 0.02
