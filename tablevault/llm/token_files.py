@@ -24,43 +24,59 @@ SEGMENT_SCHEMA = (
 )
 
 
-def replace_pairs(symbols: np.ndarray, last: np.ndarray, first_rule: int, rounds: int, each: int, least: int):
-    """Re-Pair in rounds: in each, the ``each`` most frequent pairs (``least`` times or more) become nonterminals.
+#: Stored bytes of a rule (its pair and its expansion length), and slots in which pairs are counted roughly before exactly.
+RULE_BYTES, SLOTS = 12, 1 << 20
 
-    ``last`` marks the final symbol of each document, which starts no pair. Returns symbols, marks and rules.
+
+def symbol_kind(symbols: int) -> str:
+    """How symbols are stored when there are so many different ones."""
+    return "<u2" if symbols <= 1 << 16 else "<u4"
+
+
+def replace_pairs(symbols: np.ndarray, last: np.ndarray, first_rule: int, rounds: int | None = None, each: int | None = None, least: int | None = None):
+    """Re-Pair in rounds, frequent pairs first, until none occurs ``least`` times; by default as often as pays for its rule.
+
+    A round takes the pairs down to a bound (``each`` of them at most), the next one goes on to a quarter of it. Where chosen
+    pairs overlap the more frequent one wins, and a pair that is left with too few places waits for a later round. ``last`` marks
+    the final symbol of each document, which starts no pair. Returns symbols, marks and rules.
     """
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    rules, done, bound = np.zeros((0, 2), np.uint32), 0, len(symbols)
+    while len(symbols) > 1 and (rounds is None or done < rounds):
+        enough = least or RULE_BYTES // np.dtype(symbol_kind(first_rule + len(rules))).itemsize + 1
         left, right = symbols[:-1], symbols[1:]
-        slot = (left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) >> np.uint32(13)
-        slot[last[:-1]] = 0
-        counts = np.bincount(slot, minlength=1 << 19)
-        counts[0] = 0
-        bound = max(least, int(np.partition(counts, -each)[-each]))
+        slot = (left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) >> np.uint32(12)
+        slot[last[:-1]] = SLOTS
+        counts = np.bincount(slot, minlength=SLOTS + 1)
+        counts[SLOTS] = 0
+        bound = max(enough, min(bound // 4, int(counts.max()) // 2))
         at = np.flatnonzero((counts >= bound)[slot])
+        twin = np.flatnonzero(left[at] == right[at])  # a pair that overlaps itself: every second place, from the left
+        run = np.cumsum(np.diff(at[twin], prepend=-2) != 1)
+        at = np.delete(at, twin[(np.arange(len(twin)) - np.searchsorted(run, run, "left")) % 2 == 1])
         pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
         kinds, index, times = np.unique(pair, return_inverse=True, return_counts=True)
-        chosen = np.flatnonzero(times >= least)
+        chosen = np.flatnonzero(times >= bound)
         if not len(chosen):
-            break
+            if bound == enough:
+                break
+            continue
         chosen = chosen[np.argsort(-times[chosen], kind="stable")[:each]]
-        number = np.full(len(kinds), -1, np.int64)
-        number[chosen] = first_rule + len(rules) + np.arange(len(chosen))
-        here = number[index] >= 0
-        at, new = at[here], number[index][here]
-        run = np.concatenate(([0], np.cumsum(np.diff(at) != 1)))  # overlapping pairs: every second one, from the left
-        start = np.searchsorted(run, run, "left")
-        keep = (np.arange(len(at)) - start) % 2 == 0
-        at, new = at[keep], new[keep]
-        symbols = symbols.copy()
-        symbols[at] = new
-        last = last.copy()
+        rank = np.full(len(kinds), len(chosen))
+        rank[chosen] = np.arange(len(chosen))
+        mine = rank[index]
+        at, mine = at[mine < len(chosen)], mine[mine < len(chosen)]
+        near, wins = np.diff(at) == 1, np.ones(len(at), bool)
+        wins[:-1] &= ~near | (mine[:-1] < mine[1:])
+        wins[1:] &= ~near | (mine[1:] < mine[:-1])
+        at, mine = at[wins], mine[wins]
+        pays = np.bincount(mine, minlength=len(chosen)) >= enough  # the most frequent pair keeps all its places
+        at, mine, chosen = at[pays[mine]], mine[pays[mine]], chosen[pays]
+        symbols, last = symbols.copy(), last.copy()
+        symbols[at] = first_rule + len(rules) + (np.cumsum(pays) - 1)[mine]
         last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        symbols, last, done = symbols[stay], last[stay], done + 1
         rules = np.concatenate((rules, np.stack((kinds[chosen] >> np.uint64(32), kinds[chosen] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32)))
     return symbols, last, rules
 
@@ -124,12 +140,12 @@ class Segment:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment: int = 1 << 20, rounds: int = 4, each: int = 1024, least: int = 16,
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment: int = 1 << 20, rounds: int | None = None, each: int | None = None, least: int | None = None,
 ) -> None:
     """Encode ``text`` (null: empty) of (doc_id, text), close each document with ``end_id`` and write the files to ``path``.
 
     Rows are dealt by ranges of doc_id (null first; equal ids by their texts), one shard for each range; a segment has about
-    ``segment`` ids, and a document is never divided. Other columns are ignored; an empty table gives an empty one.
+    ``segment`` ids, and a document is never divided. By default pairs are replaced until none pays for its rule. Other columns are ignored; an empty table gives an empty one.
     """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +160,7 @@ def write_token_files(
             last[np.cumsum(sizes) - 1] = True
             symbols, last, rules = replace_pairs(flat, last, first_rule, rounds, each, least)
             ends = np.flatnonzero(last) + 1
-            kind = "<u2" if first_rule + len(rules) <= 1 << 16 else "<u4"
+            kind = symbol_kind(first_rule + len(rules))
             row = {
                 "shard": shard, "start": done, "n_tokens": len(flat), "doc_ids": doc_ids, "first_rule": first_rule,
                 "token_counts": sizes.astype("<u4").tobytes(), "symbol_counts": np.diff(ends, prepend=0).astype("<u4").tobytes(),

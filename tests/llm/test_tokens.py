@@ -1,6 +1,6 @@
 """Packing and token files against the tokenizers library on whole texts."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
@@ -128,3 +128,21 @@ def test_grammar_compresses_and_gives_random_access(spark, tmp_path):
             assert part.document(i).tolist() == flat[ends[i] - part.token_counts[i] : ends[i]].tolist()
         for a, b in ((0, 5), (17, 1000), (len(flat) - 3, len(flat)), (4, 4)):
             assert part.between(a, b).tolist() == flat[a:b].tolist()
+
+
+def test_pairs_are_replaced_until_none_pays():
+    rng = np.random.default_rng(6)
+    passage, twins = np.arange(100, 160), np.full(33, 7)
+    docs = [np.concatenate((rng.integers(200, 40_000, 50), passage, rng.integers(200, 40_000, 50), twins)) for _ in range(9)]
+    flat = np.concatenate(docs).astype(np.uint32)
+    last = np.zeros(len(flat), bool)
+    last[np.cumsum([len(d) for d in docs]) - 1] = True
+    symbols, ends, rules = token_files.replace_pairs(flat, last, 49_152)
+    lengths = token_files.rule_lengths(rules, 49_152)
+    assert lengths.max() >= 60 and len(symbols) < 9 * 110  # a passage seen nine times is one symbol
+    left = Counter(zip(symbols[:-1][~ends[:-1]].tolist(), symbols[1:][~ends[:-1]].tolist()))
+    assert max(left.values()) < 7  # seven symbols of two bytes pay for a rule of twelve
+    grown = {}
+    for i, pair in enumerate(rules.tolist()):
+        grown[49_152 + i] = [x for y in pair for x in grown.get(y, [y])]
+    assert [x for y in symbols.tolist() for x in grown.get(y, [y])] == flat.tolist() and ends.sum() == 9
