@@ -84,15 +84,16 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, cells: np.ndarray,
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each query, ties to the smaller id.
 
-    Both frames are (id, v) as ``to_integers`` gives them; a candidate with the query's own id is left out, ids that
-    occur several times count as several candidates. Shorter vectors count as ending in zeros. Fewer than k candidates
+    Both frames are (id, v) as ``to_integers`` gives them; candidates with the query's own id are left out, ids that
+    occur several times count as several candidates, and as queries each of their rows is searched and the k best of all are
+    given. Shorter vectors count as ending in zeros. Fewer than k candidates
     give fewer rows, none give no rows.
     """
     n, q = candidates.count(), queries.count()
-    block = lambda rows: F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // BLOCK))))
     # Rows that repeat one id are dealt by their components too, so no block outgrows the others.
-    cells = settle(_packed(candidates, F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-n // BLOCK))))), "cells")
-    asked = settle(_packed(queries.dropDuplicates(["id"]), block(q)), "queries")
+    block = lambda rows: F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-rows // BLOCK))))
+    cells = settle(_packed(candidates, block(n)), "cells")
+    asked = settle(_packed(queries, block(q)), "queries")
     every_cell, every_asked = (F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-m // BLOCK) - 1)).cast("long")) for m in (n, q))
     left = cells.select("block", F.explode(every_asked).alias("of"), "ids", "cells", F.lit(True).alias("cell"))
     right = asked.select(F.explode(every_cell).alias("block"), F.col("block").alias("of"), "ids", "cells", F.lit(False).alias("cell"))

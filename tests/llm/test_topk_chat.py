@@ -62,3 +62,12 @@ def test_rotation_of_odd_turns(spark, monkeypatch):
             else:
                 assert r["mask_start"] is None
     assert chat.rotate(turns.where("false")).count() == 0
+
+
+def test_every_row_of_a_repeated_query_id_is_searched(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [int(x) for x in rng.integers(-50, 50, 4)]) for i in [*range(40), 0, 0, 0, 7]]
+    v = spark.createDataFrame(rows, "id long, v array<long>")
+    got = [tuple(r) for r in topk.top_k(v, v.where("id % 50 = 0"), 5).orderBy("rank").collect()]
+    scored = sorted((-sum(a * b for a, b in zip(q, c)), j) for i, q in rows if i == 0 for j, c in rows if j != 0)
+    assert got == [(0, r + 1, j, -s) for r, (s, j) in enumerate(scored[:5])]
