@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import SMALL
+from compare import SMALL
 from pyspark.sql import functions as F
 
 from tablevault import BackupRequest

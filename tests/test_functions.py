@@ -1,4 +1,4 @@
-from conftest import SMALL
+from compare import SMALL
 from pyspark.sql import functions as F
 
 from tablevault.functions import scalars as X

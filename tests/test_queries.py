@@ -1,8 +1,7 @@
 """Every registered query against its SQL equivalent, on the whole tables."""
 
 import pytest
-from compare import differences, duck
-from conftest import MEDIUM
+from compare import MEDIUM, differences, duck
 
 import __spark_entry__ as entry
 from tablevault.plans import oracles, registry
