@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablevault.llm import chat, jaccard, language, mixing, packing, quality_hosts, scoring, secret_ledger, token_files, topk
+from tablevault.llm import chat, jaccard, language, lexical, mixing, packing, quality_hosts, scoring, secret_ledger, sharding, token_files, topk
 from tablevault.llm.common import crc_of_id
 from tablevault.workspace import shared_folder
 
@@ -99,7 +99,60 @@ def op10_exact_top_k(spark, folder):
     return topk.top_k(vectors, vectors.where("id % 50 = 0"), 5)
 
 
+@_register
+def op11_feistel_shards(spark, folder):
+    size, crc = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"), sharding.text_crc(F.col("text"))
+    docs = documents(spark, folder, "doc_id", "text").select("doc_id", size.alias("size"), crc.alias("text_crc32"))
+    placed = sharding.shard_rows(docs, 24, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "row_number")
+
+
+@_register
+def op13_lexical_search(spark, folder):
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text")
+    return lexical.ranked(documents(spark, folder, "doc_id", "text"), items)
+
+
+def _network_sql(source: str, value: str) -> str:
+    """One pass of column ``value`` of ``source``, which has the sides a and b, through the network of ``sharding``."""
+    sql = f"select *, {value} // b as l, {value} % b as r from {source}"
+    for i, factor, first, second in sharding.Permutation(1).keys:
+        to, by, side = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        sql = f"select *, ({by} * {factor} + {first}) % {sharding.PRIME} as t from ({sql})"
+        sql = f"select * exclude ({to}, t), ({to} + ((t * t + {second}) % {sharding.PRIME}) % {side}) % {side} as {to} from ({sql})"
+    return f"select * exclude (l, r), l * b + r as p from ({sql})"
+
+
 _SQL: dict[str, str] = {
+    "op13_lexical_search": r"""
+with tok as (select rowid as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from (select row_number() over () as rowid, * from documents)),
+totals as (select count(*) filter (len(ws) > 0) as n_docs, cast(sum(len(ws)) as bigint) as n_words from tok),
+asked as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+tf as (select r, term, count(*) as tf from (select r, unnest(ws) as term from tok) where term in (select term from asked) group by r, term),
+weight as (select term, cast(floor(1000 * ln((2 * cast(n_docs as double) + 2) / (2 * count(*) + 1))) as bigint) as w from tf, totals group by term, n_docs),
+gains as (select r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ws) * n_docs) // n_words))) as gain
+    from tf join weight using (term) join tok using (r), totals),
+scored as (select item_id, r, cast(sum(gain) as bigint) as score from asked join gains using (term) group by item_id, r having sum(gain) > 0),
+ranked as (select item_id, doc_id, score, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank
+    from scored join tok using (r))
+select item_id, rank, doc_id, score from ranked where rank <= 50
+""",
+    "op11_feistel_shards": f"""
+with recursive tab as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crcs),
+hexed as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+sized as (select doc_id, cast(length(h) // 2 as bigint) + 8 as size, case when h = '' then 0 else xor(4294967295, list_reduce(list_prepend(4294967295,
+    list_transform(range(length(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint))),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]))) end as text_crc32 from hexed, tab),
+numbered as (select *, row_number() over (order by doc_id nulls first, text_crc32, size) - 1 as row_number, count(*) over () as n from sized),
+sides as (select *, (n + a - 1) // a as b from (select *, cast(ceil(sqrt(n)) as bigint) as a from numbered)),
+walk as ({_network_sql("sides", "row_number")} union all {_network_sql("(select * exclude (p), p as x from walk where p >= n)", "x").replace("select * exclude (l, r), l * b", "select * exclude (l, r, x), l * b")})
+select doc_id, size, text_crc32, 'rows' as law, cast(p % 24 as integer) as shard, p // 24 as slot, cast(null as integer) as grown_shard, row_number
+from walk where p < n
+""",
     "op6_host_rules": r"""
 with w as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 tok as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
