@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablevault.llm import chat, jaccard, language, lexical, mixing, packing, quality_hosts, scoring, secret_ledger, sharding, token_files, topk
+from tablevault.llm import chat, collocation, jaccard, language, lexical, mixing, packing, quality_hosts, scoring, secret_ledger, sharding, token_files, topk
 from tablevault.llm.common import crc_of_id
 from tablevault.workspace import shared_folder
 
@@ -108,6 +108,11 @@ def op11_feistel_shards(spark, folder):
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "row_number")
 
 
+@_register
+def op12_phrase_collocations(spark, folder):
+    return collocation.collocations(documents(spark, folder, "text", "lang"))
+
+
 @_register
 def op13_lexical_search(spark, folder):
     items = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text")
@@ -125,6 +130,28 @@ def _network_sql(source: str, value: str) -> str:
 
 
 _SQL: dict[str, str] = {
+    "op12_phrase_collocations": r"""
+with piece as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from piece),
+totals as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+f1 as (select lang, word, count(*) as f from (select lang, unnest(ws) as word from w) group by all),
+f2 as (select lang, p.a as w1, p.b as w2, count(*) as f from
+    (select lang, unnest(list_transform(range(1, len(ws)), lambda i: {'a': ws[i], 'b': ws[i + 1]})) as p from w) group by all),
+f3 as (select lang, p.a as w1, p.b as w2, p.c as w3, count(*) as f from
+    (select lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'a': ws[i], 'b': ws[i + 1], 'c': ws[i + 2]})) as p from w) group by all having count(*) >= 10),
+cuts as (select c.lang, c.w1 || ' ' || c.w2 as phrase, c.f as a, 1 as k, l.f as l, r.f as r from f2 c join f1 l on l.lang = c.lang and l.word = c.w1
+    join f1 r on r.lang = c.lang and r.word = c.w2 where c.f >= 10
+    and not exists (select 1 from f3 t where t.lang = c.lang and 100 * t.f >= 50 * c.f and ((t.w1 = c.w1 and t.w2 = c.w2) or (t.w2 = c.w1 and t.w3 = c.w2)))
+  union all select c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 1, l.f, r.f from f3 c join f1 l on l.lang = c.lang and l.word = c.w1
+    join f2 r on r.lang = c.lang and r.w1 = c.w2 and r.w2 = c.w3
+  union all select c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 2, l.f, r.f from f3 c join f2 l on l.lang = c.lang and l.w1 = c.w1 and l.w2 = c.w2
+    join f1 r on r.lang = c.lang and r.word = c.w3),
+scored as (select lang, phrase, a, l, r, cast((cast(1000000 as hugeint) * a * a) // (cast(l as hugeint) * r) as bigint) as score, k from cuts
+    qualify row_number() over (partition by lang, phrase order by (cast(1000000 as hugeint) * a * a) // (cast(l as hugeint) * r), k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from scored)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+""",
     "op13_lexical_search": r"""
 with tok as (select rowid as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from (select row_number() over () as rowid, * from documents)),
