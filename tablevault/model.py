@@ -33,7 +33,9 @@ MANIFEST = _schema(
     backup_id=_TEXT, table_name=_TEXT, op_mode=_TEXT, key_columns=T.ArrayType(_TEXT), schema_json=_TEXT,
     row_count=_LONG, digest1=_SUM, digest2=_SUM, files=_LONG, bytes=_LONG, raw_size=_LONG, high_water_column=_TEXT,
     high_water=_TEXT, null_marks=_LONG, upserts=_LONG, deletes=_LONG, touched=_LONG, state_rows=_LONG, state_digest1=_SUM, state_digest2=_SUM,
+    index_json=_TEXT,
 )
+INDEXES = _schema(backup_id=_TEXT, table_name=_TEXT, index_json=_TEXT)
 FILES = _schema(backup_id=_TEXT, table_name=_TEXT, path=_TEXT, length=_LONG, row_count=_LONG, digest1=_SUM, digest2=_SUM)
 
 _SAFE_NAME = re.compile(r"[A-Za-z0-9_.-]+")

@@ -1,7 +1,7 @@
 """A vault: one root folder with the data of all backups and the catalog that describes them.
 
-Layout: ``data/<backup_id>/<table>/part-*.parquet``, ``catalog/<name>/month=YYYY-MM/entry=<id>/``
-and ``work/<backup_id>/<table>`` for the change lists of a running delta. Every write goes to a
+Layout: ``data/<backup_id>/<table>/part-*.parquet``, ``catalog/<name>/month=YYYY-MM/entry=<id>/``,
+``index/<backup_id>/<table>`` for the indexes that deltas compare with, and ``work/<backup_id>/<table>`` for what a run leaves to no one. Every write goes to a
 folder of its own, so concurrent runs never share an output directory. A backup counts only once
 its ``success`` event is in the catalog; that append comes after data, sizes and checksum.
 """
@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, funct
 from tablevault.functions.fingerprint import FINGERPRINT, LEN, digest_columns, lane_sum, with_fingerprint
 from tablevault.functions.scalars import DB_TYPES, SIZE_UNITS, redact_secrets
 from tablevault.model import (
-    BACKUP_LOGS, BACKUP_VERSION, DEFAULT_RETENTION_DAYS, FILES, JOB_EVENTS, MANIFEST, BackupRequest, BackupResult, safe_name,
+    BACKUP_LOGS, BACKUP_VERSION, DEFAULT_RETENTION_DAYS, FILES, INDEXES, JOB_EVENTS, MANIFEST, BackupRequest, BackupResult, safe_name,
 )
-from tablevault.operators import catalog, delta, integrity, retention
+from tablevault.operators import catalog, delta, integrity, retention, state_index
 from tablevault.operators.restore import apply_keyed, apply_multiset, keyed_prints, multiset_prints
 from tablevault.operators.selection import select_names
 from tablevault.plans import chains
@@ -33,7 +33,7 @@ from tablevault.workspace import delete_path, path_exists
 
 # Ways a table is stored in one backup.
 FULL, KEYED, MULTISET, APPEND = "full", "keyed", "multiset", "append"
-_SCHEMAS = {"job_events": JOB_EVENTS, "backup_logs": BACKUP_LOGS, "manifest": MANIFEST, "files": FILES}
+_SCHEMAS = {"job_events": JOB_EVENTS, "backup_logs": BACKUP_LOGS, "manifest": MANIFEST, "files": FILES, "indexes": INDEXES}
 
 
 class SourceChanged(RuntimeError):
@@ -53,6 +53,11 @@ class _Parent:
     state: DataFrame
     steps: list[tuple[Row, str]]
 
+    @property
+    def index(self) -> dict | None:
+        text = self.manifest["index_json"]
+        return json.loads(text) if text else None
+
 
 def _void_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if isinstance(f.dataType, T.NullType)]
@@ -220,6 +225,7 @@ class Vault:
             )
         except Exception as error:  # noqa: BLE001 - every failure of a run is recorded
             message = redact_secrets(str(error))
+            delete_path(self.spark, f"{self.root}/index/{backup_id}")
             self._append_row(
                 "job_events", at, id=backup_id, seq=1, status="failed", error=message, duration=seconds(), file_path=folder,
                 completed_at=datetime.now(timezone.utc),
@@ -255,7 +261,7 @@ class Vault:
         same = parent is not None and _same_columns(parent.state.schema, df.schema)
         info = dict(
             table_name=table, schema_json=df.schema.json(), key_columns=keys, high_water_column=grows,
-            high_water=None, null_marks=None, upserts=None, deletes=0, touched=0,
+            high_water=None, null_marks=None, upserts=None, deletes=0, touched=0, index_json=None,
         )
         # a delta needs the parent to have been stored under the same key or the same mark
         if same and grows:
@@ -263,9 +269,13 @@ class Vault:
         elif same and keys:
             same = parent.manifest["key_columns"] == keys
         if not same:
-            if keys and not delta.key_faults(df, keys).isEmpty():
-                raise ValueError(f"{table}: {keys} is repeated or null, not a key")
+            if keys:
+                index, known = self._key_index(df, keys, backup_id, table)
             seen = self._write(df, df.columns, FULL, path, request, grows)
+            if keys:
+                if (seen["row_count"], seen["digest1"], seen["digest2"]) != known:
+                    raise SourceChanged(f"{table} changed while it was read")
+                info["index_json"] = json.dumps(index)
             info.update(op_mode=FULL, upserts=seen["row_count"], high_water=seen.pop("high_water", None), null_marks=seen.pop("null_marks", None))
             state = (seen["row_count"], seen["digest1"], seen["digest2"])
         elif grows:
@@ -274,7 +284,7 @@ class Vault:
             info.update(op_mode=APPEND, upserts=seen["row_count"], high_water=seen.pop("high_water", None) or mark, null_marks=parent.manifest["null_marks"])
             state = self._moved(parent, seen["row_count"], seen["digest1"], seen["digest2"])
         elif keys:
-            changes = self._materialize(delta.keyed_changes(df, self._prints(parent.steps, keys), keys), backup_id, table)
+            changes = self._keyed_changes(df, parent, keys, backup_id, table)
             found = delta.keyed_change_totals(changes).first()
             if found["faults"]:
                 raise ValueError(f"{table}: {keys} is repeated or null, not a key")
@@ -283,20 +293,125 @@ class Vault:
             if (seen["up_rows"], seen["up1"], seen["up2"]) != (found["upserts"], found["up1"], found["up2"]):
                 raise SourceChanged(f"{table} changed while it was read")
             info.update(op_mode=KEYED, upserts=found["upserts"], deletes=found["deletes"], touched=found["touched"])
+            info["index_json"] = self._next_index(parent.index, df, keys, found["upserts"] + found["deletes"], backup_id, table)
             state = self._moved(parent, found["rows"], int(found["up1"]) - int(found["out1"]), int(found["up2"]) - int(found["out2"]))
         else:
-            changes = self._materialize(delta.multiset_changes(df, self._prints(parent.steps, None)), backup_id, table)
+            index = parent.index or self._range_index(parent, table)
+            changes, total = self._multiset_changes(df, index, backup_id, table)
             found = delta.multiset_change_totals(changes).first()
             payload = delta.multiset_payload(df, parent.state, changes, found["present"], found["gone"])
             seen = self._write(payload, df.columns, MULTISET, path, request)
-            if (seen["digest1"], seen["digest2"]) != (found["digest1"], found["digest2"]):
+            state = self._moved(parent, found["upserts"] - found["deletes"], found["net1"], found["net2"])
+            if (seen["digest1"], seen["digest2"]) != (found["digest1"], found["digest2"]) or state != total:
                 raise SourceChanged(f"{table} changed while it was read")
+            info["index_json"] = self._next_index(index, df, None, found["present"] + found["gone"], backup_id, table)
             info.update(op_mode=MULTISET, upserts=found["upserts"], deletes=found["deletes"], touched=found["touched"])
-            state = self._moved(parent, found["upserts"] - found["deletes"], found["net1"], found["net2"])
         info.update({k: seen[k] for k in ("row_count", "digest1", "digest2", "raw_size")})
         info.update(zip(("state_rows", "state_digest1", "state_digest2"), state))
         return info
 
+    # --- indexes of states ------------------------------------------------------------------
+
+    def _index_path(self, backup_id: str, table: str, name: str) -> str:
+        """Below the root, so that a vault may be moved as a whole."""
+        return f"index/{backup_id}/{table}/{name}-{uuid.uuid4().hex[:8]}"
+
+    def _key_index(self, df: DataFrame, keys: list[str], backup_id: str, table: str) -> tuple[dict, tuple]:
+        """Check the keys of a table and store them with the fingerprints of their rows, in one pass; also count and digest of the rows."""
+        buckets, path, seen = state_index.bucket_count(df), self._index_path(backup_id, table, "base"), Observation()
+        prints = state_index.in_buckets(state_index.key_prints(df, keys), keys, buckets)
+        prints = prints.observe(seen, *state_index.key_totals(keys)).select(*[f"`{k}`" for k in keys], *FINGERPRINT)
+        state_index.write_buckets(prints, keys, buckets, f"{self.root}/{path}")
+        got = seen.get
+        if got["faults"]:
+            raise ValueError(f"{table}: {keys} is repeated or null, not a key")
+        index = {"buckets": buckets, "parts": [{"path": path, "level": 0, "rows": got["rows"]}]}
+        return index, (got["rows"], got["digest1"], got["digest2"])
+
+    def _key_parts(self, index: dict, df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+        """Base and runs of the index of a table with a key."""
+        fields = [df.schema[k] for k in keys]
+        base, *runs = [f"{self.root}/{p['path']}" for p in index["parts"]]
+        schema = T.StructType([*fields, *[T.StructField(h, T.LongType()) for h in FINGERPRINT]])
+        return state_index.read_buckets(self.spark, schema, keys, index["buckets"], base), [state_index.read_keyed_run(self.spark, fields, r) for r in runs]
+
+    def _keyed_changes(self, df: DataFrame, parent: _Parent, keys: list[str], backup_id: str, table: str) -> DataFrame:
+        if parent.index is None:  # of a vault before indexes
+            return self._materialize(delta.keyed_changes(df, self._prints(parent.steps, keys), keys), backup_id, table)
+        changes = state_index.keyed_changes(df, *self._key_parts(parent.index, df, keys), keys)
+        return self._materialize(changes, backup_id, table, indexed=True)
+
+    def _range_index(self, parent: _Parent, table: str) -> dict:
+        """The index of a state without a key, which the first delta on that state builds."""
+        owner = parent.manifest["backup_id"]
+        found = self._read("indexes", owner=owner).where((F.col("backup_id") == owner) & (F.col("table_name") == table)).first()
+        if found is not None:
+            return json.loads(found["index_json"])
+        bits = state_index.band_bits(parent.manifest["state_rows"])
+        base, tree = self._index_path(owner, table, "base"), self._index_path(owner, table, "tree")
+        state_index.write_bands(self._prints(parent.steps, None), bits, f"{self.root}/{base}")
+        prints = state_index.read_bands(self.spark, f"{self.root}/{base}")
+        state_index.tree(prints, bits, delta.COPIES).write.parquet(f"{self.root}/{tree}")
+        index = {"bits": bits, "tree": tree, "parts": [{"path": base, "level": 0, "rows": parent.manifest["state_rows"]}]}
+        self._append_rows("indexes", datetime.now(timezone.utc), [{"backup_id": owner, "table_name": table, "index_json": json.dumps(index)}], owner)
+        return index
+
+    def _multiset_changes(self, df: DataFrame, index: dict, backup_id: str, table: str) -> tuple[DataFrame, tuple]:
+        """What changed since the indexed state, and count and digest of the rows now. Only ranges in which the trees differ are compared."""
+        bits, path = index["bits"], self._index_path(backup_id, table, "tree")
+        prints = with_fingerprint(df).select(*FINGERPRINT)
+        state_index.tree(prints, bits).write.parquet(f"{self.root}/{path}")
+        before, now = (self._tree(p) for p in (index["tree"], path))
+        index["tree"] = path
+        bands, leaves = state_index.differing(before, now)
+        if leaves is None:
+            changes = self.spark.createDataFrame([], f"{FINGERPRINT[0]} bigint, {FINGERPRINT[1]} bigint, {delta.COPIES} bigint, {delta.BEFORE} bigint")
+        else:
+            leaves = self._materialize(leaves, backup_id, f"{table}-leaves")
+            count = leaves.count()
+            if 2 * count > 1 << (bits + state_index.LEAF_BITS):
+                leaves = None  # most of them: looking each row up would not pay
+            base, *runs = index["parts"]
+            base = state_index.read_bands(self.spark, f"{self.root}/{base['path']}", bands)
+            runs = [state_index.read_multiset_run(self.spark, f"{self.root}/{r['path']}") for r in runs]
+            inside = F.shiftright(state_index.leaf(bits), state_index.LEAF_BITS).isin(bands)
+            cut = lambda part: state_index.within(part.where(inside) if len(bands) < 1 << bits else part, bits, leaves, count)
+            changes = state_index.multiset_changes(cut(prints), cut(base), [cut(r) for r in runs])
+        changes = self._materialize(changes, backup_id, table, indexed=True)
+        total = now.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").alias(c) for c in ("digest1", "digest2")]).first()
+        return changes, (total["n"], int(total["digest1"]), int(total["digest2"]))
+
+    def _tree(self, path: str) -> DataFrame:
+        return self.spark.read.schema(f"{state_index.LEAF} int, row_count bigint, digest1 decimal(38,0), digest2 decimal(38,0)").parquet(f"{self.root}/{path}")
+
+    def _next_index(self, index: dict | None, df: DataFrame, keys: list[str] | None, rows: int, backup_id: str, table: str) -> str:
+        """The index after a delta of ``rows`` changes: one run more, some runs merged, or a new base."""
+        if index is None:
+            return json.dumps(self._key_index(df, keys, backup_id, table)[0])
+        parts = [*index["parts"], {"path": f"index/{backup_id}/{table}/run", "level": 0, "rows": rows}]
+        asked = state_index.to_merge(parts)
+        if asked is not None:
+            what, first = asked
+            path = self._index_path(backup_id, table, "base" if what == "base" else "runs")
+            some, target = parts[first:], f"{self.root}/{path}"
+            if keys:
+                base, runs = self._key_parts({**index, "parts": parts}, df, keys)
+                if what == "base":
+                    merged = state_index.keyed_base(base, runs, keys)
+                    state_index.write_buckets(merged.repartition(index["buckets"], *keys), keys, index["buckets"], target)
+                else:
+                    state_index.merged_keyed_runs(runs[first - 1 :], keys).write.parquet(target)
+            else:
+                runs = [state_index.read_multiset_run(self.spark, f"{self.root}/{p['path']}") for p in parts[max(first, 1) :]]
+                if what == "base":
+                    base = state_index.read_bands(self.spark, f"{self.root}/{parts[0]['path']}")
+                    state_index.write_bands(state_index.multiset_base(base, runs), index["bits"], target)
+                else:
+                    state_index.merged_multiset_runs(runs).write.parquet(target)
+            level = 0 if what == "base" else some[0]["level"] + 1
+            parts = [*parts[:first], {"path": path, "level": level, "rows": sum(p["rows"] for p in some)}]
+        return json.dumps({**index, "parts": parts})
+
     @staticmethod
     def _mark_tells(df: DataFrame, grows: str, parent: Row) -> bool:
         """Whether the rows past the parent's mark are all that came since: a parent with rows needs
@@ -312,10 +427,10 @@ class Vault:
         # plain integers: decimal arithmetic would round digests of more than 28 digits
         return m["state_rows"] + rows, int(m["state_digest1"]) + int(d1), int(m["state_digest2"]) + int(d2)
 
-    def _materialize(self, changes: DataFrame, backup_id: str, table: str) -> DataFrame:
+    def _materialize(self, changes: DataFrame, backup_id: str, table: str, indexed: bool = False) -> DataFrame:
         """Write the change list: lineage is cut, its size becomes known, a lost executor costs
-        nothing that was already found."""
-        path = f"{self.root}/work/{backup_id}/{table}"
+        nothing that was already found. Beside an index it stays, as the index's next run."""
+        path = f"{self.root}/index/{backup_id}/{table}/run" if indexed else f"{self.root}/work/{backup_id}/{table}"
         changes.write.parquet(path)
         return self.spark.read.schema(changes.schema).parquet(path)
 
@@ -538,6 +653,7 @@ class Vault:
         count = 0
         for row in gone.toLocalIterator():
             delete_path(self.spark, row["file_path"])
+            delete_path(self.spark, f"{self.root}/index/{row['id']}")
             count += 1
         delete_path(self.spark, entry)
         return count

@@ -202,7 +202,7 @@ def test_success_is_the_last_event(spark, vault, monkeypatch):
 def test_digests_of_many_digits_stay_exact():
     from tablevault.vault import _Parent
 
-    parent = _Parent({"state_rows": 1, "state_digest1": Decimal("123456789012345678901234567890123"), "state_digest2": Decimal(-7)}, None)
+    parent = _Parent({"state_rows": 1, "state_digest1": Decimal("123456789012345678901234567890123"), "state_digest2": Decimal(-7)}, None, [])
     got = Vault._moved(parent, 2, Decimal("999999999999999999999999999999"), -1)
     assert got == (3, 123456789012345678901234567890123 + 999999999999999999999999999999, -8)
 
