@@ -36,7 +36,7 @@ MANIFEST = _schema(
     index_json=_TEXT,
 )
 INDEXES = _schema(backup_id=_TEXT, table_name=_TEXT, index_json=_TEXT)
-FILES = _schema(backup_id=_TEXT, table_name=_TEXT, path=_TEXT, length=_LONG, row_count=_LONG, digest1=_SUM, digest2=_SUM)
+FILES = _schema(backup_id=_TEXT, table_name=_TEXT, path=_TEXT, length=_LONG, row_count=_LONG, sha256=_TEXT)
 
 _SAFE_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 

@@ -73,13 +73,13 @@ def keyed_changes(cur: DataFrame, prev: DataFrame, keys: list[str]) -> DataFrame
     )
 
 
-def keyed_change_totals(changes: DataFrame) -> DataFrame:
-    """One row of counts and digest differences of :func:`keyed_changes`."""
+def keyed_change_totals() -> list[Column]:
+    """Counts and digest differences of :func:`keyed_changes`."""
     op = F.col("op")
     inserted, deleted = (op == "U") & F.col("prev_h1").isNull(), op == "D"
     n = lambda c: F.count(F.when(c, 1))
     only = lambda c, v: F.when(c, F.col(v))
-    return changes.agg(
+    return [
         n(op == "X").alias("faults"),
         n(op == "U").alias("upserts"),
         n(deleted).alias("deletes"),
@@ -89,7 +89,7 @@ def keyed_change_totals(changes: DataFrame) -> DataFrame:
         lane_sum(only(op == "U", "cur_h2")).alias("up2"),
         lane_sum("prev_h1").alias("out1"),
         lane_sum("prev_h2").alias("out2"),
-    )
+    ]
 
 
 def keyed_payload(cur: DataFrame, changes: DataFrame, keys: list[str], upserts: int) -> DataFrame:
@@ -127,10 +127,10 @@ def multiset_weight() -> Column:
     return F.col(COPIES) + 1
 
 
-def multiset_change_totals(changes: DataFrame) -> DataFrame:
+def multiset_change_totals() -> list[Column]:
     n, gain = F.col(COPIES), F.col(COPIES) - F.col(BEFORE)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return changes.agg(
+    return [
         F.count(F.when(n > 0, 1)).alias("present"),
         F.count(F.when(n == 0, 1)).alias("gone"),
         F.count(F.when(F.col(BEFORE) > 0, 1)).alias("touched"),
@@ -140,7 +140,7 @@ def multiset_change_totals(changes: DataFrame) -> DataFrame:
         lane_sum(H2, gain).alias("net2"),
         lane_sum(H1, multiset_weight()).alias("digest1"),
         lane_sum(H2, multiset_weight()).alias("digest2"),
-    )
+    ]
 
 
 def _one_of_each(side: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
@@ -156,8 +156,10 @@ def _one_of_each(side: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
 
 
 def multiset_payload(cur: DataFrame, prev: DataFrame, changes: DataFrame, present: int, gone: int) -> DataFrame:
-    """Each changed row once, with its copies now (0 when it is gone) and before."""
+    """Each changed row once, with its copies now (0 when it is gone) and before. The former state is read only for rows that are gone."""
     now = _one_of_each(cur, changes.where(F.col(COPIES) > 0), present)
+    if not gone:
+        return now
     return now.unionByName(_one_of_each(prev, changes.where(F.col(COPIES) == 0), gone))
 
 

@@ -6,10 +6,14 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from tablevault.functions.fingerprint import DIGEST, lane, lane_sum
+from tablevault.functions.fingerprint import DIGEST
 from tablevault.workspace import path_exists
 
 FILE = "_tv_file"
+#: A part file is read as one value when it is hashed, so larger ones are written again in pieces.
+PART_BYTES = 128 << 20
+#: Hex digits that group the leaves of a Merkle tree.
+NODE_DIGITS = 3
 
 
 def _table_of(path_column: str, folder: str):
@@ -36,68 +40,67 @@ def list_parts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def hashed_parts(spark: SparkSession, folder: str, tolerant: bool = False) -> DataFrame:
+    """``table_name, path, length, sha256`` of the bytes of each part file, hashed where the tasks read them. A tolerant reader gives no
+    hash for a file that cannot be read to its end."""
+    if not path_exists(spark, folder):
+        return list_parts(spark, folder).withColumn("sha256", F.lit(None).cast("string"))
+    listed = list_parts(spark, folder)
+    reader = _binary(spark, folder)
+    if tolerant:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    read = reader.load(folder).select("path", F.sha2("content", 256).alias("sha256"))
+    if tolerant:
+        return listed.join(read, "path", "left").select("table_name", "path", "length", "sha256")
+    return reader.load(folder).select(_table_of("path", folder).alias("table_name"), "path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def file_name(path: str) -> Column:
     """Name of a part file, which is unique within its table."""
     return F.substring_index(F.col(path), "/", -1)
 
 
-def with_digests(listed: DataFrame, found: DataFrame) -> DataFrame:
-    """Listed files with the digest of their rows; a file without rows has none in ``found``.
-
-    The digest is taken row by row where the file is scanned, so a file of any length is covered
-    in constant memory and may be split over tasks."""
-    f = found.select(
-        F.col("table_name").alias("f_table"), file_name(FILE).alias("f_name"), F.col("row_count").alias("f_rows"),
-        F.col("digest1").alias("f_1"), F.col("digest2").alias("f_2"),
-    )
-    joined = listed.join(f, (F.col("table_name") == F.col("f_table")) & (file_name("path") == F.col("f_name")), "left")
-    zero = lambda c, t: F.coalesce(c, F.lit(0)).cast(t)
-    return joined.select(
-        "table_name", "path", "length", zero("f_rows", "bigint").alias("row_count"), zero("f_1", DIGEST).alias("digest1"),
-        zero("f_2", DIGEST).alias("digest2"),
-    )
+def with_rows(hashed: DataFrame, found: DataFrame) -> DataFrame:
+    """Hashed files with the number of their rows; a file without rows has none in ``found``."""
+    f = found.select(F.col("table_name").alias("f_table"), file_name(FILE).alias("f_name"), F.col("row_count").alias("f_rows"))
+    joined = hashed.join(f, (F.col("table_name") == F.col("f_table")) & (file_name("path") == F.col("f_name")), "left")
+    return joined.select("table_name", "path", "length", F.coalesce("f_rows", F.lit(0)).cast("bigint").alias("row_count"), "sha256")
 
 
 def file_totals(files: DataFrame) -> DataFrame:
-    """Files, bytes and an order-free checksum (``sum1``, ``sum2``) over the files per table.
-
-    Each file contributes the hash of ``table/file:rows:digests``; contributions are summed, so nothing
-    has to be collected and sorted in one place however many files there are.
-    """
-    label = F.concat(
-        F.col("table_name"), F.lit("/"), file_name("path"),
-        *[x for c in ("row_count", "digest1", "digest2") for x in (F.lit(":"), F.col(c).cast("string"))],
+    """Files, bytes and the ``root`` of a Merkle tree over the files per table.
+
+    A leaf is the hash of ``table/file:length:sha256``; leaves with the same first digits, in order, make a node, and the nodes in order the
+    root. So no group grows with the number of files alone, and the order in which files are met does not matter."""
+    label = F.concat(F.col("table_name"), F.lit("/"), file_name("path"), F.lit(":"), F.col("length").cast("string"), F.lit(":"), F.coalesce("sha256", F.lit("")))
+    leaves = files.select("table_name", "length", F.sha2(label, 256).alias("leaf"))
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ""), 256)
+    nodes = leaves.groupBy("table_name", F.substring("leaf", 1, NODE_DIGITS).alias("at")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), joined("leaf").alias("node")
     )
-    marked = files.withColumn("_hex", F.sha2(label, 256))
-    return marked.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("bytes"),
-        lane_sum(lane(F.col("_hex"), 1)).alias("sum1"),
-        lane_sum(lane(F.col("_hex"), 2)).alias("sum2"),
+    return nodes.groupBy("table_name").agg(
+        F.sum("files").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"), joined(F.concat("at", "node")).alias("root")
     )
 
 
 def overall_checksum(totals: list[Row]) -> str:
-    """SHA-256 over the added-up totals of all tables of a backup (one row per table)."""
-    parts = [str(sum(int(r[c]) for r in totals)) for c in ("files", "sum1", "sum2")]
-    return hashlib.sha256(":".join(parts).encode()).hexdigest()
+    """Root over the roots of all tables of a backup (one row per table)."""
+    return hashlib.sha256("".join(sorted(f"{r['table_name']}:{r['files']}:{r['root']};" for r in totals)).encode()).hexdigest()
 
 
 def compare_files(recorded: DataFrame, stored: DataFrame) -> DataFrame:
     """Status per file: ``ok``, ``missing``, ``extra``, ``changed`` or ``corrupt``.
 
-    ``recorded`` comes from the catalog, ``stored`` from listing the storage and reading the rows again;
-    a file that gives fewer rows than recorded could not be read to its end and is corrupt."""
-    r = recorded.select("table_name", *[F.col(c).alias(f"r_{c}") for c in ("path", "length", "row_count", "digest1", "digest2")])
-    s = stored.select(F.col("table_name").alias("s_table"), *[F.col(c).alias(f"s_{c}") for c in ("path", "length", "row_count", "digest1", "digest2")])
+    ``recorded`` comes from the catalog, ``stored`` from listing the storage and hashing the bytes of each file again; a file
+    that could not be read is corrupt. Files recorded before bytes were hashed are compared by length."""
+    r = recorded.select("table_name", *[F.col(c).alias(f"r_{c}") for c in ("path", "length", "sha256")])
+    s = stored.select(F.col("table_name").alias("s_table"), *[F.col(c).alias(f"s_{c}") for c in ("path", "length", "sha256")])
     both = r.join(s, (F.col("table_name") == F.col("s_table")) & (file_name("r_path") == file_name("s_path")), "full_outer")
-    differs = (F.col("r_digest1") != F.col("s_digest1")) | (F.col("r_digest2") != F.col("s_digest2"))
     status = (
         F.when(F.col("s_table").isNull(), "missing")
         .when(F.col("table_name").isNull(), "extra")
-        .when(F.col("r_length") != F.col("s_length"), "changed")
-        .when(F.col("s_row_count") < F.col("r_row_count"), "corrupt")
-        .when((F.col("s_row_count") != F.col("r_row_count")) | differs, "changed")
+        .when(F.col("s_sha256").isNull(), "corrupt")
+        .when((F.col("r_length") != F.col("s_length")) | (F.col("r_sha256") != F.col("s_sha256")), "changed")
         .otherwise("ok")
     )
     return both.select(

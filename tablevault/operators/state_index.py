@@ -2,8 +2,8 @@
 
 A table with a key is indexed by keys and fingerprints in hash buckets, a table without one by fingerprints with their copies
 in ranges. Either index is a base and small runs after it, newest last: what a delta found is the next run. Runs are
-merged, four of a level into one of the next, and a base takes its runs in when they have grown to a quarter of it, so a
-delta reads few parts and rewrites the base rarely.
+merged, four of a level into one of the next, and a base takes its runs in when they have grown to its size, so a delta reads
+few parts and rewrites the base rarely.
 
 Current rows and runs are grouped by key in one shuffle; the base is read bucket by bucket and joined without moving.
 """
@@ -19,8 +19,8 @@ from tablevault.functions.fingerprint import FINGERPRINT, H1, H2, lane_sum, with
 from tablevault.operators.delta import BEFORE, COPIES, OP, bounded_broadcast
 from tablevault.operators.restore import _last_word
 
-#: Runs of a level that are merged, and how much smaller than the base the runs stay.
-FAN, SHARE = 4, 4
+#: Runs of a level that are merged.
+FAN = 4
 #: Bytes of source for each bucket, when that asks for fewer buckets than shuffle partitions.
 BUCKET_BYTES = 512 << 10
 #: Rows of a range at best, ranges at least and at most, and bits that divide a range further into leaves.
@@ -236,7 +236,7 @@ def to_merge(parts: list[dict]) -> tuple[str, int] | None:
     """What the parts of an index (base first, ``rows`` and ``level`` of each) ask for: ``("base", 0)``, ``("runs", first)`` for the runs from
     there on, or nothing."""
     runs = parts[1:]
-    if sum(p["rows"] for p in runs) * SHARE > max(parts[0]["rows"], 1) and len(runs) > 1:
+    if sum(p["rows"] for p in runs) > max(parts[0]["rows"], 1) and len(runs) > 2:
         return "base", 0
     newest = runs[-FAN:]
     if len(newest) == FAN and len({p["level"] for p in newest}) == 1:

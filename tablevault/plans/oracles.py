@@ -156,6 +156,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'supplier', count(*), 2 * count(*), false, 'extra,ok' FROM supplier
             UNION ALL SELECT 'customer', count(*), count(*), false, 'extra,missing' FROM customer
             UNION ALL SELECT 'region', count(*), count(*), false, 'changed' FROM region
+            UNION ALL SELECT 'part', count(*), count(*), true, 'changed' FROM part
             UNION ALL SELECT 'nation', count(*), 0, false, 'missing' FROM nation""",
         "stored_artifacts": "SELECT 'orders' AS table_name, count(*) AS row_total, true AS lengths_ok FROM orders",
         "artifact_files": " UNION ALL ".join(

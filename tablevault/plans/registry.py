@@ -218,17 +218,32 @@ def _replace_part(spark: SparkSession, altered: DataFrame, folder: str, aside: s
     fs.rename(new, old)
 
 
+def _flip_footer(spark: SparkSession, folder: str) -> None:
+    """Change one byte in the free text of the footer of a stored part: no row and no length changes."""
+    name = stored_files(spark, folder).where(F.col("name").endswith(".parquet")).orderBy("length").first()["name"]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    source = fs.open(path)
+    data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+    source.close()
+    at = data.rindex(b"parquet-mr")
+    target = fs.create(path, True)
+    target.write(bytearray(data[:at] + b"Parquet-mr" + data[at + 10 :]))
+    target.close()
+
+
 @_register
 def verify_after_changes(spark, folder):
-    """A part added to one stored table, another table rewritten, one part replaced under its name and one folder
-    removed behind the vault's back."""
+    """A part added to one stored table, another table rewritten, one part replaced under its name, a byte flipped in a footer and
+    one folder removed behind the vault's back."""
     vault = _vault(spark)
-    tables = parquet_tables(spark, folder, ["orders", "supplier", "customer", "region", "nation"])
+    tables = parquet_tables(spark, folder, ["orders", "supplier", "customer", "region", "nation", "part"])
     done = _run(vault, tables)
     tables["supplier"].write.mode("append").parquet(f"{done.file_path}/supplier")
     altered = tables["customer"].withColumn("c_acctbal", F.col("c_acctbal") + 1)
     altered.write.mode("overwrite").parquet(f"{done.file_path}/customer")
     _replace_part(spark, tables["region"].withColumn("r_name", F.reverse("r_name")), f"{done.file_path}/region", f"{vault.root}/aside")
+    _flip_footer(spark, f"{done.file_path}/part")
     delete_path(spark, f"{done.file_path}/nation")
     # five possible states bound the set
     states = vault.verify_files(done.backup_id).groupBy("table_name").agg(

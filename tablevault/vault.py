@@ -29,7 +29,7 @@ from tablevault.operators import catalog, delta, integrity, retention, state_ind
 from tablevault.operators.restore import apply_keyed, apply_multiset, keyed_prints, multiset_prints
 from tablevault.operators.selection import select_names
 from tablevault.plans import chains
-from tablevault.workspace import delete_path, path_exists
+from tablevault.workspace import delete_path, path_exists, rename_path
 
 # Ways a table is stored in one backup.
 FULL, KEYED, MULTISET, APPEND = "full", "keyed", "multiset", "append"
@@ -200,7 +200,7 @@ class Vault:
                         chosen,
                     )
                 )
-            totals, checksum = self._measure(backup_id, folder, rows, at) if chosen else ({}, None)
+            totals, checksum = self._measure(backup_id, folder, rows, at, request.effective_codec) if chosen else ({}, None)
             self._write_manifest(backup_id, rows, totals, at)
             size = sum(b for _, b in totals.values())
             raw = sum(r["raw_size"] for r in rows)
@@ -284,8 +284,7 @@ class Vault:
             info.update(op_mode=APPEND, upserts=seen["row_count"], high_water=seen.pop("high_water", None) or mark, null_marks=parent.manifest["null_marks"])
             state = self._moved(parent, seen["row_count"], seen["digest1"], seen["digest2"])
         elif keys:
-            changes = self._keyed_changes(df, parent, keys, backup_id, table)
-            found = delta.keyed_change_totals(changes).first()
+            changes, found = self._keyed_changes(df, parent, keys, backup_id, table)
             if found["faults"]:
                 raise ValueError(f"{table}: {keys} is repeated or null, not a key")
             payload = delta.keyed_payload(df, changes, keys, found["upserts"])
@@ -297,8 +296,7 @@ class Vault:
             state = self._moved(parent, found["rows"], int(found["up1"]) - int(found["out1"]), int(found["up2"]) - int(found["out2"]))
         else:
             index = parent.index or self._range_index(parent, table)
-            changes, total = self._multiset_changes(df, index, backup_id, table)
-            found = delta.multiset_change_totals(changes).first()
+            changes, found, total = self._multiset_changes(df, index, backup_id, table)
             payload = delta.multiset_payload(df, parent.state, changes, found["present"], found["gone"])
             seen = self._write(payload, df.columns, MULTISET, path, request)
             state = self._moved(parent, found["upserts"] - found["deletes"], found["net1"], found["net2"])
@@ -335,11 +333,14 @@ class Vault:
         schema = T.StructType([*fields, *[T.StructField(h, T.LongType()) for h in FINGERPRINT]])
         return state_index.read_buckets(self.spark, schema, keys, index["buckets"], base), [state_index.read_keyed_run(self.spark, fields, r) for r in runs]
 
-    def _keyed_changes(self, df: DataFrame, parent: _Parent, keys: list[str], backup_id: str, table: str) -> DataFrame:
-        if parent.index is None:  # of a vault before indexes
-            return self._materialize(delta.keyed_changes(df, self._prints(parent.steps, keys), keys), backup_id, table)
-        changes = state_index.keyed_changes(df, *self._key_parts(parent.index, df, keys), keys)
-        return self._materialize(changes, backup_id, table, indexed=True)
+    def _keyed_changes(self, df: DataFrame, parent: _Parent, keys: list[str], backup_id: str, table: str) -> tuple[DataFrame, dict]:
+        indexed = parent.index is not None  # else of a vault before indexes
+        changes = (
+            state_index.keyed_changes(df, *self._key_parts(parent.index, df, keys), keys) if indexed
+            else delta.keyed_changes(df, self._prints(parent.steps, keys), keys)
+        )
+        seen = Observation()
+        return self._materialize(changes.observe(seen, *delta.keyed_change_totals()), backup_id, table, indexed), seen.get
 
     def _range_index(self, parent: _Parent, table: str) -> dict:
         """The index of a state without a key, which the first delta on that state builds."""
@@ -356,8 +357,8 @@ class Vault:
         self._append_rows("indexes", datetime.now(timezone.utc), [{"backup_id": owner, "table_name": table, "index_json": json.dumps(index)}], owner)
         return index
 
-    def _multiset_changes(self, df: DataFrame, index: dict, backup_id: str, table: str) -> tuple[DataFrame, tuple]:
-        """What changed since the indexed state, and count and digest of the rows now. Only ranges in which the trees differ are compared."""
+    def _multiset_changes(self, df: DataFrame, index: dict, backup_id: str, table: str) -> tuple[DataFrame, dict, tuple]:
+        """What changed since the indexed state, totals of the changes, and count and digest of the rows now. Only ranges in which the trees differ are compared."""
         bits, path = index["bits"], self._index_path(backup_id, table, "tree")
         prints = with_fingerprint(df).select(*FINGERPRINT)
         state_index.tree(prints, bits).write.parquet(f"{self.root}/{path}")
@@ -377,9 +378,10 @@ class Vault:
             inside = F.shiftright(state_index.leaf(bits), state_index.LEAF_BITS).isin(bands)
             cut = lambda part: state_index.within(part.where(inside) if len(bands) < 1 << bits else part, bits, leaves, count)
             changes = state_index.multiset_changes(cut(prints), cut(base), [cut(r) for r in runs])
-        changes = self._materialize(changes, backup_id, table, indexed=True)
+        seen = Observation()
+        changes = self._materialize(changes.observe(seen, *delta.multiset_change_totals()), backup_id, table, indexed=True)
         total = now.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").alias(c) for c in ("digest1", "digest2")]).first()
-        return changes, (total["n"], int(total["digest1"]), int(total["digest2"]))
+        return changes, seen.get, (total["n"], int(total["digest1"]), int(total["digest2"]))
 
     def _tree(self, path: str) -> DataFrame:
         return self.spark.read.schema(f"{state_index.LEAF} int, row_count bigint, digest1 decimal(38,0), digest2 decimal(38,0)").parquet(f"{self.root}/{path}")
@@ -453,21 +455,29 @@ class Vault:
         writer.parquet(path)
         return dict(seen.get)
 
-    def _stored(self, rows: list, folder: str, tolerant: bool = False) -> DataFrame:
-        """The part files of a backup as they lie, each with count and digest of its rows."""
-        parts = []
-        for row in rows:
-            df = self._payload(row, f"{folder}/{row['table_name']}", tolerant, with_file=True)
-            columns = T.StructType.fromJson(json.loads(row["schema_json"])).fieldNames()
-            found = with_fingerprint(df, columns).groupBy(integrity.FILE).agg(*payload_digest(row["op_mode"])[:3])
-            parts.append(found.withColumn("table_name", F.lit(row["table_name"])))
-        nothing = f"{integrity.FILE} string, row_count bigint, digest1 decimal(38,0), digest2 decimal(38,0), table_name string"
-        found = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], nothing)
-        return integrity.with_digests(integrity.list_parts(self.spark, folder), found)
-
-    def _measure(self, backup_id: str, folder: str, written: list[dict], at: datetime) -> tuple[dict[str, tuple[int, int]], str]:
-        """Read back the part files, record them, and total them per table and overall."""
-        stored = self._stored(written, folder).withColumn("backup_id", F.lit(backup_id))
+    def _bounded(self, folder: str, written: list[dict], codec: str) -> None:
+        """Write tables again that have a part too large to be hashed as one value, with rows per part from the width that their rows turned
+        out to have. Few writes need it: a part is what one task wrote."""
+        if not path_exists(self.spark, folder):
+            return
+        large = integrity.list_parts(self.spark, folder).groupBy("table_name").agg(F.max("length").alias("most"), F.sum("length").alias("bytes"))
+        rows = {r["table_name"]: r for r in written}
+        for found in large.where(F.col("most") > integrity.PART_BYTES).collect():
+            row, path = rows[found["table_name"]], f"{folder}/{found['table_name']}"
+            most = max(1, integrity.PART_BYTES * max(row["row_count"], 1) // (2 * found["bytes"]))
+            self.spark.read.parquet(path).write.option("maxRecordsPerFile", most).option("compression", codec).parquet(f"{path}.parts")
+            delete_path(self.spark, path)
+            rename_path(self.spark, f"{path}.parts", path)
+
+    def _measure(self, backup_id: str, folder: str, written: list[dict], at: datetime, codec: str) -> tuple[dict[str, tuple[int, int]], str]:
+        """Hash the bytes of the part files, count their rows from the footers, record both, and total them per table and overall."""
+        self._bounded(folder, written, codec)
+        counted = [
+            self._payload(row, f"{folder}/{row['table_name']}", with_file=True).select(F.lit(row["table_name"]).alias("table_name"), integrity.FILE)
+            for row in written
+        ]
+        found = reduce(DataFrame.unionByName, counted).groupBy("table_name", integrity.FILE).agg(F.count(F.lit(1)).alias("row_count"))
+        stored = integrity.with_rows(integrity.hashed_parts(self.spark, folder), found).withColumn("backup_id", F.lit(backup_id))
         entry = self._append("files", stored.select(*FILES.fieldNames()), at, backup_id)
         rows = integrity.file_totals(self.spark.read.schema(FILES).parquet(entry)).collect()
         return {r["table_name"]: (r["files"], r["bytes"]) for r in rows}, integrity.overall_checksum(rows)
@@ -616,7 +626,7 @@ class Vault:
     def verify_files(self, backup_id: str) -> DataFrame:
         """Status of every recorded or stored part file."""
         folder = self._folder(backup_id)
-        return integrity.compare_files(self.files(backup_id), self._stored(self.manifest(backup_id).collect(), folder, tolerant=True))
+        return integrity.compare_files(self.files(backup_id), integrity.hashed_parts(self.spark, folder, tolerant=True))
 
     def verify_content(self, backup_id: str) -> DataFrame:
         """Recorded against recomputed row digest of every table, as one job over all tables.

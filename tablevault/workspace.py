@@ -39,3 +39,9 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.delete(target, True)
+
+
+def rename_path(spark: SparkSession, old: str, new: str) -> None:
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"cannot rename {old}")

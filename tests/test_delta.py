@@ -151,13 +151,13 @@ def test_rows_repeated_very_often(spark, monkeypatch, path):
     rest = spark.range(500).select(F.col("id").cast("string").alias("v"), F.lit(None).cast("int").alias("n"))
     prev, cur = hot.unionByName(rest), hot.limit(1234).unionByName(rest.where("v <> '7'")).unionByName(rest.where("v = '9'"))
     changes = delta.multiset_changes(cur, prev)
-    totals = delta.multiset_change_totals(changes).first()
+    totals = changes.agg(*delta.multiset_change_totals()).first()
     assert (totals["upserts"], totals["deletes"]) == (1, 1766 + 1)
     payload = delta.multiset_payload(cur, prev, changes, totals["present"], totals["gone"])
     back = restore.apply_multiset(prev, [payload], totals["touched"])
     assert {r["v"]: r["count"] for r in back.groupBy("v").count().collect() if r["v"] in ("hot", "7", "9", "8")} == {"hot": 1234, "9": 2, "8": 1}
     back_again = delta.multiset_changes(prev, cur)
-    t = delta.multiset_change_totals(back_again).first()
+    t = back_again.agg(*delta.multiset_change_totals()).first()
     grown = restore.apply_multiset(cur, [delta.multiset_payload(prev, cur, back_again, t["present"], t["gone"])], t["touched"])
     assert grown.exceptAll(prev).isEmpty() and prev.exceptAll(grown).isEmpty()
 
