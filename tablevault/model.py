@@ -35,6 +35,10 @@ MANIFEST = _schema(
     high_water=_TEXT, null_marks=_LONG, upserts=_LONG, deletes=_LONG, touched=_LONG, state_rows=_LONG, state_digest1=_SUM, state_digest2=_SUM,
     index_json=_TEXT,
 )
+CHUNKS = _schema(
+    backup_id=_TEXT, db_name=_TEXT, table_name=_TEXT, bits=_INT, band=_INT, name=_TEXT, path=_TEXT, row_count=_LONG, digest1=_SUM, digest2=_SUM,
+)
+CONDEMNED = _schema(path=_TEXT, at=_TIME)
 INDEXES = _schema(backup_id=_TEXT, table_name=_TEXT, index_json=_TEXT)
 FILES = _schema(backup_id=_TEXT, table_name=_TEXT, path=_TEXT, length=_LONG, row_count=_LONG, sha256=_TEXT)
 
@@ -67,6 +71,7 @@ class BackupRequest:
     parallel: int = 4
     chunk_rows: int | None = None
     max_size: str | None = None
+    dedup: bool = False
 
     def __post_init__(self):
         if self.backup_type not in BACKUP_TYPES:

@@ -55,9 +55,19 @@ def hashed_parts(spark: SparkSession, folder: str, tolerant: bool = False) -> Da
     return reader.load(folder).select(_table_of("path", folder).alias("table_name"), "path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def hashed_chunks(spark: SparkSession, table: str, folders: list[str]) -> DataFrame:
+    """The same for the files of some folders of one table; a file that cannot be read has no hash."""
+    if not folders:
+        return spark.createDataFrame([], "table_name string, path string, length bigint, sha256 string")
+    listed = _binary(spark, "").load(folders).select(F.lit(table).alias("table_name"), "path", "length")
+    reader = _binary(spark, "").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    read = reader.load(folders).select("path", F.sha2("content", 256).alias("sha256"))
+    return listed.join(read, "path", "left").select("table_name", "path", "length", "sha256")
+
+
 def file_name(path: str) -> Column:
-    """Name of a part file, which is unique within its table."""
-    return F.substring_index(F.col(path), "/", -1)
+    """Name of a part file, with its chunk if it has one, which is unique within its table."""
+    return F.regexp_extract(F.col(path), "((?:chunk=[^/]+/)?[^/]+)$", 1)
 
 
 def with_rows(hashed: DataFrame, found: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from tablevault.functions import scalars as X
 from tablevault.model import DEFAULT_RETENTION_DAYS, DEFAULT_SIZE_CAP
 from tablevault.plans.chains import position, successful
 
+#: A condemned unit is one for runs that begin this much later; a sweep takes less time to say so.
+MARGIN_HOURS = 1
+
 
 def expired_backups(jobs: DataFrame, as_of: Column, days: int = DEFAULT_RETENTION_DAYS) -> DataFrame:
     """Successful backups older than ``days`` that no kept backup needs for its restore.
@@ -64,7 +67,14 @@ def size_violations(jobs: DataFrame, cap: str | Column = DEFAULT_SIZE_CAP) -> Da
     return successful(jobs).where(F.col("file_size") > limit)
 
 
-def unreferenced(stored: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Stored files (``backup_id``, ``path``, ...) of runs that never reached ``success``."""
-    ids = successful(jobs).select(F.col("id").alias("backup_id"))
-    return stored.join(ids, "backup_id", "left_anti")
+def unreferenced(stored: DataFrame, named: DataFrame) -> DataFrame:
+    """Stored units (``path``, ...) that nothing names: what failed and expired runs leave, and chunks of which the last backup went."""
+    return stored.join(named.select("path").distinct(), "path", "left_anti")
+
+
+def may_go(loose: DataFrame, marked: DataFrame, oldest: Column | None) -> DataFrame:
+    """Loose units that an earlier sweep condemned (``at``) before the oldest run under way began, with a margin for the time that
+    condemning takes. Such a run may have found the unit in the catalog; a run that began later does not use it."""
+    since = marked.groupBy("path").agg(F.min("at").alias("at"))
+    ready = loose.join(since, "path")
+    return ready if oldest is None else ready.where(F.col("at") + F.make_interval(hours=F.lit(MARGIN_HOURS)) < oldest)

@@ -23,17 +23,17 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, funct
 from tablevault.functions.fingerprint import FINGERPRINT, LEN, digest_columns, lane_sum, with_fingerprint
 from tablevault.functions.scalars import DB_TYPES, SIZE_UNITS, redact_secrets
 from tablevault.model import (
-    BACKUP_LOGS, BACKUP_VERSION, DEFAULT_RETENTION_DAYS, FILES, INDEXES, JOB_EVENTS, MANIFEST, BackupRequest, BackupResult, safe_name,
+    BACKUP_LOGS, BACKUP_VERSION, CHUNKS, CONDEMNED, DEFAULT_RETENTION_DAYS, FILES, INDEXES, JOB_EVENTS, MANIFEST, BackupRequest, BackupResult, safe_name,
 )
-from tablevault.operators import catalog, delta, integrity, retention, state_index
+from tablevault.operators import catalog, chunks, delta, integrity, retention, state_index
 from tablevault.operators.restore import apply_keyed, apply_multiset, keyed_prints, multiset_prints
 from tablevault.operators.selection import select_names
 from tablevault.plans import chains
-from tablevault.workspace import delete_path, path_exists, rename_path
+from tablevault.workspace import delete_path, delete_units, path_exists, qualified, rename_path
 
 # Ways a table is stored in one backup.
-FULL, KEYED, MULTISET, APPEND = "full", "keyed", "multiset", "append"
-_SCHEMAS = {"job_events": JOB_EVENTS, "backup_logs": BACKUP_LOGS, "manifest": MANIFEST, "files": FILES, "indexes": INDEXES}
+FULL, CHUNKED, KEYED, MULTISET, APPEND = "full", "chunked", "keyed", "multiset", "append"
+_SCHEMAS = {"job_events": JOB_EVENTS, "backup_logs": BACKUP_LOGS, "manifest": MANIFEST, "files": FILES, "indexes": INDEXES, "chunks": CHUNKS, "condemned": CONDEMNED}
 
 
 class SourceChanged(RuntimeError):
@@ -205,7 +205,8 @@ class Vault:
             size = sum(b for _, b in totals.values())
             raw = sum(r["raw_size"] for r in rows)
             if request.max_size and size > _size_limit(request.max_size):
-                delete_path(self.spark, folder)
+                if not request.dedup:  # others may have found its chunks already: a sweep takes them
+                    delete_path(self.spark, folder)
                 raise ValueError(f"backup holds {size} bytes, more than {request.max_size}")
             done = dict(
                 file_path=folder, file_name=name, file_size=size, raw_size=raw, checksum=checksum,
@@ -271,12 +272,16 @@ class Vault:
         if not same:
             if keys:
                 index, known = self._key_index(df, keys, backup_id, table)
-            seen = self._write(df, df.columns, FULL, path, request, grows)
+            mode = CHUNKED if request.dedup else FULL
+            if request.dedup:
+                seen = self._write_chunks(df, table, path, backup_id, request, grows)
+            else:
+                seen = self._write(df, df.columns, FULL, path, request, grows)
             if keys:
                 if (seen["row_count"], seen["digest1"], seen["digest2"]) != known:
                     raise SourceChanged(f"{table} changed while it was read")
                 info["index_json"] = json.dumps(index)
-            info.update(op_mode=FULL, upserts=seen["row_count"], high_water=seen.pop("high_water", None), null_marks=seen.pop("null_marks", None))
+            info.update(op_mode=mode, upserts=seen["row_count"], high_water=seen.pop("high_water", None), null_marks=seen.pop("null_marks", None))
             state = (seen["row_count"], seen["digest1"], seen["digest2"])
         elif grows:
             mark = parent.manifest["high_water"]
@@ -308,6 +313,45 @@ class Vault:
         info.update(zip(("state_rows", "state_digest1", "state_digest2"), state))
         return info
 
+    # --- content-addressed chunks -----------------------------------------------------------
+
+    def _write_chunks(self, df: DataFrame, table: str, path: str, backup_id: str, request: BackupRequest, grows: str | None) -> dict:
+        """Store the chunks of a table that the vault does not hold, and name all of them in the catalog."""
+        db, marked = request.db_name or "unknown", self._condemned().select(F.substring_index("path", "/", -3).alias("at")).distinct()
+        held = self._read("chunks").where(F.col("table_name") == table)
+        former = held.agg(F.max_by("bits", F.struct(F.col("db_name") == db, "backup_id")).alias("bits")).first()["bits"]
+        bits = former or chunks.chunk_bits(df)
+        names = self._materialize(chunks.chunk_names(df, bits), backup_id, f"{table}-chunks")
+        # a chunk that a sweep has condemned is not used again, its rows are written anew
+        usable = held.withColumn("at", F.substring_index("path", "/", -3)).join(marked, "at", "left_anti").groupBy("name").agg(F.max("path").alias("path"))
+        listed = names.join(usable, "name", "left")
+        listed = self._materialize(listed, backup_id, f"{table}-listed")
+        wanted = listed.where("path is null")
+        lacking = wanted.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").alias(c) for c in ("digest1", "digest2")]).first()
+        if lacking["n"]:
+            seen = Observation()
+            kept = [f"`{c}`" for c in chunks.stored_columns(df.schema)]
+            rows = chunks.chunk_rows(df, wanted, bits, lacking["n"]).observe(seen, *digest_columns()).select(*kept, chunks.NAME)
+            rows.write.mode("errorifexists").option("compression", request.effective_codec).partitionBy(chunks.NAME).parquet(path)
+            if (seen.get["digest1"], seen.get["digest2"]) != (lacking["digest1"], lacking["digest2"]):
+                raise SourceChanged(f"{table} changed while it was read")
+        at = datetime.now(timezone.utc)
+        given = {"backup_id": F.lit(backup_id), "db_name": F.lit(db), "table_name": F.lit(table), "bits": F.lit(bits)}
+        given["path"] = F.coalesce("path", F.concat(F.lit(f"{path}/{chunks.NAME}="), "name"))
+        entry = listed.select(*[given.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in CHUNKS.fields])
+        self._append("chunks", entry, at, backup_id)
+        metrics = [F.coalesce(F.sum(c), F.lit(0)).cast(t).alias(c) for c, t in (("row_count", "bigint"), ("digest1", "decimal(38,0)"), ("digest2", "decimal(38,0)"), ("raw_size", "bigint"))]
+        out = names.agg(*metrics).first().asDict()
+        if grows:
+            marks = df.agg(delta.high_water(grows, df.schema[grows].dataType).alias("high_water"), F.count(F.when(F.col(grows).isNull(), 1)).alias("null_marks"))
+            out.update(marks.first().asDict())
+        return out
+
+    def _chunk_paths(self, backup_id: str, table: str) -> list[str]:
+        """Folders of the chunks of one table, at most 2 ** chunks.MOST_BITS."""
+        rows = self._read("chunks", owner=backup_id).where((F.col("backup_id") == backup_id) & (F.col("table_name") == table))
+        return sorted(r["path"] for r in rows.select("path").collect())
+
     # --- indexes of states ------------------------------------------------------------------
 
     def _index_path(self, backup_id: str, table: str, name: str) -> str:
@@ -461,8 +505,8 @@ class Vault:
         if not path_exists(self.spark, folder):
             return
         large = integrity.list_parts(self.spark, folder).groupBy("table_name").agg(F.max("length").alias("most"), F.sum("length").alias("bytes"))
-        rows = {r["table_name"]: r for r in written}
-        for found in large.where(F.col("most") > integrity.PART_BYTES).collect():
+        rows = {r["table_name"]: r for r in written if r["op_mode"] != CHUNKED}
+        for found in large.where((F.col("most") > integrity.PART_BYTES) & F.col("table_name").isin(list(rows))).collect():
             row, path = rows[found["table_name"]], f"{folder}/{found['table_name']}"
             most = max(1, integrity.PART_BYTES * max(row["row_count"], 1) // (2 * found["bytes"]))
             self.spark.read.parquet(path).write.option("maxRecordsPerFile", most).option("compression", codec).parquet(f"{path}.parts")
@@ -472,16 +516,20 @@ class Vault:
     def _measure(self, backup_id: str, folder: str, written: list[dict], at: datetime, codec: str) -> tuple[dict[str, tuple[int, int]], str]:
         """Hash the bytes of the part files, count their rows from the footers, record both, and total them per table and overall."""
         self._bounded(folder, written, codec)
-        counted = [
-            self._payload(row, f"{folder}/{row['table_name']}", with_file=True).select(F.lit(row["table_name"]).alias("table_name"), integrity.FILE)
-            for row in written
-        ]
+        counted = [self._part_rows(row["table_name"], f"{folder}/{row['table_name']}") for row in written]
         found = reduce(DataFrame.unionByName, counted).groupBy("table_name", integrity.FILE).agg(F.count(F.lit(1)).alias("row_count"))
         stored = integrity.with_rows(integrity.hashed_parts(self.spark, folder), found).withColumn("backup_id", F.lit(backup_id))
         entry = self._append("files", stored.select(*FILES.fieldNames()), at, backup_id)
         rows = integrity.file_totals(self.spark.read.schema(FILES).parquet(entry)).collect()
         return {r["table_name"]: (r["files"], r["bytes"]) for r in rows}, integrity.overall_checksum(rows)
 
+    def _part_rows(self, table: str, path: str) -> DataFrame:
+        """A row for each stored row, with its file; only footers are read. A chunked table may have written nothing."""
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], f"table_name string, {integrity.FILE} string")
+        rows = self.spark.read.schema("_tv_none int").option("recursiveFileLookup", "true").parquet(path)
+        return rows.select(F.lit(table).alias("table_name"), F.col("_metadata.file_path").alias(integrity.FILE))
+
     def _write_manifest(self, backup_id: str, rows: list[dict], totals: dict, at: datetime) -> None:
         """One row per table; the number of tables bounds what the driver holds."""
         full = []
@@ -523,14 +571,14 @@ class Vault:
         steps: dict[str, list[tuple[Row, str]]] = {}
         for r in sorted(rows, key=lambda r: order[r["backup_id"]]):
             step = (r, f"{members[order[r['backup_id']]]['file_path']}/{r['table_name']}")
-            if r["op_mode"] == FULL:
+            if r["op_mode"] in (FULL, CHUNKED):
                 steps[r["table_name"]] = [step]
             else:
                 steps[r["table_name"]].append(step)
         return steps
 
-    def _payload(self, row: Row, path: str, tolerant: bool = False, with_file: bool = False) -> DataFrame:
-        """Rows of one table of one backup, read with the recorded schema, and their file if asked for.
+    def _payload(self, row: Row, path: str, tolerant: bool = False) -> DataFrame:
+        """Rows of one table of one backup, read with the recorded schema.
         A tolerant reader finds no rows where files or the folder are gone."""
         schema = T.StructType.fromJson(json.loads(row["schema_json"]))
         void = _void_columns(schema)
@@ -539,14 +587,16 @@ class Vault:
         reader = self.spark.read.schema(T.StructType(stored + extra.get(row["op_mode"], [])))
         if tolerant:
             reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        if tolerant and not path_exists(self.spark, path):
-            kinds = T.StructType(stored + extra.get(row["op_mode"], []) + [T.StructField(integrity.FILE, T.StringType())])
+        paths = self._chunk_paths(row["backup_id"], row["table_name"]) if row["op_mode"] == CHUNKED else [path]
+        if row["op_mode"] == CHUNKED and tolerant:
+            paths = [p for p in paths if path_exists(self.spark, p)]
+        if not paths or (tolerant and not path_exists(self.spark, paths[0])):
+            kinds = T.StructType(stored + extra.get(row["op_mode"], []))
             df = self.spark.createDataFrame([], kinds)
         else:
-            df = reader.parquet(path)
-            df = df.select("*", F.col("_metadata.file_path").alias(integrity.FILE)) if with_file else df
+            df = reader.parquet(*paths)
         names = [f"`{f.name}`" if f.name not in void else F.lit(None).alias(f.name) for f in schema.fields]
-        return df.select(*names, *[f.name for f in extra.get(row["op_mode"], [])], *([integrity.FILE] if with_file else []))
+        return df.select(*names, *[f.name for f in extra.get(row["op_mode"], [])])
 
     def _rebuild(self, steps: list[tuple[Row, str]]) -> DataFrame:
         """State after the steps: a full copy, then runs of deltas of the same kind."""
@@ -626,8 +676,26 @@ class Vault:
     def verify_files(self, backup_id: str) -> DataFrame:
         """Status of every recorded or stored part file."""
         folder = self._folder(backup_id)
+        chunked = [r["table_name"] for r in self.manifest(backup_id).where(F.col("op_mode") == CHUNKED).select("table_name").collect()]
+        if chunked:
+            return self._verify_chunks(backup_id, chunked, folder)
         return integrity.compare_files(self.files(backup_id), integrity.hashed_parts(self.spark, folder, tolerant=True))
 
+    def _verify_chunks(self, backup_id: str, chunked: list[str], folder: str) -> DataFrame:
+        """Chunks may lie in the folders of earlier backups: their files are checked where they lie."""
+        steps = lambda path, n: F.substring_index(path, "/", -n)
+        used = self._read("chunks", owner=backup_id).where(F.col("backup_id") == backup_id).select(steps("path", 3).alias("at")).distinct()
+        stored = [integrity.hashed_parts(self.spark, folder, tolerant=True).where(~F.col("table_name").isin(chunked))]
+        owners = {backup_id}
+        for table in chunked:
+            paths = self._chunk_paths(backup_id, table)
+            owners |= {p.rsplit("/", 3)[1] for p in paths}
+            stored.append(integrity.hashed_chunks(self.spark, table, [p for p in paths if path_exists(self.spark, p)]))
+        known = self._read("files", owner=",".join(sorted(owners))).withColumn("at", F.substring_index(steps("path", 4), "/", 3))
+        own = known.where((F.col("backup_id") == backup_id) & ~F.col("table_name").isin(chunked))
+        theirs = known.where(F.col("table_name").isin(chunked)).join(used, "at", "left_semi").select(*known.columns)
+        return integrity.compare_files(own.unionByName(theirs), reduce(DataFrame.unionByName, stored))
+
     def verify_content(self, backup_id: str) -> DataFrame:
         """Recorded against recomputed row digest of every table, as one job over all tables.
 
@@ -660,10 +728,66 @@ class Vault:
             *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in JOB_EVENTS.fields]
         )
         self._append("job_events", events, now, "expire")
-        count = 0
-        for row in gone.toLocalIterator():
-            delete_path(self.spark, row["file_path"])
-            delete_path(self.spark, f"{self.root}/index/{row['id']}")
-            count += 1
+        count = gone.count()
+        # what nobody shares goes at once; chunks wait for two sweeps
+        shared = self._read("chunks").select(F.col("backup_id").alias("id")).distinct()
+        alone = gone.join(shared, "id", "left_anti").where("file_path is not null")
+        index = gone.select(F.concat(F.lit(f"{self.root}/index/"), "id").alias("path"))
+        delete_units(alone.select(F.col("file_path").alias("path")).unionByName(index))
         delete_path(self.spark, entry)
         return count
+
+    def _roots(self) -> dict[str, str]:
+        """Folders that hold backups, as recorded and with their store: the vault's own and those that requests named."""
+        found = self.jobs().where("file_path is not null").select(F.regexp_replace("file_path", "/[^/]+$", "").alias("root")).distinct()
+        return {r: qualified(self.spark, r) for r in {f"{self.root}/data"} | {r["root"] for r in found.collect()}}
+
+    def units(self) -> DataFrame:
+        """``path, bytes`` of what is stored for backups, in the units in which it is removed: a chunk, or else a table of a backup."""
+        parts = []
+        for root in sorted(set(self._roots().values())):
+            if path_exists(self.spark, root):
+                listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+                tail = F.split(F.substring(F.col("path"), F.lit(len(root) + 2), F.length("path")), "/")
+                steps = F.when(F.get(tail, F.lit(2)).startswith(f"{chunks.NAME}="), 3).otherwise(2)
+                unit = F.concat(F.lit(f"{root}/"), F.array_join(F.slice(tail, F.lit(1), steps), "/"))
+                parts.append(listed.where(F.size(tail) > 2).select(unit.alias("path"), "length"))
+        if not parts:
+            return self.spark.createDataFrame([], "path string, bytes bigint")
+        return reduce(DataFrame.unionByName, parts).groupBy("path").agg(F.sum("length").alias("bytes"))
+
+    def named_units(self) -> DataFrame:
+        """``path`` of the units that kept backups name: their own tables, and their chunks wherever those lie."""
+        kept = chains.successful(self.jobs()).select(F.col("id").alias("backup_id"), "file_path")
+        own = self._read("manifest").where(F.col("op_mode") != CHUNKED).join(kept, "backup_id").select(F.concat_ws("/", "file_path", "table_name").alias("path"))
+        named = own.unionByName(self._read("chunks").join(kept, "backup_id", "left_semi").select("path"))
+        full = F.col("path")
+        for root, store in self._roots().items():
+            full = F.when(F.col("path").startswith(f"{root}/"), F.concat(F.lit(store), F.substring(F.col("path"), F.lit(len(root) + 1), F.length("path")))).otherwise(full)
+        return named.select(full.alias("path")).distinct()
+
+    def sweep(self, grace_hours: int = 24, now: datetime | None = None) -> int:
+        """Free what no kept backup names: chunks of expired backups and what failed runs left. Returns the number of units that went.
+
+        A unit is condemned by one sweep and removed by a later one, once every run that began before it was condemned is over. A run that is
+        open for longer than the grace counts as dead; what runs within it have written is no leftover. Which runs are open is asked before
+        what is named, so that a run that ends in between is seen as one or the other."""
+        now = now or datetime.now(timezone.utc)
+        work = f"{self.root}/work/sweep-{uuid.uuid4().hex}"
+        begun = F.col("started_at") > F.lit(now) - F.make_interval(hours=F.lit(grace_hours))
+        self.jobs().where((F.col("status") == "running") & begun).select("id", "started_at").write.parquet(f"{work}/alive")
+        alive = self.spark.read.parquet(f"{work}/alive")
+        oldest = alive.agg(F.min("started_at").alias("t")).first()["t"]
+        owner = F.element_at(F.split(F.regexp_replace("path", f"/{chunks.NAME}=[^/]*$", ""), "/"), -2)
+        loose = retention.unreferenced(self.units(), self.named_units()).withColumn("id", owner).join(alive.select("id"), "id", "left_anti")
+        loose.select("path", "bytes").write.parquet(f"{work}/loose")
+        loose, marked = self.spark.read.parquet(f"{work}/loose"), self._condemned()
+        retention.may_go(loose, marked, None if oldest is None else F.lit(oldest)).select("path").write.parquet(f"{work}/gone")
+        fresh = loose.join(marked.select("path"), "path", "left_anti").select("path", F.lit(now).cast("timestamp").alias("at"))
+        self._append("condemned", fresh, now, "sweep")
+        count = delete_units(self.spark.read.parquet(f"{work}/gone"))
+        delete_path(self.spark, work)
+        return count
+
+    def _condemned(self) -> DataFrame:
+        return self._read("condemned")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,3 +48,42 @@ def rename_path(spark: SparkSession, old: str, new: str) -> None:
     source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
     if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
         raise OSError(f"cannot rename {old}")
+
+
+def delete_units(units: DataFrame) -> int:
+    """Remove the folders of a frame (``path``), dealt over the tasks; how many there were.
+
+    A task opens the store that a path names. Paths of a store that tasks cannot open by themselves are handed back and removed through Hadoop
+    by the driver, one after another."""
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    store, place = arrow_fs.FileSystem.from_uri(path)
+                    store.delete_dir(place)
+                except FileNotFoundError:
+                    pass  # a repeated task
+                except (OSError, ValueError, pa.ArrowException):
+                    left.append(path)
+            yield pa.RecordBatch.from_pydict({"path": left, "n": [0] * len(left)}, pa.schema([("path", pa.string()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"path": [None], "n": [batch.num_rows]}, pa.schema([("path", pa.string()), ("n", pa.int64())]))
+
+    spark, count = units.sparkSession, 0
+    # a path without a scheme belongs to Hadoop's default store, which tasks must not take for their own disk
+    default = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).toString().rstrip("/")
+    full = F.when(F.col("path").startswith("/"), F.concat(F.lit("file://" if default.startswith("file:") else default), "path"))
+    full = full.otherwise(F.regexp_replace("path", "^file:/+", "file:///"))
+    dealt = units.select(full.alias("path")).repartition(F.xxhash64("path"))
+    for row in dealt.mapInArrow(remove, "path string, n long").toLocalIterator():
+        count += row["n"]
+        if row["path"] is not None:
+            delete_path(spark, row["path"])
+    return count
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its store, as listings give it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
