@@ -272,6 +272,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, count(*) AS copies FROM added GROUP BY ALL
             UNION ALL SELECT *, -count(*) FROM removed GROUP BY ALL""",
         "keyless_chain_restore_lineitem": "SELECT * FROM lineitem",
+        "small_change_delta_lineitem": """
+            WITH l AS (SELECT * FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09)
+            SELECT *, count(*) AS copies FROM l WHERE l_returnflag = 'R' GROUP BY ALL
+            UNION ALL SELECT *, -count(*) FROM l WHERE l_returnflag = 'N' GROUP BY ALL""",
+        "dedup_full_restore_orders": "SELECT *, true AS unwritten FROM orders",
+        "sweep_after_expiry": """
+            SELECT 'kept' AS run, count(*) AS restored, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, true AS exact FROM orders
+            UNION ALL SELECT 'between', count(*), CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT), true
+            FROM orders WHERE o_orderpriority = '1-URGENT'""",
         "highwater_delta_events": """
             SELECT * FROM events WHERE ts > (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-20')""",
         "highwater_chain_restore_events": "SELECT * FROM events",

@@ -712,6 +712,23 @@ class Vault:
         found = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], nothing)
         return integrity.compare_digests(manifest, found)
 
+    def differing_ranges(self, backup_id: str, table: str) -> DataFrame:
+        """``leaf, recorded_rows, found_rows`` of the ranges of row prints in which a table without a key, restored now, differs from what its
+        backup recorded: where a damage is, found from the root of the recorded tree. For tables whose backup was a delta."""
+        steps = self._target_steps(backup_id, [table])[table]
+        index = json.loads(steps[-1][0]["index_json"] or "{}")
+        if "tree" not in index:
+            raise ValueError(f"no tree of {table} in {backup_id}")
+        before = self._tree(index["tree"])
+        now = state_index.tree(with_fingerprint(self._rebuild(steps)).select(*FINGERPRINT), index["bits"])
+        leaves = state_index.differing(before, now)[1]
+        if leaves is None:
+            leaves = before.select(state_index.LEAF).limit(0)
+        side = lambda t, name: t.select(state_index.LEAF, F.col("row_count").alias(name))
+        both = leaves.join(side(before, "recorded_rows"), state_index.LEAF, "left").join(side(now, "found_rows"), state_index.LEAF, "left")
+        rows = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("recorded_rows", "found_rows")]
+        return both.select(F.col(state_index.LEAF).alias("leaf"), *rows)
+
     def expired(self, as_of: Column, days: int = DEFAULT_RETENTION_DAYS) -> DataFrame:
         """Backups that may go; nothing is deleted here."""
         return retention.expired_backups(self.jobs(), as_of, days)

@@ -138,3 +138,16 @@ def test_a_failed_run_leaves_no_index(spark, vault, tmp_path):
 @pytest.mark.parametrize("rows, bits", [(0, 3), (2_000_000, 3), (2_000_001, 4), (10**15, 16)])
 def test_ranges_follow_the_rows(rows, bits):
     assert state_index.band_bits(rows) == bits
+
+
+def test_damage_is_found_by_range(spark, vault):
+    df = spark.range(5000).select("id", (F.col("id") % 9).alias("v"))
+    run(vault, df, "full", BAG)
+    done = run(vault, df.where("id <> 4"), "incremental", BAG)
+    assert vault.differing_ranges(done.backup_id, "t").isEmpty()
+    full = vault.chain(done.backup_id)[0]["file_path"]
+    df.where("id not in (17, 18)").coalesce(1).write.mode("overwrite").parquet(f"{full}/t")
+    found = vault.differing_ranges(done.backup_id, "t").collect()
+    assert len(found) in (1, 2) and sum(r["recorded_rows"] - r["found_rows"] for r in found) == 2
+    with pytest.raises(ValueError):
+        vault.differing_ranges(vault.chain(done.backup_id)[0]["id"], "t")
