@@ -8,18 +8,20 @@ its ``success`` event is in the catalog; that append comes after data, sizes and
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 from itertools import groupby
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
+from tablevault.catalog_store import TAIL, CatalogStore
 from tablevault.functions.fingerprint import FINGERPRINT, LEN, digest_columns, lane_sum, with_fingerprint
 from tablevault.functions.scalars import DB_TYPES, SIZE_UNITS, redact_secrets
 from tablevault.model import (
@@ -98,14 +100,12 @@ class Vault:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.store = CatalogStore(spark, f"{self.root}/catalog")
 
     # --- catalog storage ------------------------------------------------------------------
 
     def _append(self, name: str, rows: DataFrame, at: datetime, owner: str) -> str:
-        """A new entry, named after the backup it belongs to so that it is found without reading others."""
-        path = f"{self.root}/catalog/{name}/month={at:%Y-%m}/entry={owner}-{uuid.uuid4().hex}"
-        rows.write.mode("errorifexists").parquet(path)
-        return path
+        return self.store.append(name, rows, f"{at:%Y-%m}", owner)
 
     def _append_rows(self, name: str, at: datetime, rows: list[dict], owner: str) -> None:
         """Append rows the driver holds: one per run, or one per table of a run."""
@@ -118,24 +118,18 @@ class Vault:
         self._append_rows(name, at, [values], values.get("backup_job_id") or values["id"])
 
     def _read(self, name: str, since_month: str | None = None, owner: str | None = None) -> DataFrame:
-        """A catalog table; ``since_month`` (``YYYY-MM``) prunes older month folders, ``owner`` reads the entries
-        of one backup, and those of expiry runs, only. Entries without an owner in their name belong to a
-        vault of an earlier version, which is read whole."""
-        schema = T.StructType(_SCHEMAS[name].fields + [T.StructField("month", T.StringType())])
-        base = f"{self.root}/catalog/{name}"
-        try:
-            path = f"{base}/month=*/entry={{{owner},expire}}-*" if owner else base
-            found = self.spark.read.schema(schema).option("basePath", base).parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            if owner:
-                return self._read(name, since_month)
-            found = self.spark.createDataFrame([], schema)
-        if since_month:
-            found = found.where(F.col("month") >= since_month)
+        """A catalog table; ``since_month`` (``YYYY-MM``) leaves out older months, ``owner`` (ids, joined by commas) reads the entries of
+        some backups, and those of expiry runs, only."""
+        key = "backup_job_id" if name == "backup_logs" else "id" if name == "job_events" else "path" if name == "condemned" else "backup_id"
+        found = self.store.read(name, _SCHEMAS[name], since_month, owner.split(",") if owner else None, key)
         return found.select(*[f.name for f in _SCHEMAS[name].fields])
 
+    def compact(self, tail: int = 0) -> None:
+        """Take the catalog's entries into snapshots, where there are more than ``tail``; runs do so by themselves now and then."""
+        for name, schema in _SCHEMAS.items():
+            if self.store.tail(name) > tail:
+                self.store.compact(name, schema, "backup_job_id" if name == "backup_logs" else schema.fieldNames()[0])
+
     def job_events(self, since_month: str | None = None) -> DataFrame:
         return self._read("job_events", since_month)
 
@@ -221,6 +215,7 @@ class Vault:
                 parent_id=chain[-1]["id"] if chain else None, full_id=full_id, head_id=head_id, compression_type=request.effective_codec, backup_version=BACKUP_VERSION, duration=seconds(),
                 completed_at=datetime.now(timezone.utc), **done,
             )
+            self._tidy()
             return BackupResult(
                 True, backup_id, seconds(), folder, size, done["compressed_size"], raw, checksum,
             )
@@ -237,12 +232,24 @@ class Vault:
             if request.backup_type != "full":
                 delete_path(self.spark, f"{self.root}/work/{backup_id}")
 
+    def _tidy(self) -> None:
+        """Compact the catalog when many entries have come. The backup counts already, so a failure here is left to the next run."""
+        try:
+            self.compact(TAIL)
+        except Exception as error:  # noqa: BLE001
+            warnings.warn(f"catalog not compacted: {redact_secrets(str(error))}", stacklevel=2)
+
     def _log(self, backup_id: str, at: datetime, level: str, message: str, details: dict) -> None:
         self._append_row(
-            "backup_logs", at, id=int(time.time_ns() // 1000), backup_job_id=backup_id, timestamp=datetime.now(timezone.utc),
+            "backup_logs", at, id=self._log_id(backup_id, level), backup_job_id=backup_id, timestamp=datetime.now(timezone.utc),
             level=level, message=message, details=json.dumps(details),
         )
 
+    @staticmethod
+    def _log_id(backup_id: str, level: str) -> int:
+        """From the run's own id and the place of the line in the run: runs at one time have different ids, and no clock is asked twice."""
+        return int(hashlib.sha256(backup_id.encode()).hexdigest()[:15], 16) // 2 * 2 + (level == "error")
+
     def _parents(self, db: str, request: BackupRequest, at: datetime) -> tuple[dict[str, _Parent], list[Row], str]:
         """Per table, the state a delta starts from, and the members of its chain. Without an earlier full the run is a full."""
         if request.backup_type == "full":

@@ -87,3 +87,54 @@ def qualified(spark: SparkSession, path: str) -> str:
     """A path with its store, as listings give it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
+def _store_of(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is absent."""
+    store, target = _store_of(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(target)] if store.exists(target) else []
+
+
+def list_folders(spark: SparkSession, root: str, pattern: str) -> list[str]:
+    """Paths two steps below a folder that match a pattern, relative to it. Folders without a finished write are left out."""
+    store, target = _store_of(spark, root)
+    found = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}/_SUCCESS"))
+    return sorted("/".join(f.getPath().toString().split("/")[-3:-1]) for f in found) if found else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of the catalog."""
+    store, target = _store_of(spark, path)
+    source = store.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+    finally:
+        source.close()
+
+
+def create_exclusively(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; False if it is there. Of several writers one succeeds, on a store that creates files atomically."""
+    store, target = _store_of(spark, path)
+    full = store.makeQualified(target).toString()
+    store.mkdirs(target.getParent())
+    if full.startswith("file:"):  # Hadoop's local store looks first and creates then
+        try:
+            with open(full.removeprefix("file:"), "x", encoding="utf-8") as out:
+                out.write(text)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = store.create(target, False)
+    except Exception:  # noqa: BLE001 - stores differ in what they raise
+        if store.exists(target):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
