@@ -13,7 +13,8 @@ Two row hashes are offered.
   ``xxhash64`` skips nulls, so ``(null, 1)`` and ``(1, null)`` would agree; here every
   value is preceded by its null flag and every array by its size. Zero and minus zero, and all
   NaNs, count as the same value, as they do in Spark's joins and groupings. This hash detects
-  change and damage; tampering is what the SHA-256 of the part files is for.
+  change and damage; against tampering there are the SHA-256 of the part files and the keyed digest of
+  :mod:`tablevault.functions.sealed`.
 * :func:`portable_digest` hashes length-prefixed text with SHA-256, so that another engine can
   recompute it.
 """

@@ -151,6 +151,12 @@ def oracle_sql() -> dict[str, str]:
               CAST(sum(CAST('0x' || substr(x, 1, 15) AS BIGINT)) AS VARCHAR) AS digest1,
               CAST(sum(CAST('0x' || substr(x, 16, 15) AS BIGINT)) AS VARCHAR) AS digest2
             FROM h""",
+        "sealed_digest_orders": f"""
+            WITH rows AS (SELECT {digest_text} AS t FROM orders),
+            hashed AS (SELECT b, sha256('a key:' || b || ':' || t) AS x FROM rows, range(64) AS r(b)),
+            lanes AS (SELECT 16 * b + i AS lane, CAST(sum(CAST('0x' || substr(x, 4 * i + 1, 4) AS BIGINT)) % 65536 AS BIGINT) AS value
+              FROM hashed, range(16) AS s(i) GROUP BY ALL)
+            SELECT (SELECT count(*) FROM orders) AS row_count, sha256(string_agg(CAST(value AS VARCHAR), ',' ORDER BY lane)) AS digest FROM lanes""",
         "verify_after_changes": """
             SELECT 'orders' AS table_name, count(*) AS recorded_rows, count(*) AS found_rows, true AS content_ok, 'ok' AS file_states FROM orders
             UNION ALL SELECT 'supplier', count(*), 2 * count(*), false, 'extra,ok' FROM supplier
@@ -167,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'shop' AS db_name, 'failed' AS status, 'error' AS log_level, 'Backup failed' AS log_message,
               CAST(NULL AS BIGINT) AS total_rows, true AS secret_hidden
             UNION ALL SELECT 'shop', 'success', 'info', 'Backup completed successfully',
-              (SELECT count(*) FROM region) + (SELECT count(*) FROM nation), NULL""",
+              (SELECT CAST(sum(n) AS BIGINT) FROM (""" + " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in ALL_TABLES) + """)), NULL""",
         "status_with_logs": f"""WITH {_ORDER_STATES}
             SELECT 'success' AS status, 'incremental' AS backup_type, 0 AS pos, 'info' AS level,
               'Backup completed successfully' AS message, count(*) AS state_rows FROM s1""",

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablevault.functions import scalars as X
+from tablevault.functions import scalars as X, sealed
 from tablevault.functions.fingerprint import portable_digest
 from tablevault.model import BackupRequest, BackupResult
 from tablevault.operators import catalog, loglines, retention
@@ -209,9 +209,10 @@ def database_size(spark, folder):
 def failed_job_and_log(spark, folder):
     """A run that fails with a secret in its message, beside one that succeeds."""
     vault = _vault(spark)
-    tables = parquet_tables(spark, folder, ["region", "nation"])
-    said = F.raise_error(F.lit("cannot read jdbc:postgresql://shop:s3cret@db/shop?password=s3cret"))
-    vault.backup({"region": tables["region"].withColumn("r_name", said.cast("string"))}, BackupRequest(db_name="shop"))
+    tables = parquet_tables(spark, folder, fx.ALL_TABLES)
+    said = F.raise_error(F.lit("cannot read jdbc:postgresql://shop:s3cret@db/shop?password=s3cret")).cast("string")
+    status = F.when(F.col("o_orderstatus") == "P", said).otherwise(F.col("o_orderstatus"))  # in the middle of a large write
+    vault.backup({**tables, "orders": tables["orders"].withColumn("o_orderstatus", status)}, BackupRequest(db_name="shop"))
     _run(vault, tables)
     rows = vault.manifest().groupBy(F.col("backup_id").alias("id")).agg(F.sum("row_count").alias("total_rows"))
     found = catalog.jobs_with_log_rows(vault.jobs(), vault.logs()).join(rows, "id", "left")
@@ -237,6 +238,17 @@ def table_digest_orders(spark, folder):
     return found.select("row_count", F.col("digest1").cast("string").alias("digest1"), F.col("digest2").cast("string").alias("digest2"))
 
 
+@_register
+def sealed_digest_orders(spark, folder):
+    """The keyed digest of a table from that of an earlier state, the rows that came since and those that went."""
+    o = fx.table(spark, folder, "orders").withColumn("o_totalprice", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    o = o.withColumn("o_orderdate", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
+    late, gone = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "P"
+    moved = o.where(gone).withColumn("o_orderkey", -1 - F.col("o_orderkey"))
+    earlier = sealed.lanes(o.where(~late).unionByName(moved), "a key")
+    return sealed.sealed_digest(sealed.combined((1, earlier), (1, sealed.lanes(o.where(late), "a key")), (-1, sealed.lanes(moved, "a key"))))
+
+
 def _replace_part(spark: SparkSession, altered: DataFrame, folder: str, aside: str) -> None:
     """Put the rows of a frame into the only part file of a folder, under the name it had."""
     altered.coalesce(1).write.parquet(aside)

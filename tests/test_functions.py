@@ -120,3 +120,25 @@ def test_secrets_leave_failure_texts():
     text = 'jdbc:postgresql://u:pw1@h/db?user=u&password=pw2 {"password": "p\\"w3"} Passwd = \'pw4\' ok=1'
     got = redact_secrets(text)
     assert not any(f"pw{i}" in got for i in (1, 2, 4)) and "w3" not in got and "ok=1" in got and "u:***@h" in got
+
+
+def test_sealed_digest_is_additive_and_keyed(spark):
+    from tablevault.functions import sealed
+
+    rows = [(i, f"v{i % 5}", None if i % 7 == 0 else i * 2) for i in range(60)] + [(1, "v1", 2)] * 3
+    df = spark.createDataFrame(rows, "a int, b string, c long")
+    value = lambda d, key="k": sealed.sealed_digest(sealed.lanes(d, key)).first()
+    assert value(df) == value(df.repartition(5)) and value(df)["row_count"] == 63
+    assert value(df) != value(df, "other") and value(df)["digest"] != value(df.limit(62))["digest"]
+    assert value(df)["digest"] != value(df.dropDuplicates())["digest"]
+    more, less = df.where("a < 20"), df.where("a between 5 and 9")
+    left = df.where("not a < 20")
+    whole = sealed.combined((1, sealed.lanes(left, "k")), (1, sealed.lanes(more, "k")))
+    assert sealed.sealed_digest(whole).first() == value(df)
+    without = sealed.combined((1, sealed.lanes(df, "k")), (-1, sealed.lanes(less, "k")))
+    assert sealed.sealed_digest(without).first() == value(df.where("not a between 5 and 9"))
+    empty = sealed.lanes(df.limit(0), "k")
+    assert empty.count() == sealed.LANES and sealed.sealed_digest(empty).first()["row_count"] == 0
+    want = sum(sealed.expand(t.encode(), b"k") for t in ["1:1", "1:2"]) % sealed.MODULUS
+    got = {r["lane"]: r["value"] for r in sealed.lanes(spark.range(1, 3), "k").collect()}
+    assert [got[i] for i in range(sealed.LANES)] == want.tolist()

@@ -54,7 +54,7 @@ def test_keyed_index_through_many_levels(spark, vault, same_rows):
     frame = lambda: spark.createDataFrame(list(kept.items()), "id int, v string")
     run(vault, frame(), "full", KEYED)
     levels = set()
-    for step in range(9):
+    for _ in range(5):
         for k in rng.sample(range(80), 3):
             if k in kept and rng.random() < 0.5:
                 del kept[k]
@@ -75,7 +75,7 @@ def test_keyless_index_through_many_levels(spark, vault, same_rows):
     rng, bag = random.Random(4), [(i % 40, "x") for i in range(90)] + [(None, None)] * 5
     frame = lambda: spark.createDataFrame(bag, "a int, b string")
     run(vault, frame(), "full", BAG)
-    for step in range(8):
+    for _ in range(5):
         bag = [r for r in bag if rng.random() < 0.98] + [(rng.randint(0, 50), rng.choice("xy"))]
         done = run(vault, frame(), "incremental", BAG)
         index = index_of(vault, done)
