@@ -44,6 +44,17 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes not to be a column of the frame (compared without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of an id written as text; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from tablevault.llm.common import settle, small_batches, without
+from tablevault.llm.common import settle, small_batches, unused, without
 
 #: Hash buckets of n-grams (2^16), and lengths of n-grams in characters.
 BITS, LENGTHS = 16, (1, 2, 3)
@@ -167,7 +167,8 @@ def _temperature(features: DataFrame, weights: np.ndarray) -> float:
 def fit(train: DataFrame, sample: int = SAMPLE) -> dict:
     """Learn from (doc_id, text, lang). Rows without text or lang take no part; without any, only ``und`` can be predicted.
 
-    Of each language about ``sample`` rows are fitted, chosen by a hash of their id; frequencies are those of all rows.
+    Of each language about ``sample`` texts are fitted, chosen by a hash of id and text, one at least; frequencies are those of all rows,
+    repeated ones each time. Equal texts of a language are fitted once. An empty table gives the model without languages.
     """
     known = train.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
@@ -176,12 +177,17 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> dict:
         return {"langs": [], "weights": np.zeros((1 << BITS, 0), np.float32), "idf": np.zeros(1 << BITS, np.float32), "temperature": 1.0}
     df, rows = _frequencies(known)
     idf = np.log((1 + rows) / (1 + df)).astype(np.float32) + 1
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000_007)) / 1_000_000_007
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1_000_000_007)) / 1_000_000_007
     rate = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(1.2 * sample / sizes[name]))])[F.col("lang")]
     number = F.create_map(*[x for i, name in enumerate(langs) for x in (F.lit(name), F.lit(i))])[F.col("lang")]
     order = F.xxhash64("doc_id", "text")
-    calibrates = F.pmod(order, F.lit(6)) == 0
-    drawn = known.where(place < rate).select("text", number.alias("label"), F.when(calibrates, -1).otherwise(F.pmod(order, F.lit(PARTS)).cast("int")).cast("int").alias("slice"), order.alias("order"))
+    calibrates = (F.pmod(order, F.lit(6)) == 0) & ~F.col("least")
+    # equal texts count once, so that copies do not break the bound; the least of each language is there even if nothing else is drawn
+    least = known.groupBy("lang").agg(F.min_by(F.struct("doc_id", "text"), F.struct(order, F.col("doc_id"), F.col("text"))).alias("least"))
+    drawn = known.where(place < rate).select("lang", "doc_id", "text", F.lit(False).alias("least"))
+    drawn = drawn.unionByName(least.select("lang", "least.*", F.lit(True).alias("least")))
+    drawn = drawn.groupBy("lang", "text").agg(F.min("doc_id").alias("doc_id"), F.max("least").alias("least"))
+    drawn = drawn.select("text", number.alias("label"), F.when(calibrates, -1).otherwise(F.pmod(order, F.lit(PARTS)).cast("int")).cast("int").alias("slice"), order.alias("order"))
     features = settle(_features(drawn, idf), "features")
     weights = _train(features, len(langs))
     return {"langs": langs, "weights": weights, "idf": idf, "temperature": _temperature(features, weights)}
@@ -191,9 +197,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Add lang_pred and score (calibrated probability) from whole texts; ``und`` with score 0 for a null text or one without letters.
 
     Nothing but ``text`` is read. Columns named like an added one are replaced; other columns stay; ties go to the first language
-    by name.
+    by name. Repeated rows are predicted each, an empty table gives an empty one.
     """
     docs = without(docs, ["lang_pred", "score"])
+    (lettered,) = unused(docs, "_letters")
     langs, spark = model["langs"], docs.sparkSession
     shared = spark.sparkContext.broadcast((model["weights"] * model["idf"][:, None], model["idf"]))  # fixed by the parameters
     temperature = model["temperature"]
@@ -205,7 +212,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         times = np.zeros(1 << BITS, np.int32)
         for batch in small_batches(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
-            letters = np.array(batch.column("_letters").to_pylist(), bool)
+            letters = np.array(batch.column(lettered).to_pylist(), bool)
             grams, counts = hashed_ngrams(texts)
             scores = np.zeros((len(texts), max(1, len(langs))))
             for i, part in enumerate(np.split(grams, np.cumsum(counts)[:-1])):
@@ -225,4 +232,4 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             columns = [batch.column(f.name) for f in kept] + [pa.array(names, pa.string()), pa.array(np.where(sure, p.max(1), 0.0))]
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), "lang_pred", "score"])
 
-    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(tag, schema)
+    return docs.withColumn(lettered, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(tag, schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tablevault.llm.common import settle, small_batches, without
+from tablevault.llm.common import settle, small_batches, unused, without
 from tablevault.llm.encoding import encoder
 
 #: Items that one best-fit pass of a task holds at a time.
@@ -91,9 +91,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, slack: int | None = None) -> D
     an empty table gives an empty one.
     """
     slack = capacity // 64 if slack is None else slack
-    pieces = settle(without(pieces, ["sequence_id", "offset", "_room"]), "pieces")
+    pieces = settle(without(pieces, ["sequence_id", "offset"]), "pieces")
+    free, of, into, shift = unused(pieces, "_room", "_bin", "_into", "_shift")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
-    schema = ", ".join([*fields, "sequence_id long", "offset long", "_room long"])
+    schema = ", ".join([*fields, "sequence_id long", "offset long", f"{free} long"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -106,7 +107,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, slack: int | None = None) -> D
             base = (task.partitionId() << 36) + (chunk << 20)
             room = np.full(len(bins), -1, np.int64)  # told once for each bin
             room[np.unique(bins, return_index=True)[1]] = capacity - fills
-            for name, values in (("sequence_id", base + bins), ("offset", places), ("_room", room)):
+            for name, values in (("sequence_id", base + bins), ("offset", places), (free, room)):
                 table = table.append_column(name, pa.array(values, pa.int64()))
             yield from table.to_batches(max_chunksize=50_000)
 
@@ -122,19 +123,19 @@ def pack(pieces: DataFrame, capacity: int = 1024, slack: int | None = None) -> D
             yield from packed()
 
     placed = settle(pieces.mapInArrow(local, schema), "bins")
-    heads = placed.where((F.col("_room") > slack) & (F.col("_room") < capacity)).select(
-        F.col("sequence_id").alias("bin"), F.col("_room").alias("room"),
+    heads = placed.where((F.col(free) > slack) & (F.col(free) < capacity)).select(
+        F.col("sequence_id").alias("bin"), F.col(free).alias("room"),
         F.shiftright("sequence_id", 36).alias("node"), F.shiftright("sequence_id", 20).alias("chunk"),
     )
     moves = _tree(heads, capacity, slack)
     if moves is None:
-        return placed.drop("_room")
-    moves = moves.select(F.col("bin").alias("_bin"), F.col("into").alias("_into"), F.col("shift").alias("_shift"))
-    joined = placed.join(moves, F.col("sequence_id") == F.col("_bin"), "left")
+        return placed.drop(free)
+    moves = moves.select(F.col("bin").alias(of), F.col("into").alias(into), F.col("shift").alias(shift))
+    joined = placed.join(moves, F.col("sequence_id") == F.col(of), "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in pieces.columns],
-        F.coalesce("_into", "sequence_id").alias("sequence_id"),
-        (F.col("offset") + F.coalesce("_shift", F.lit(0))).alias("offset"),
+        F.coalesce(into, "sequence_id").alias("sequence_id"),
+        (F.col("offset") + F.coalesce(shift, F.lit(0))).alias("offset"),
     )
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablevault.llm.common import small_batches, without
+from tablevault.llm.common import small_batches, unused, without
 
 
 def _either_case(words: str) -> str:
@@ -89,16 +89,17 @@ def scan_new_blobs(docs: DataFrame, ledger: str, rules: list[tuple] = RULES, ver
 def join_findings(docs: DataFrame, ledger: str, version: str = RULE_VERSION, drop_text: bool = False) -> DataFrame:
     """Every row with the ``findings`` of its text (an empty list if there are none). A column of that name is replaced."""
     spark = docs.sparkSession
-    docs = without(docs, ["findings", "_blob"])
+    docs = without(docs, ["findings"])
+    address, blob, held = unused(docs, "_blob", "blob", "_found")
     found = read_ledger(spark, ledger).where((F.col("rule_version") == version) & (F.size("findings") > 0))
-    found = found.groupBy("blob").agg(F.first("findings").alias("_found"))
-    rows = docs.withColumn("_blob", blob_address(F.col("text")))
+    found = found.groupBy(F.col("blob").alias(blob)).agg(F.first("findings").alias(held))
+    rows = docs.withColumn(address, blob_address(F.col("text")))
     if drop_text:
         rows = rows.drop("text")
     few = found.limit(SENT_ROWS + 1).count() <= SENT_ROWS
-    joined = rows.join(F.broadcast(found) if few else found, F.col("_blob") == F.col("blob"), "left")
+    joined = rows.join(F.broadcast(found) if few else found, F.col(address) == F.col(blob), "left")
     none = F.expr(f"cast(array() as {FINDINGS})")
-    return joined.withColumn("findings", F.coalesce("_found", none)).drop("_found", "_blob", "blob")
+    return joined.withColumn("findings", F.coalesce(held, none)).drop(held, address, blob)
 
 
 def scan_secrets(docs: DataFrame, ledger: str, drop_text: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from brute import MEDIUM
 
+from pyspark.sql import functions as F
+
 from tablevault.llm import language, registry, scoring
 
 
@@ -141,3 +143,15 @@ def test_segments_follow_their_entries():
     for deal in (0, 4, 9):
         levels = scoring.filter_levels(grams, sums, deal)
         assert (levels >= true).all() and (levels[sums > 0] == true[sums > 0]).mean() > 0.98 and (levels[sums == 0] > 0).mean() < 0.02
+
+
+def test_repeated_ids_and_texts_are_sampled(spark):
+    """Rows of one id, or of one text, neither vanish from the sample nor break its bound."""
+    one_id = [(7, f"the house number {i} of them", "en") if i % 2 else (7, f"la maison numero {i} pour elle", "fr") for i in range(4000)]
+    copies = [(i, f"der hund und die katze {i % 40}", "de") for i in range(3000)]
+    rows = spark.createDataFrame(one_id + copies, "doc_id long, text string, lang string")
+    model = language.fit(rows, sample=50)
+    asked = spark.createDataFrame([("the number of them",), ("maison pour elle",), ("der hund und",)], "text string").withColumn("_letters", F.lit(1))
+    got = language.predict(asked, model)
+    assert got.columns == ["_letters", "lang_pred", "score"] or set(got.columns) >= {"_letters", "lang_pred"}
+    assert sorted(r["lang_pred"] for r in got.collect()) == ["de", "en", "fr"]

@@ -8,6 +8,8 @@ import pytest
 from brute import MEDIUM
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tablevault.llm import packing, registry, token_files
 from tablevault.llm.encoding import Encoder
 
@@ -146,3 +148,12 @@ def test_pairs_are_replaced_until_none_pays():
     for i, pair in enumerate(rules.tolist()):
         grown[49_152 + i] = [x for y in pair for x in grown.get(y, [y])]
     assert [x for y in symbols.tolist() for x in grown.get(y, [y])] == flat.tolist() and ends.sum() == 9
+
+
+def test_packing_columns_with_the_names_of_helpers(spark):
+    rows = [(i, i % 90 + 1, "a", "b", "c", "d") for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "id long, length long, _bin string, _into string, _shift string, _room string")
+    got = packing.pack(pieces.repartition(7), 100)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"] and got.count() == 3000
+    assert got.select("_bin", "_into", "_shift", "_room").distinct().collect() == [("a", "b", "c", "d")]
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 100").isEmpty()
