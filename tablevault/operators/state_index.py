@@ -64,6 +64,7 @@ def read_buckets(spark: SparkSession, schema: T.StructType, keys: list[str], buc
     """The files of :func:`write_buckets` as a frame whose buckets Spark knows."""
     name = _name()
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    path = path.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(
         f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({_columns(keys)}) SORTED BY ({_columns(keys)}) INTO {buckets} BUCKETS LOCATION '{path}'"
     )
