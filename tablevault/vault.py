@@ -100,10 +100,13 @@ class Vault:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.store = CatalogStore(spark, f"{self.root}/catalog")
 
     # --- catalog storage ------------------------------------------------------------------
 
+    @property
+    def store(self) -> CatalogStore:
+        return CatalogStore(self.spark, f"{self.root}/catalog")
+
     def _append(self, name: str, rows: DataFrame, at: datetime, owner: str) -> str:
         return self.store.append(name, rows, f"{at:%Y-%m}", owner)
 
