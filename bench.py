@@ -75,6 +75,9 @@ def main() -> None:
         run(vault, {table: states[1]}, backup_type="incremental", **options)
         done = timed(f"delta_{name}", lambda: run(vault, {table: states[2]}, backup_type="incremental", **options))
         timed(f"chain_restore_{name}", lambda: vault.restore_to(done.backup_id, f"{vault.root}/restored"))
+    vault, wide = Vault(spark, fresh_root(spark)), {n: tables[n] for n in ("orders", "lineitem")}
+    timed("full_backup_chunks_first", lambda: run(vault, wide, dedup=True))
+    timed("full_backup_chunks_unchanged", lambda: run(vault, wide, dedup=True))
     catalog = registry.queries()
     for name in CATALOG_QUERIES:
         timed(name, lambda: rows(catalog[name](spark, folder)))

@@ -514,7 +514,10 @@ class Vault:
         out to have. Few writes need it: a part is what one task wrote."""
         if not path_exists(self.spark, folder):
             return
-        large = integrity.list_parts(self.spark, folder).groupBy("table_name").agg(F.max("length").alias("most"), F.sum("length").alias("bytes"))
+        listed = integrity.list_parts(self.spark, folder)
+        if listed.where(F.col("length") > integrity.PART_BYTES).isEmpty():
+            return
+        large = listed.groupBy("table_name").agg(F.max("length").alias("most"), F.sum("length").alias("bytes"))
         rows = {r["table_name"]: r for r in written if r["op_mode"] != CHUNKED}
         for found in large.where((F.col("most") > integrity.PART_BYTES) & F.col("table_name").isin(list(rows))).collect():
             row, path = rows[found["table_name"]], f"{folder}/{found['table_name']}"
