@@ -74,6 +74,6 @@ def test_ledger_scans_each_blob_once(spark, odd_documents, no_documents):
 
 def test_columns_with_the_names_of_helpers(spark, odd_documents, tmp_path):
     docs = odd_documents.withColumnRenamed("n_chars", "blob").withColumnRenamed("lang", "_found").withColumnRenamed("source", "_blob")
-    got = secret_ledger.scan_secrets(docs, str(tmp_path / "ledger"))
+    got = sl.scan_secrets(docs, str(tmp_path / "ledger"))
     assert got.columns == [*docs.columns, "findings"]
     assert sorted(map(repr, got.drop("findings").collect())) == sorted(map(repr, docs.collect()))
