@@ -323,5 +323,6 @@ def oracle_sql() -> dict[str, str]:
         "size_cap_violations": f"""WITH {_JOBS}
             SELECT id, db_name, file_size FROM jobs WHERE status = 'success' AND file_size > 100 * 1048576""",
         "log_stream_ingest": f"""WITH {_LOGS} SELECT event_id, level, message, "timestamp", module, props FROM logs""",
+        "log_growing_file_ingest": f"""WITH {_LOGS} SELECT event_id, level, message, "timestamp", module FROM logs""",
         "log_stream_errors": f"""WITH {_LOGS} SELECT event_id, level, message, "timestamp" FROM logs WHERE level = 'error'""",
     }

@@ -6,6 +6,8 @@ from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablevault.functions import scalars as X, sealed
@@ -19,7 +21,7 @@ from tablevault.plans import chains, fixtures as fx
 from tablevault.sources.tables import data_size, parquet_tables, stored_files
 from tablevault.streaming import intake
 from tablevault.vault import Vault
-from tablevault.workspace import delete_path, fresh_root
+from tablevault.workspace import delete_path, fresh_root, list_names, qualified, rename_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -496,6 +498,59 @@ def log_stream_errors(spark, folder):
     )
 
 
+def _grow(lines: DataFrame, folder: str, until: int) -> None:
+    """Write the log files as far as they had grown at a moment (``step`` up to ``until``), and half of the line after that. A longer file
+    with the same beginning is what appending leaves."""
+    full = "file:///" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else folder
+
+    def write(batches):
+        store, place = arrow_fs.FileSystem.from_uri(full)
+        store.create_dir(place, recursive=True)
+        out, at = None, None
+        for batch in batches:
+            for file, step, value in zip(*(batch.column(c).to_pylist() for c in ("file", "step", "value"))):
+                if file != at:
+                    if out is not None:
+                        out.close()
+                    out, at, done = store.open_output_stream(f"{place}/{file}"), file, False
+                if step <= until:
+                    out.write(f"{value}\n".encode())
+                elif not done:
+                    out.write(value[: len(value) // 2].encode())
+                    done = True
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([0], pa.int64())})
+
+    dealt = lines.repartition("file").sortWithinPartitions("file", "step", "event_id")
+    dealt.select("file", "step", "value").mapInArrow(write, "n long").count()
+
+
+@_register
+def log_growing_file_ingest(spark, folder):
+    """Log files that grow between runs, end in half a line, and are rotated and begun anew before the last run."""
+    root = qualified(spark, fresh_root(spark))
+    rows = fx.log_rows(spark, folder)
+    time = F.date_format(F.col("timestamp").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    step = F.when(F.col("timestamp") < fx.stamp("2024-01-10"), 1).when(F.col("timestamp") < fx.stamp("2024-01-20"), 2).otherwise(3)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = F.concat(F.lit("app-"), F.pmod(F.xxhash64("event_id"), F.lit(files)).cast("string"), F.lit(".log"))
+    text = F.to_json(F.struct("level", "message", time.alias("timestamp"), "module", "event_id"))
+    lines = rows.select("event_id", step.alias("step"), name.alias("file"), text.alias("value"))
+    logs, table, progress = (f"{root}/{n}" for n in ("lines", "logs", "progress"))
+    take_in = lambda: intake.start_growing_intake(spark, logs, table, progress).awaitTermination()
+    _grow(lines.where("step < 3"), logs, 1)
+    take_in()
+    _grow(lines.where("step < 3"), logs, 2)
+    for old in list_names(spark, logs):
+        if old.endswith(".log"):
+            rename_path(spark, f"{logs}/{old}", f"{logs}/{old}.1")
+    _grow(lines.where("step = 3"), logs, 3)
+    take_in()
+    found = intake.stored_logs(spark, table)
+    return found.select(_extra("event_id").cast("bigint").alias("event_id"), "level", "message", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "module")
+
+
 # --- deltas, chains, retention ------------------------------------------------------------
 
 _ORDER_KEY = {"keys": {"orders": ["o_orderkey"]}}

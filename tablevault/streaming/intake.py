@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablevault.functions.scalars import LEVELS
+from tablevault.sources.growing import growing_lines
 from tablevault.sources.loglines import parse_lines
 
 
@@ -25,7 +26,20 @@ def start_intake(spark: SparkSession, folder: str, table: str, checkpoint: str,
     Lines that could not be parsed, and levels that are none of ours, are kept under ``unknown`` with the level they
     gave in ``given_level``: foreign logs must not decide how many folders there are.
     """
-    lines = log_stream(spark, folder, max_files)
+    return _append(log_stream(spark, folder, max_files), table, checkpoint)
+
+
+def growing_log_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Parsed lines of log files that are still written to and rotated; half lines wait for their end."""
+    return parse_lines(growing_lines(spark, folder, pattern))
+
+
+def start_growing_intake(spark: SparkSession, folder: str, table: str, checkpoint: str, pattern: str = "*") -> StreamingQuery:
+    """As :func:`start_intake`, for files that grow: each run appends the lines that were completed since the last."""
+    return _append(growing_log_stream(spark, folder, pattern), table, checkpoint)
+
+
+def _append(lines: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     return (
         lines.withColumn("given_level", F.when(~F.col("level").isin(*LEVELS), F.col("level")))
         .withColumn("level", F.when(F.col("level").isin(*LEVELS), F.col("level")).otherwise("unknown"))
