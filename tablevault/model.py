@@ -72,6 +72,7 @@ class BackupRequest:
     chunk_rows: int | None = None
     max_size: str | None = None
     dedup: bool = False
+    late_rows: bool = False
 
     def __post_init__(self):
         if self.backup_type not in BACKUP_TYPES:

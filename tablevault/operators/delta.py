@@ -198,8 +198,14 @@ def after_high_water(cur: DataFrame, column: str, mark: str | None) -> DataFrame
 
     Exact only for tables that grow at the end of ``column``: late rows, changes and deletes
     leave no trace here and need a keyed or key-less delta."""
-    if mark is None:
-        return cur
+    return cur if mark is None else cur.where(F.col(column) > _mark_value(cur, column, mark))
+
+
+def up_to_high_water(cur: DataFrame, column: str, mark: str) -> DataFrame:
+    """The other rows: up to the mark, or without a value."""
+    return cur.where((F.col(column) <= _mark_value(cur, column, mark)) | F.col(column).isNull())
+
+
+def _mark_value(cur: DataFrame, column: str, mark: str) -> Column:
     dtype = cur.schema[column].dataType
-    limit = F.timestamp_micros(F.lit(int(mark))) if isinstance(dtype, T.TimestampType) else F.lit(mark).cast(dtype)
-    return cur.where(F.col(column) > limit)
+    return F.timestamp_micros(F.lit(int(mark))) if isinstance(dtype, T.TimestampType) else F.lit(mark).cast(dtype)

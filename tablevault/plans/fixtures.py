@@ -149,3 +149,19 @@ def event_states(spark: SparkSession, folder: str) -> list[DataFrame]:
     """``events`` as it grew: up to 10 and 20 January, and whole."""
     now = table(spark, folder, "events")
     return [now.where(F.col("ts") < stamp("2024-01-10")), now.where(F.col("ts") < stamp("2024-01-20")), now]
+
+
+def late_event_states(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """``events`` as it grew, with changes behind the mark. Up to 20 January a few rows of all days had other values, were missing
+    or were still there; up to 10 January so were many rows of the first days besides."""
+    now = table(spark, folder, "events")
+    few, many = F.col("event_id") % 499, F.col("event_id") % 5
+
+    def earlier(day: str, turn: Column) -> DataFrame:
+        rows = now.where(F.col("ts") < stamp(day))
+        extra = rows.where(turn == 3).withColumn("event_id", -1 - F.col("event_id"))
+        return rows.where(turn != 1).withColumn("value", F.when(turn == 2, F.col("value") + 1).otherwise(F.col("value"))).unionByName(extra)
+
+    before = earlier("2024-01-20", few)
+    first = earlier("2024-01-10", F.when(F.col("ts") < stamp("2024-01-05"), many).otherwise(few))
+    return [first, before, now]

@@ -177,6 +177,15 @@ def oracle_sql() -> dict[str, str]:
         "status_with_logs": f"""WITH {_ORDER_STATES}
             SELECT 'success' AS status, 'incremental' AS backup_type, 0 AS pos, 'info' AS level,
               'Backup completed successfully' AS message, count(*) AS state_rows FROM s1""",
+        "highwater_late_restore_events": "SELECT * FROM events",
+        "highwater_late_delta_events": """
+            WITH behind AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-20'),
+                 was AS (SELECT event_id, CASE WHEN event_id % 499 = 2 THEN value + 1 ELSE value END AS value FROM behind WHERE event_id % 499 <> 1
+                         UNION ALL SELECT -1 - event_id, value FROM behind WHERE event_id % 499 = 3),
+                 net AS (SELECT event_id, value, sum(n) AS copies, sum(b) AS copies_before FROM
+                         (SELECT event_id, value, 1 AS n, 0 AS b FROM behind UNION ALL SELECT event_id, value, 0, 1 FROM was) GROUP BY ALL)
+            SELECT event_id, value, false AS past_mark, copies::BIGINT AS copies, copies_before::BIGINT AS copies_before FROM net WHERE copies <> copies_before
+            UNION ALL SELECT event_id, value, true, 1::BIGINT, NULL::BIGINT FROM events WHERE ts >= TIMESTAMP '2024-01-20'""",
         "highwater_null_marks": "SELECT * REPLACE (CASE WHEN event_id % 10 <> 0 THEN ts END AS ts) FROM events",
         "chain_restore_overlapping_runs": "SELECT * FROM orders",
         "list_backups": f"""WITH {_JOBS},

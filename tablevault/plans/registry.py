@@ -633,6 +633,23 @@ def highwater_chain_restore_events(spark, folder):
     return _restored(spark, "events", fx.event_states(spark, folder), ["full", "incremental", "incremental"], **_EVENT_MARK)
 
 
+_LATE = {**_EVENT_MARK, "late_rows": True}
+
+
+@_register
+def highwater_late_restore_events(spark, folder):
+    """Late, changed and deleted rows behind the mark, few of a bucket in one run and most of some buckets in the other."""
+    return _restored(spark, "events", fx.late_event_states(spark, folder), ["full", "incremental", "incremental"], **_LATE)
+
+
+@_register
+def highwater_late_delta_events(spark, folder):
+    """What the last run stores: the rows past the mark, and those behind it that differ with their copies now and before."""
+    found = _delta_of(spark, "events", fx.late_event_states(spark, folder)[1:], ["full", "incremental"], **_LATE)
+    new = F.col(BEFORE) < 0
+    return found.select("event_id", "value", new.alias("past_mark"), F.col(COPIES).alias("copies"), F.when(~new, F.col(BEFORE)).alias("copies_before"))
+
+
 @_register
 def highwater_null_marks(spark, folder):
     """Rows without a mark, before and after: a comparison with the mark finds none of them."""

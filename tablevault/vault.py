@@ -27,14 +27,14 @@ from tablevault.functions.scalars import DB_TYPES, SIZE_UNITS, redact_secrets
 from tablevault.model import (
     BACKUP_LOGS, BACKUP_VERSION, CHUNKS, CONDEMNED, DEFAULT_RETENTION_DAYS, FILES, INDEXES, JOB_EVENTS, MANIFEST, BackupRequest, BackupResult, safe_name,
 )
-from tablevault.operators import catalog, chunks, delta, integrity, retention, state_index
+from tablevault.operators import catalog, chunks, delta, integrity, late, retention, state_index
 from tablevault.operators.restore import apply_keyed, apply_multiset, keyed_prints, multiset_prints
 from tablevault.operators.selection import select_names
 from tablevault.plans import chains
 from tablevault.workspace import delete_path, delete_units, path_exists, qualified, rename_path
 
 # Ways a table is stored in one backup.
-FULL, CHUNKED, KEYED, MULTISET, APPEND = "full", "chunked", "keyed", "multiset", "append"
+FULL, CHUNKED, KEYED, MULTISET, APPEND, LATE = "full", "chunked", "keyed", "multiset", "append", "late"
 _SCHEMAS = {"job_events": JOB_EVENTS, "backup_logs": BACKUP_LOGS, "manifest": MANIFEST, "files": FILES, "indexes": INDEXES, "chunks": CHUNKS, "condemned": CONDEMNED}
 
 
@@ -66,7 +66,8 @@ def _void_columns(schema: T.StructType) -> list[str]:
 
 
 def _same_columns(a: T.StructType, b: T.StructType) -> bool:
-    return [(f.name, f.dataType) for f in a.fields] == [(f.name, f.dataType) for f in b.fields]
+    # what may be null is not part of it: files do not keep that
+    return [(f.name, f.dataType.simpleString()) for f in a.fields] == [(f.name, f.dataType.simpleString()) for f in b.fields]
 
 
 def payload_digest(mode: str) -> list[Column]:
@@ -75,7 +76,7 @@ def payload_digest(mode: str) -> list[Column]:
     weight = None
     if mode == KEYED:
         weight = F.when(F.col(delta.OP) == "U", 1).otherwise(-1)
-    elif mode == MULTISET:
+    elif mode in (MULTISET, LATE):
         weight = delta.multiset_weight()
     metrics = [
         F.count(F.lit(1)).alias("row_count"),
@@ -86,6 +87,10 @@ def payload_digest(mode: str) -> list[Column]:
         up = F.col(delta.OP) == "U"
         metrics += [lane_sum(F.when(up, F.col(h))).alias(n) for h, n in zip(FINGERPRINT, ("up1", "up2"))]
         metrics.append(F.count(F.when(up, 1)).alias("up_rows"))
+    if mode == LATE:  # rows past the mark, which have no copies before
+        new = F.col(delta.BEFORE) < 0
+        metrics += [lane_sum(F.when(new, F.col(h))).alias(n) for h, n in zip(FINGERPRINT, ("up1", "up2"))]
+        metrics.append(F.count(F.when(new, 1)).alias("up_rows"))
     return metrics
 
 
@@ -276,7 +281,11 @@ class Vault:
         )
         # a delta needs the parent to have been stored under the same key or the same mark
         if same and grows:
-            same = parent.manifest["high_water_column"] == grows and self._mark_tells(df, grows, parent.manifest)
+            same = parent.manifest["high_water_column"] == grows
+            if request.late_rows:
+                same = same and parent.manifest["high_water"] is not None and parent.index is not None and "width" in parent.index
+            else:
+                same = same and self._mark_tells(df, grows, parent.manifest)
         elif same and keys:
             same = parent.manifest["key_columns"] == keys
         if not same:
@@ -293,6 +302,11 @@ class Vault:
                 info["index_json"] = json.dumps(index)
             info.update(op_mode=mode, upserts=seen["row_count"], high_water=seen.pop("high_water", None), null_marks=seen.pop("null_marks", None))
             state = (seen["row_count"], seen["digest1"], seen["digest2"])
+            if grows and request.late_rows:
+                info["index_json"] = json.dumps(self._sketched(df, grows, state, backup_id, table))
+        elif grows and request.late_rows:
+            state = self._store_late(df, parent, grows, path, request, backup_id, table, info)
+            seen = info.pop("seen")
         elif grows:
             mark = parent.manifest["high_water"]
             seen = self._write(delta.after_high_water(df, grows, mark), df.columns, APPEND, path, request, grows)
@@ -323,6 +337,86 @@ class Vault:
         info.update(zip(("state_rows", "state_digest1", "state_digest2"), state))
         return info
 
+    # --- late rows behind a mark -------------------------------------------------------------
+
+    def _sketch_part(self, sketch: DataFrame, backup_id: str, table: str) -> tuple[str, tuple[int, int, int]]:
+        """Store a sketch; its path, and count and digest of the rows in it."""
+        path = self._index_path(backup_id, table, "late")
+        sketch.write.parquet(f"{self.root}/{path}")
+        total = late.digests_of(late.read_sketch(self.spark, [f"{self.root}/{path}"])).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").alias(c) for c in ("row_count", "digest1", "digest2")])
+        return path, tuple(int(v) for v in total.first())
+
+    def _sketched(self, df: DataFrame, grows: str, state: tuple, backup_id: str, table: str) -> dict:
+        """The sketch of a whole table."""
+        width = late.bucket_width(df, grows)
+        path, found = self._sketch_part(late.cells(late.prints(df, grows, width)), backup_id, table)
+        if found != tuple(int(v) for v in state):
+            raise SourceChanged(f"{table} changed while it was read")
+        return {"width": width, "parts": [path]}
+
+    def _store_late(self, df: DataFrame, parent: _Parent, grows: str, path: str, request: BackupRequest, backup_id: str, table: str, info: dict) -> tuple:
+        """Write rows past the mark and what changed behind it; returns the state and leaves the rest in ``info``."""
+        mark, index, m = parent.manifest["high_water"], dict(parent.index), parent.manifest
+        width, new = index["width"], delta.after_high_water(df, grows, mark)
+        behind = delta.up_to_high_water(df, grows, mark)
+        before = late.added([late.read_sketch(self.spark, [f"{self.root}/{p}" for p in index["parts"]])])
+        now = self._materialize(late.digests(late.prints(behind, grows, width)), backup_id, f"{table}-digests")
+        nulls = now.where(F.col(late.BUCKET) == late.NO_VALUE).agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n")).first()["n"]
+        buckets = self._materialize(late.differing_buckets(late.digests_of(before), now), backup_id, f"{table}-buckets")
+        count = buckets.count()
+        columns, net, found = df.columns, None, dict.fromkeys(("present", "gone", "touched", "upserts", "deletes", "net1", "net2", "digest1", "digest2"), 0)
+        if count:
+            near = late.in_buckets(behind, grows, width, buckets, count)
+            near_prints = late.prints(near, grows, width)
+            old = before.join(delta.bounded_broadcast(buckets, count), late.BUCKET, "left_semi")
+            read = self._materialize(late.decoded(late.added([late.cells(near_prints), old], [1, -1])), backup_id, f"{table}-decoded")
+            net = read.where(F.col("_tv_h1").isNotNull())
+            closed = read.where(F.col("_tv_h1").isNull()).select(late.BUCKET)
+            shut = closed.count()
+            if shut:  # too many rows of these differ: their rows are compared with the stored ones
+                sides = [late.prints(late.in_buckets(side, grows, width, closed, shut), grows, width) for side in (behind, parent.state)]
+                net = net.unionByName(late.compared(*sides))
+            net = self._materialize(net, backup_id, f"{table}-net")
+            seen = Observation()
+            changes = late.with_copies(net, near_prints, net.count(), delta.BEFORE)
+            changes = self._materialize(changes.observe(seen, *delta.multiset_change_totals(), F.min(delta.BEFORE).alias("least")), backup_id, f"{table}-changes")
+            found = seen.get
+            if (found["least"] or 0) < 0:
+                raise SourceChanged(f"{table} changed while it was read")
+        mode = LATE if net is not None else APPEND
+        if net is None:
+            payload = new
+        else:
+            former = late.in_buckets(parent.state, grows, width, buckets, count)
+            late_rows = delta.multiset_payload(near, former, changes.select(*FINGERPRINT, delta.COPIES, delta.BEFORE), found["present"], found["gone"])
+            one = F.lit(1).cast("bigint")
+            payload = new.withColumns({delta.COPIES: one, delta.BEFORE: -one}).unionByName(late_rows)
+        wrote = self._write(payload, columns, mode, path, request, grows)
+        sketch = late.cells(late.prints(new, grows, width))
+        if net is not None:
+            sketch = late.added([sketch, late.cells(net, late.NET)])
+        part, moved = self._sketch_part(sketch, backup_id, table)
+        arrived = (wrote["up_rows"], wrote["up1"], wrote["up2"]) if mode == LATE else (wrote["row_count"], wrote["digest1"], wrote["digest2"])
+        rows = found["upserts"] - found["deletes"]
+        change = (arrived[0] + rows, int(arrived[1]) + int(found["net1"]), int(arrived[2]) + int(found["net2"]))
+        weighed = tuple(int(wrote[d]) - 2 * int(a) for d, a in zip(("digest1", "digest2"), arrived[1:])) if mode == LATE else (0, 0)
+        behind_now = [int(v) for v in now.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)") for c in ("row_count", "digest1", "digest2")]).first()]
+        state = self._moved(parent, *change)
+        held = tuple(b + int(a) for b, a in zip(behind_now, arrived))
+        if moved != change or held != tuple(state) or weighed != (int(found["digest1"]), int(found["digest2"])):
+            raise SourceChanged(f"{table} changed while it was read")
+        index["parts"] = [*index["parts"], part]
+        if len(index["parts"]) > late.MOST_PARTS:
+            whole = late.added([late.read_sketch(self.spark, [f"{self.root}/{p}" for p in index["parts"]])])
+            index["parts"] = [self._sketch_part(whole.where("n <> 0 or sum1 <> 0 or sum2 <> 0 or checks <> 0"), backup_id, table)[0]]
+        wrote.pop("null_marks", None)
+        highest = wrote.pop("high_water", None)
+        info.update(
+            op_mode=mode, upserts=arrived[0] + found["upserts"], deletes=found["deletes"], touched=found["touched"], index_json=json.dumps(index),
+            high_water=highest if arrived[0] else mark, null_marks=nulls, seen=wrote,
+        )
+        return state
+
     # --- content-addressed chunks -----------------------------------------------------------
 
     def _write_chunks(self, df: DataFrame, table: str, path: str, backup_id: str, request: BackupRequest, grows: str | None) -> dict:
@@ -596,7 +690,8 @@ class Vault:
         schema = T.StructType.fromJson(json.loads(row["schema_json"]))
         void = _void_columns(schema)
         stored = [f for f in schema.fields if f.name not in void]
-        extra = {KEYED: [T.StructField(delta.OP, T.StringType())], MULTISET: [T.StructField(c, T.LongType()) for c in (delta.COPIES, delta.BEFORE)]}
+        copies = [T.StructField(c, T.LongType()) for c in (delta.COPIES, delta.BEFORE)]
+        extra = {KEYED: [T.StructField(delta.OP, T.StringType())], MULTISET: copies, LATE: copies}
         reader = self.spark.read.schema(T.StructType(stored + extra.get(row["op_mode"], [])))
         if tolerant:
             reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
@@ -614,7 +709,7 @@ class Vault:
     def _rebuild(self, steps: list[tuple[Row, str]]) -> DataFrame:
         """State after the steps: a full copy, then runs of deltas of the same kind."""
         state = self._payload(*steps[0])
-        for mode, run in groupby(steps[1:], key=lambda s: s[0]["op_mode"]):
+        for mode, run in groupby(steps[1:], key=lambda s: APPEND if s[0]["op_mode"] == LATE else s[0]["op_mode"]):
             run = list(run)
             rows = [r for r, _ in run]
             payloads = [self._payload(r, p) for r, p in run]
@@ -625,7 +720,12 @@ class Vault:
             elif mode == MULTISET:
                 state = apply_multiset(state, payloads, touched)
             else:
-                state = reduce(DataFrame.unionByName, payloads, state)
+                # no row past a mark was touched before: all new rows may come first
+                changed = [p for r, p in zip(rows, payloads) if r["op_mode"] == LATE]
+                new = [p.where(F.col(delta.BEFORE) < 0).select(*[f"`{c}`" for c in state.columns]) if r["op_mode"] == LATE else p for r, p in zip(rows, payloads)]
+                state = reduce(DataFrame.unionByName, new, state)
+                if changed:
+                    state = apply_multiset(state, [p.where(F.col(delta.BEFORE) >= 0) for p in changed], touched)
         return state
 
     def _prints(self, steps: list[tuple[Row, str]], keys: list[str] | None) -> DataFrame:
