@@ -28,6 +28,7 @@ from tablevault.model import (
     BACKUP_LOGS, BACKUP_VERSION, CHUNKS, CONDEMNED, DEFAULT_RETENTION_DAYS, FILES, INDEXES, JOB_EVENTS, MANIFEST, BackupRequest, BackupResult, safe_name,
 )
 from tablevault.operators import catalog, chunks, delta, integrity, late, retention, state_index
+from tablevault.operators import forecast as forecasts
 from tablevault.operators.restore import apply_keyed, apply_multiset, keyed_prints, multiset_prints
 from tablevault.operators.selection import select_names
 from tablevault.plans import chains
@@ -195,6 +196,8 @@ class Vault:
             )
             chosen = select_names(list(tables), request.tables, request.exclude_tables)
             parents, chain, backup_type = self._parents(db, request, at)
+            if request.max_size and backup_type == "full" and not request.dedup:
+                self._forecast(tables, chosen, request, backup_id)
             with ThreadPoolExecutor(min(request.parallel, max(len(chosen), 1))) as pool:
                 rows = list(
                     pool.map(
@@ -240,6 +243,20 @@ class Vault:
             if request.backup_type != "full":
                 delete_path(self.spark, f"{self.root}/work/{backup_id}")
 
+    def _forecast(self, tables: dict[str, DataFrame], chosen: list[str], request: BackupRequest, backup_id: str) -> None:
+        """Fail before anything is written when the backup will surely be too large; what is near the limit is measured afterwards."""
+        most, least = _size_limit(request.max_size), 0
+        for t in chosen:
+            found = self.forecast(tables[t], request.effective_codec, f"{self.root}/work/{backup_id}-forecast/{safe_name(t)}")
+            least += found.least
+            if least > most:
+                raise ValueError(f"backup would hold more than {request.max_size}: at least {least} bytes up to table {t}")
+
+    def forecast(self, df: DataFrame, codec: str = "gzip", folder: str | None = None) -> forecasts.Forecast:
+        """Expected size of a table in a full backup, with a bound of its error."""
+        stored = df.select(*[f"`{c}`" for c in df.columns if c not in _void_columns(df.schema)])
+        return forecasts.forecast(stored, codec, folder or f"{self.root}/work/forecast-{uuid.uuid4().hex}")
+
     def _tidy(self) -> None:
         """Compact the catalog when many entries have come. The backup counts already, so a failure here is left to the next run."""
         try:
