@@ -31,6 +31,44 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, rows) else df
 
 
+# --- sieves: which rows may have a wanted fingerprint -----------------------------------------
+
+# Bits of a sieve for each fingerprint, and its bits at least and at most (as powers of two); it is sent to every task.
+SIEVE_SPREAD, SIEVE_LEAST, SIEVE_MOST = 8, 16, 29
+# Bits in one row of a sieve.
+_ROW_BITS = 15
+
+
+def sieve_bits(count: int) -> int | None:
+    """Power of two of the bits for ``count`` fingerprints; none when the largest sieve would let most rows through."""
+    bits = max(SIEVE_LEAST, (SIEVE_SPREAD * max(count, 1) - 1).bit_length())
+    return min(bits, SIEVE_MOST) if count <= 1 << SIEVE_MOST - 1 else None
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, bits: int, held: bool = True) -> DataFrame:
+    """Rows whose fingerprint may be among the wanted ones, or those whose fingerprint surely is not. Nothing wide moves: tasks look up one
+    bit of the second half of a fingerprint."""
+    slot = F.shiftrightunsigned(H2, 64 - bits)
+    row, place = F.shiftright(slot, _ROW_BITS).cast("int"), slot.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    sieve = wanted.select(row.alias("_tv_row"), place.alias("_tv_place")).groupBy("_tv_row").agg(F.bitmap_construct_agg("_tv_place").alias("_tv_bits"))
+    octet = F.substring("_tv_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))
+    value = F.conv(F.hex(octet), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", value, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    columns = [f"`{c}`" for c in rows.columns]
+    joined = rows.withColumn("_tv_row", row).join(F.broadcast(sieve), "_tv_row", "inner" if held else "left")
+    return joined.where(hit if held else ~hit).select(*columns)
+
+
+def without_prints(rows: DataFrame, names: DataFrame, count: int | None) -> DataFrame:
+    """Rows whose fingerprint is not among ``count`` names (not known: the optimizer chooses how). Beyond a broadcast only rows that a sieve
+    cannot tell from the names are moved to meet them."""
+    bits = None if count is None or fits_broadcast(names, count) else sieve_bits(count)
+    if bits is None:
+        return rows.join(names if count is None else bounded_broadcast(names, count), FINGERPRINT, "left_anti")
+    near = sifted(rows, names, bits).join(names, FINGERPRINT, "left_anti").select(*rows.columns)
+    return sifted(rows, names, bits, held=False).unionByName(near)
+
+
 # --- tables with a unique key -------------------------------------------------------------
 
 
@@ -148,15 +186,20 @@ def _one_of_each(side: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
 
     Copies of a row are combined before they meet: behind a broadcast join by the partial step
     of the deduplication; in a shuffled join by deduplicating first, which reduces a row that fills a
-    third of the table, changed or not, to one copy for each input partition before anything moves."""
+    third of the table, changed or not, to one copy for each input partition before anything moves.
+    Rows that a sieve tells from the wanted ones are neither sorted nor moved there."""
     rows = with_fingerprint(side)
     if fits_broadcast(wanted, count):
         return rows.join(F.broadcast(wanted), FINGERPRINT).dropDuplicates(FINGERPRINT).drop(*FINGERPRINT)
+    bits = sieve_bits(count)
+    if bits is not None:
+        rows = sifted(rows, wanted, bits)
     return rows.dropDuplicates(FINGERPRINT).join(wanted, FINGERPRINT).drop(*FINGERPRINT)
 
 
 def multiset_payload(cur: DataFrame, prev: DataFrame, changes: DataFrame, present: int, gone: int) -> DataFrame:
-    """Each changed row once, with its copies now (0 when it is gone) and before. The former state is read only for rows that are gone."""
+    """Each changed row once, with its copies now (0 when it is gone) and before. The former state is read only for rows that are gone; any rows
+    among which it is will do for it."""
     now = _one_of_each(cur, changes.where(F.col(COPIES) > 0), present)
     if not gone:
         return now

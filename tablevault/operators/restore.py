@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablevault.functions.fingerprint import FINGERPRINT, with_fingerprint
-from tablevault.operators.delta import BEFORE, COPIES, OP, bounded_broadcast, repeat_rows
+from tablevault.operators.delta import BEFORE, COPIES, OP, bounded_broadcast, repeat_rows, without_prints
 
 _SEQ, _RANK = "_tv_seq", "_tv_rank"
 
@@ -65,15 +65,20 @@ def multiset_prints(base: DataFrame, deltas: list[DataFrame], touched: int) -> D
     return prints.unionByName(last.select(*FINGERPRINT, COPIES))
 
 
-def apply_multiset(base: DataFrame, deltas: list[DataFrame], touched: int) -> DataFrame:
+def apply_multiset(base: DataFrame, deltas: list[DataFrame], touched: int, stored: int | None = None) -> DataFrame:
     """``touched`` is the number of delta rows that had copies before; when there are none the
-    base needs no filter."""
+    base needs no filter. ``stored`` is the number of all delta rows. The newest delta is passed on as it is, an older one
+    without the rows that a later one speaks of."""
     columns = [f"`{c}`" for c in base.columns]
     marked = [with_fingerprint(d, base.columns) for d in deltas]
-    last = _last_word(marked, FINGERPRINT)
-    present = repeat_rows(last.where(F.col(COPIES) > 0).select(*columns, COPIES))
+    present = []
+    for i, d in enumerate(marked):
+        d = d.where(F.col(COPIES) > 0)
+        if later := [m.select(*FINGERPRINT) for m in marked[i + 1 :]]:
+            d = without_prints(d, reduce(DataFrame.unionByName, later), stored)
+        present.append(d.select(*columns, COPIES))
+    present = repeat_rows(reduce(DataFrame.unionByName, present))
     if touched:
         earlier = reduce(DataFrame.unionByName, [d.where(F.col(BEFORE) > 0).select(*FINGERPRINT) for d in marked])
-        names = bounded_broadcast(earlier, touched)
-        base = with_fingerprint(base).join(names, FINGERPRINT, "left_anti").select(*columns)
+        base = without_prints(with_fingerprint(base), earlier, touched).select(*columns)
     return base.unionByName(present)

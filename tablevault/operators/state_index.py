@@ -11,8 +11,10 @@ Current rows and runs are grouped by key in one shuffle; the base is read bucket
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablevault.functions.fingerprint import FINGERPRINT, H1, H2, lane_sum, with_fingerprint
@@ -190,9 +192,18 @@ def _unlike(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
 
 
 def write_bands(prints: DataFrame, bits: int, path: str) -> None:
-    """Fingerprints with copies, a folder for each range; equal fingerprints are combined."""
-    rows = prints.groupBy(*FINGERPRINT).agg(F.sum(COPIES).alias(COPIES)).withColumn(BAND, band(bits))
-    rows.repartition(BAND).sortWithinPartitions(BAND, H1).write.partitionBy(BAND).option("compression", "zstd").parquet(path)
+    """Fingerprints with copies, a folder for each range; equal fingerprints are combined, in each batch before they move to their range and
+    there once more."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            summed = pa.Table.from_batches([batch]).group_by(FINGERPRINT).aggregate([(COPIES, "sum")])
+            yield from summed.rename_columns([*FINGERPRINT, COPIES]).to_batches()
+
+    schema = f"{H1} bigint, {H2} bigint, {COPIES} bigint"
+    combined = prints.select(*FINGERPRINT, COPIES).mapInArrow(combine, schema).withColumn(BAND, band(bits))
+    rows = combined.repartition(BAND).groupBy(BAND, *FINGERPRINT).agg(F.sum(COPIES).alias(COPIES)).select(*FINGERPRINT, COPIES, BAND)
+    rows.sortWithinPartitions(BAND, H1).write.partitionBy(BAND).option("compression", "zstd").parquet(path)
 
 
 def read_bands(spark: SparkSession, path: str, bands: list[int] | None = None) -> DataFrame:
