@@ -142,3 +142,19 @@ def test_sealed_digest_is_additive_and_keyed(spark):
     want = sum(sealed.expand(t.encode(), b"k") for t in ["1:1", "1:2"]) % sealed.MODULUS
     got = {r["lane"]: r["value"] for r in sealed.lanes(spark.range(1, 3), "k").collect()}
     assert [got[i] for i in range(sealed.LANES)] == want.tolist()
+
+
+def test_sealed_rows_of_one_part_are_hashed_by_many_tasks(spark):
+    """A small file comes as one task; its rows are dealt out before they are hashed, and the vector is that of the rows, copies and nulls included."""
+    import numpy as np
+
+    from tablevault.functions import sealed
+
+    rows = [(1, "a"), (1, "a"), (None, "ü"), (2, None), (None, None)] * 3 + [(i, "x" * i) for i in range(600)]
+    vector = sealed.lanes(spark.createDataFrame(rows, "a int, b string").coalesce(1), "clé: 1")
+    plan = vector._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange RoundRobinPartitioning" in plan[plan.index("MapInArrow") :]
+    part = lambda v: "-1:" if v is None else f"{len(str(v))}:{v}"
+    want = sum(sealed.expand(f"{part(a)}{part(b)}".encode(), "clé: 1".encode()) for a, b in rows) % sealed.MODULUS
+    found = vector.orderBy("lane").collect()
+    assert np.array_equal([r["value"] for r in found], want) and {r["row_count"] for r in found} == {len(rows)}
