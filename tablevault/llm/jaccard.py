@@ -2,11 +2,14 @@
 
 Texts with the same set of shingles form a class. Classes that are similar share a signature from their prefixes:
 
-* Shingles are ordered by hash, frequent ones last. A shingle is frequent if it occurs in many classes that look unlike each
-  other (their smallest hashes differ), as shared passages do; copies of one text look alike.
-* A class may miss ``n - ceil(threshold * n)`` of its n shingles. If that many and one more of its shingles are rare, their
-  single signatures suffice: a similar class shares one of them. Otherwise the prefix is extended by frequent shingles to one more,
-  and pairs of them are signatures too, for of the frequent ones at least two are shared if no rare one is.
+* Shingles are ordered by grade, then by hash. The grade grows with the number of classes that have a shingle; those that look alike
+  (their smallest hashes are the same), as near copies do, count for less than those that share a passage or meet by chance.
+  Beyond a bound of unlike classes a shingle is frequent.
+* A class may miss ``n - ceil(threshold * n)`` of its n shingles, so a similar class has one of the first that many and one more.
+  The smallest hashes of a class show these if enough of them are of grade 0; otherwise the class lists all its shingles.
+* If they include frequent shingles, and two classes share none before those, their sets of frequent ones differ by no more shingles than the
+  whole sets may. Hashes deal these sets into more parts than that, so that one part at least is the same in both: such parts are
+  signatures too, as many as grow with the size of a class.
 
 Candidate pairs are verified on whole texts. Rounds over a few signatures of each class merge most components first; the last round
 takes every pair of classes that share a signature and lie in different components, so no link between components is lost.
@@ -16,10 +19,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablevault.llm.common import WordHash, settle, small_batches, words_of
 from tablevault.llm.scoring import mixed
 
-#: A shingle is frequent above so many unlike classes, if these are more than half of all that have it.
-FREQUENT = 6
+#: A shingle is frequent above so many unlike classes, if these are more than half of all that have it; and its grade then.
+FREQUENT, FREQUENT_GRADE = 6, 99
+#: So many classes that look alike count as one in a grade; the grade is a logarithm.
+ALIKE = 4
 #: Shingles of a bucket, about.
 BUCKET_SHINGLES = 1_000_000
 #: Rounds before the last one, and signatures of a class in each.
@@ -37,6 +40,10 @@ ROUNDS, TRIED = 1, 4
 AROUND, CELL_SHINGLES = 64, 1_200_000
 #: First signatures of a class by which most pairs are found once instead of once for each that they share.
 TOP = 4
+#: In place of the rank of a signature that is a part of frequent shingles.
+UNRANKED = 1 << 40
+#: Edges of a component search that one task reduces to a forest, about.
+FOREST_EDGES = 250_000
 QUARTERS = np.arange(4, dtype=np.uint64) << np.uint64(62)
 #: Rows of a table that is sent to every task at most.
 SENT_ROWS = 1_000_000
@@ -60,6 +67,45 @@ def spare(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def head_size(n, percent: int):
+    """How many of the smallest hashes of n shingles are listed first: some more than a prefix."""
+    return 5 * (n - -(-percent * n // 100) + 1) // 4 + 16
+
+
+def bands(most: int, percent: int) -> list[int]:
+    """Least sizes of bands of set sizes up to one past that of ``most``: similar sets lie in one band or in neighbours."""
+    starts = [1]
+    while starts[-1] <= most or len(starts) < 3:
+        starts.append(100 * starts[-1] // percent + 1)
+    return [*starts, 100 * starts[-1] // percent + 1]
+
+
+def part_signatures(shingles: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Signatures of a set of n, by its frequent shingles: two such sets that are similar and share no other shingle share one.
+
+    Sets of a band meet those of the same band and, in a second dealing, those of the next one. Sets of a dealing differ by
+    ``most`` shingles at most, so of ``most + 1 + empty`` parts ``empty + 1`` are the same. Only a set with more empty parts than that must
+    show its empty ones too.
+    """
+    starts, out = bands(n, percent), []
+    own = int(np.searchsorted(starts, n, "right")) - 1
+    for band in (own, own + 1):
+        most = 2 * (100 - percent) * (starts[band + 1] - 1) // (100 + percent)
+        empty = most // 4 + 2
+        parts = most + 1 + empty
+        values = mixed(shingles + np.uint64(band + 1))
+        part = (values % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        shown, first = np.unique(part[order], return_index=True)
+        sums = np.add.reduceat(values[order], first) if len(first) else np.zeros(0, np.uint64)
+        if parts - len(shown) > empty:
+            full = np.zeros(parts, np.uint64)
+            full[shown] = sums
+            shown, sums = np.arange(parts), full
+        out.append(mixed(mixed(sums) + shown.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)))
+    return np.concatenate(out)
+
+
 def _sets(texts: list[str | None], width: int, hashes: WordHash) -> Iterator[np.ndarray]:
     for text in texts:
         words = words_of(text)
@@ -83,7 +129,7 @@ def _marks(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in small_batches(batches, "text"):
             rows = []
             for s in _sets(batch.column("text").to_pylist(), width, hashes):
-                need = 5 * (spare(len(s), percent) + 1) // 4 + 16
+                need = head_size(len(s), percent)
                 rows.append((_class_of(s), len(s), _look(s), s[:need].tobytes(), need >= len(s)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
             columns = [batch.column("doc_id"), batch.column("h"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))]
@@ -92,9 +138,11 @@ def _marks(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(read, "doc_id long, h long, c long, n long, look long, head binary, whole boolean")
 
 
-def _shared(lists: DataFrame, bits: int) -> DataFrame:
-    """(sig, c, n, pos, frequent) for every listed shingle of (c, n, look, head) that two classes or more have; pos is its place in
-    the list."""
+def _shared(lists: DataFrame, bits: int, percent: int) -> DataFrame:
+    """(sig, c, n, held, pos, grade) for every listed shingle of (c, n, look, head) that two classes or more have; held is the length of
+    the list, pos the place in it.
+
+    Grades below the frequent one are told by the heads of classes where any has the shingle, so that they stay when more lists are whole."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,13 +157,13 @@ def _shared(lists: DataFrame, bits: int) -> DataFrame:
                 used, at = np.unique(bucket[order], return_index=True)
                 bounds = list(zip(at, np.append(at[1:], len(flat)), strict=True))
                 side = [batch.column(k).to_numpy()[first] for k in ("n", "look")]
-                cells = [flat[order], *(np.repeat(v, sizes)[order] for v in (classes, side[0].astype("<i4"), side[1])), place[order]]
+                cells = [flat[order], *(np.repeat(v, sizes)[order] for v in (classes, side[0].astype("<i4"), sizes.astype("<i4"), side[1])), place[order]]
                 columns = [pa.array(used)] + [pa.array([v[x:y].tobytes() for x, y in bounds], pa.binary()) for v in cells]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "c", "n", "look", "pos"])
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "c", "n", "held", "look", "pos"])
 
     def meet(table: pa.Table) -> pa.Table:
-        kinds = (("tokens", "<u8"), ("c", "<i8"), ("n", "<i4"), ("look", "<i8"), ("pos", "<u4"))
-        token, c, n, look, pos = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table.column(name)]) for name, k in kinds)
+        kinds = (("tokens", "<u8"), ("c", "<i8"), ("n", "<i4"), ("held", "<i4"), ("look", "<i8"), ("pos", "<u4"))
+        token, c, n, held, look, pos = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table.column(name)]) for name, k in kinds)
         order = np.argsort(token, kind="stable")
         token = token[order]
         again = np.zeros(len(token), bool)
@@ -124,31 +172,45 @@ def _shared(lists: DataFrame, bits: int) -> DataFrame:
         token, order = token[again], order[again]
         order = order[np.lexsort((c[order], token))]
         token = np.sort(token)
-        c, n, look, pos = c[order], n[order], look[order], pos[order]
+        c, n, held, look, pos = c[order], n[order], held[order], look[order], pos[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
-        token, c, n, look, pos = (v[new] for v in (token, c, n, look, pos))
+        token, c, n, held, look, pos = (v[new] for v in (token, c, n, held, look, pos))
         edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
         members = np.diff(edge) if len(token) else np.zeros(0, np.int64)
-        group, unlike = np.repeat(np.arange(len(members)), members), np.zeros(len(members), np.int64)
-        many = np.flatnonzero((members > FREQUENT)[group])
-        for quarter in range(4):
-            seen = np.unique(group[many] << 16 | (look[many] >> (16 * quarter) & 0xFFFF))
-            unlike = np.maximum(unlike, np.bincount(seen >> 16, minlength=len(members)))
-        frequent = ((unlike > FREQUENT) & (2 * unlike > members))[group]
+        group, front = np.repeat(np.arange(len(members)), members), pos < head_size(n.astype(np.int64), percent)
+
+        def unlike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Least and most different quarters of the looks of each group's rows."""
+            found = [np.bincount(np.unique(group[rows] << 16 | (look[rows] >> (16 * q) & 0xFFFF)) >> 16, minlength=len(members)) for q in range(4)]
+            return np.minimum.reduce(found), np.maximum.reduce(found)
+
+        least, most = unlike(np.flatnonzero((members > 1)[group]))
+        frequent = (most > FREQUENT) & (2 * most > members)
+        fronts = np.bincount(group[front], minlength=len(members))
+        if (fronts < members).any():
+            among = np.where(fronts > 0, fronts, members)
+            least = np.where(fronts > 0, unlike(np.flatnonzero(front))[0], least)
+        else:
+            among = members
+        grade = np.log2(np.maximum(np.maximum(least, -(-among // ALIKE)), 1)).astype(np.int32)
+        grade = np.where(frequent, FREQUENT_GRADE, grade)[group].astype(np.int32)
         keep = (members > 1)[group]
-        columns = [pa.array(token[keep].view("<i8")), pa.array(c[keep]), pa.array(n[keep].astype(np.int64)), pa.array(pos[keep].astype(np.int32)), pa.array(frequent[keep])]
-        return pa.table(columns, ["sig", "c", "n", "pos", "frequent"])
+        columns = [token[keep].view("<i8"), c[keep], n[keep].astype(np.int64), held[keep].astype(np.int64), pos[keep].astype(np.int32), grade[keep]]
+        return pa.table([pa.array(v) for v in columns], ["sig", "c", "n", "held", "pos", "grade"])
 
-    dealt = lists.mapInArrow(deal, "bucket long, tokens binary, c binary, n binary, look binary, pos binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "sig long, c long, n long, pos int, frequent boolean")
+    dealt = lists.mapInArrow(deal, "bucket long, tokens binary, c binary, n binary, held binary, look binary, pos binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "sig long, c long, n long, held long, pos int, grade int")
 
 
-def _postings(lists: DataFrame, bits: int) -> DataFrame:
-    """(sig, c, n, frequent, rank): shared shingles of each class; rank counts the rare ones, shared or not, before it."""
-    before = Window.partitionBy("c").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    skipped = F.coalesce(F.sum(F.col("frequent").cast("int")).over(before), F.lit(0))
-    return _shared(lists, bits).select("sig", "c", "n", "frequent", (F.col("pos") - skipped).alias("rank"))
+def _postings(lists: DataFrame, bits: int, percent: int) -> DataFrame:
+    """(sig, c, n, grade, rank): shared shingles of each class; rank counts the listed ones, shared or not, that come before it by grade and
+    hash."""
+    of = Window.partitionBy("c")
+    worse = F.col("grade") > 0
+    skipped = F.coalesce(F.sum(worse.cast("int")).over(of.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.col("held") - F.count("*").over(of) + F.row_number().over(of.orderBy("grade", "pos")) - 1
+    return _shared(lists, bits, percent).select("sig", "c", "n", "grade", F.when(worse, last).otherwise(F.col("pos") - skipped).alias("rank"))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,9 +260,41 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     return met.groupBy("sig", "part").cogroup(cells.groupBy("sig", "part")).applyInArrow(compare, "u long, v long")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars that link the same nodes as the edges (u, v) of a task, in chunks: each node to the smallest of its component."""
+
+    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        names, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+        a, b, root = ends[: len(u)], ends[len(u) :], np.arange(len(names))
+        while True:
+            x, y = root[a], root[b]
+            apart = x != y
+            if not apart.any():
+                break
+            np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (root != (up := root[root])).any():
+                root = up
+        inner = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[inner]), pa.array(names[root[inner]])], ["u", "v"])
+
+    held, count = [], 0
+    for batch in batches:
+        held.append([batch.column(k).to_numpy() for k in ("u", "v")])
+        count += batch.num_rows
+        if count >= FOREST_EDGES:
+            yield stars(*map(np.concatenate, zip(*held, strict=True)))
+            held, count = [], 0
+    if count:
+        yield stars(*map(np.concatenate, zip(*held, strict=True)))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(c, comp): the smallest node that each node of the edges (u, v) reaches, by alternating large and small stars."""
+    """(c, comp): the smallest node that each node of the edges (u, v) reaches, by alternating large and small stars.
+
+    Bounded chunks of the edges are first reduced to forests, so that a dense group starts with few edges for each node."""
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    chunks = -(-edges.count() // FOREST_EDGES)
+    edges = settle(edges.coalesce(max(chunks, 1)).mapInArrow(_forest, "u long, v long").distinct(), "forest")
     before = None
     while True:
         # Large star: larger neighbours of a node are linked to the smallest of its neighbourhood.
@@ -230,7 +324,9 @@ def _around_centres(placed: DataFrame, seed: int, percent: int) -> DataFrame:
     chosen = placed.withColumn("k", F.row_number().over(few)).where(F.col("k") <= TRIED).drop("k")
     sizes = chosen.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
     spread = chosen.join(sizes, "sig").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "c"), F.ceil(F.col("size") / AROUND)).cast("long"))
-    lead = F.min_by(F.struct("c", "n", "comp"), F.xxhash64(F.lit(seed + 1), "c")).alias("lead")
+    # A class with few shingles of lower grade before the signature has little of its own: most of a group are near it.
+    own = F.struct(F.when(F.col("rank") < F.col("n"), F.col("rank") / F.col("n")), F.xxhash64(F.lit(seed + 1), "c"))
+    lead = F.min_by(F.struct("c", "n", "comp"), own).alias("lead")
     leads = spread.groupBy("sig", "part").agg(lead)
     met = spread.join(leads, ["sig", "part"]).where("comp <> lead.comp")
     met = _sized(met, F.col("n"), F.col("lead.n"), percent)
@@ -251,14 +347,17 @@ def _across(placed: DataFrame, percent: int) -> DataFrame:
     """Every pair of classes that share a signature and lie in different components.
 
     Rows of a signature's largest component meet the other rows only, never each other. Pairs whose first few signatures
-    have one in common meet at the least of these; only the others meet at every signature that they share.
+    have one in common meet at the first of these; only the others meet at every signature that they share. What comes before the first
+    common shingle is not in the other class, which bounds how similar the two can be.
     """
     counts = placed.groupBy("sig", "comp").agg(F.count("*").alias("k"))
     largest = counts.groupBy("sig").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     mixed_ = settle(placed.join(largest, "sig"), "mixed")
-    minor = mixed_.where("comp <> largest").select("sig", F.col("c").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp"), F.col("first").alias("afirst"), F.col("top").alias("atop"))
+    minor = mixed_.where("comp <> largest").select("sig", F.col("c").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp"), F.col("rank").alias("arank"), F.col("first").alias("afirst"), F.col("top").alias("atop"))
     apart = (F.col("comp") != F.col("acomp")) & ((F.col("comp") == F.col("largest")) | (F.col("a") < F.col("c")))
     apart = apart & (100 * F.least("n", "an") >= percent * F.greatest("n", "an"))
+    common = F.least(F.col("n") - F.col("rank"), F.col("an") - F.col("arank"))
+    apart = apart & ((F.col("rank") == UNRANKED) | ((100 + percent) * common >= percent * (F.col("n") + F.col("an"))))
     same = F.col("sig") == F.col("_sig")
     other = mixed_.withColumnRenamed("sig", "_sig")
     earliest = F.get(F.array_intersect("top", "atop"), F.lit(0)) == F.col("sig")
@@ -268,20 +367,20 @@ def _across(placed: DataFrame, percent: int) -> DataFrame:
     return _once(early.select(*wanted).unionByName(late.select(*wanted)))
 
 
-def _combinations(short: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of frequent shingles, as signatures, of classes whose rare shingles do not fill the prefix."""
+def _parts(short: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
+    """(sig, c, n): signatures by frequent shingles of classes whose other shingles do not fill the prefix."""
 
-    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                need = spare(row.n, percent) + 2 - (row.n - len(row.sigs))
-                taken = np.sort(np.array(row.sigs, np.int64).view(np.uint64))[:need].tolist()
-                pairs = combinations(taken, 2)
-                while part := [xxhash.xxh3_64_intdigest(f"{a}:{b}") - (1 << 63) for _, (a, b) in zip(range(50_000), pairs, strict=False)]:
-                    yield pd.DataFrame({"sig": part, "c": row.c, "n": row.n})
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, n, sigs in zip(*(batch.column(k) for k in ("c", "n", "sigs")), strict=True):
+                found = part_signatures(sigs.values.to_numpy().view(np.uint64), n.as_py(), percent).view(np.int64)
+                for at in range(0, len(found), 50_000):
+                    part = found[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.full(len(part), v.as_py(), np.int64)) for v in (c, n))], ["sig", "c", "n"])
 
-    lists = posts.where("frequent").join(short.select("c"), "c", "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.collect_set("sig").alias("sigs"))
-    return lists.mapInPandas(combine, "sig long, c long, n long")
+    frequent = posts.where(F.col("grade") == FREQUENT_GRADE)
+    lists = frequent.join(short.select("c"), "c", "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.collect_set("sig").alias("sigs"))
+    return lists.mapInArrow(deal, "sig long, c long, n long")
 
 
 def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -298,10 +397,10 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     bits = max(4, int(listed // BUCKET_SHINGLES).bit_length())
     need = F.expr(f"n - ceil({percent} * n / 100) + 1")
     lists, full = able.select("c", "n", "look", "head"), None
-    while True:  # until every class either has enough rare shingles in its list or lists them all
-        posts = settle(_postings(lists, bits), "postings")
-        often = posts.where("frequent").groupBy("c").agg(F.count("*").alias("often"))
-        short = settle(classes.join(often, "c").where(F.col("held") - F.col("often") < need), "short")
+    while True:  # until every class either has enough shingles of grade 0 in its list or lists them all
+        posts = settle(_postings(lists, bits, percent), "postings")
+        worse = posts.where("grade > 0").groupBy("c").agg(F.count("*").alias("worse"), F.count(F.when(F.col("grade") == FREQUENT_GRADE, 1)).alias("often"))
+        short = settle(classes.join(worse, "c").where(F.col("held") - F.col("worse") < need), "short")
         part = short.where("not whole")
         if part.isEmpty():
             break
@@ -314,13 +413,15 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         joined = classes.join(sent, "c", "left")
         joined = joined.withColumn("held", F.when(F.col("all"), F.col("n").cast("long")).otherwise(F.col("held"))).withColumn("whole", F.col("whole") | F.col("all").isNotNull())
         classes = settle(joined.drop("all"), "classes")
-    rare = posts.where(~F.col("frequent") & (F.col("rank") < need)).select("sig", "c", "n", "rank")
-    posts = rare.unionByName(_combinations(short, posts, percent).withColumn("rank", F.lit(1 << 40)))
+    rare = posts.where((F.col("grade") < FREQUENT_GRADE) & (F.col("rank") < need)).select("sig", "c", "n", "rank")
+    short = short.where(F.col("held") - F.col("often") < need)
+    posts = rare.unionByName(_parts(short, posts, percent).withColumn("rank", F.lit(UNRANKED)))
     sizes = posts.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig")
     order = Window.partitionBy("c").orderBy("rank", "sig")
     posts = posts.join(sizes, "sig").withColumn("first", F.row_number().over(order) <= TOP)
-    posts = posts.withColumn("top", F.array_sort(F.collect_list(F.when(F.col("first"), F.col("sig"))).over(Window.partitionBy("c"))))
-    posts = settle(posts.drop("rank"), "signatures")
+    listed_first = F.array_sort(F.collect_list(F.when(F.col("first"), F.struct("rank", "sig"))).over(Window.partitionBy("c")))
+    posts = posts.withColumn("top", F.transform(listed_first, lambda s: s["sig"]))
+    posts = settle(posts, "signatures")
 
     comps, edges = None, None
     for turn in range(ROUNDS + 1):

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import brute
+import numpy as np
 import pytest
 from brute import MEDIUM
 
@@ -96,3 +97,62 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (502, 501)], "u long, v long")
     got = {tuple(r) for r in jaccard.components(edges).collect()}
     assert got == {(i, 0) for i in range(201)} | {(500, 500), (501, 500), (502, 500)}
+
+
+def settled_rows(monkeypatch):
+    """Rows of each frame that the operator settles, by name."""
+    rows, settle = defaultdict(list), jaccard.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        rows[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "settle", counted)
+    return rows
+
+
+def test_chance_passages_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [[] for _ in range(60)]
+    for _ in range(40):  # each passage in three unlike texts
+        passage = new(8)
+        for t in rng.sample(texts, 3):
+            t += [*new(5), *passage]
+    docs = [(i, " ".join([*t, *new(60)])) for i, t in enumerate(texts)]
+    docs.append((60, docs[7][1] + " and an end"))
+    rows = settled_rows(monkeypatch)
+    out = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in out} == brute_components(docs)
+    assert sum(rows["pairs"]) <= 20
+
+
+def test_signatures_grow_with_texts(spark, monkeypatch):
+    docs = near_copies(7, 10, 2, 3, words=60, passage=1000)
+    rows = settled_rows(monkeypatch)
+    out = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in out} == brute_components(docs)
+    assert rows["signatures"][0] <= sum(r["n_shingles"] for r in out)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_similar_sets_share_a_part(percent):
+    rng = np.random.default_rng(8)
+    for n in [*range(jaccard.spare_from(percent), 40), 150, 700, 2500]:
+        for _ in range(20):
+            lack = int(rng.integers(jaccard.spare(n, percent) + 1))
+            gain = 0
+            while 100 * (n - lack) >= percent * (n + gain + 1) and rng.random() < 0.97:
+                gain += 1
+            values = rng.integers(1 << 63, size=n + gain, dtype=np.uint64)
+            one, other = values[:n], values[lack:]
+            assert np.intersect1d(jaccard.part_signatures(one, n, percent), jaccard.part_signatures(other, len(other), percent)).size
+
+
+def test_dense_groups_become_forests(spark, monkeypatch):
+    rows = settled_rows(monkeypatch)
+    edges = [(a, b) for a in range(60) for b in range(a)] + [(100 + a, 200 + b) for a in range(20) for b in range(20)]
+    got = {tuple(r) for r in jaccard.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(i, 0) for i in range(60)} | {(i, 100) for i in [*range(100, 120), *range(200, 220)]}
+    assert max(rows["forest"]) == 59 + 39
